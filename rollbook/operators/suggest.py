@@ -82,7 +82,7 @@ def sector_candidates(inputs: DataFrame, counts: DataFrame, text: str = "place")
     """``"N1 1"`` -> N1 and N11, those of them that exist, in that order."""
     typed = F.trim(text)
     p1, p2 = F.split(typed, "\\s+")[0], F.try_element_at(F.split(typed, "\\s+"), F.lit(2))
-    shape = typed.rlike("^(?:[A-Za-z][0-9][A-Za-z0-9]?|[A-Za-z]{2}[0-9][A-Za-z0-9]?|[A-Za-z][0-9]..)\\s+[0-9][A-Za-z]{0,2}$")
+    shape = typed.rlike("^(?:[A-Za-z][0-9][A-Za-z0-9]?|[A-Za-z]{2}[0-9][A-Za-z0-9]?|[A-Za-z][0-9]\\S\\S)\\s+[0-9][A-Za-z]{0,2}$")
     rows = inputs.where(shape).select(text, F.posexplode(F.array(F.upper(p1), F.upper(F.concat(p1, p2))))
                                       .alias("pos", "candidate"))
     keys = counts.select(F.upper("place_key").alias("candidate")).distinct()
