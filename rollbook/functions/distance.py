@@ -26,11 +26,14 @@ def osa(a: str, b: str) -> int:
     return prev[-1]
 
 
-@F.pandas_udf("int")
-def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+def _osa_batch(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
+def osa_distance(a, b) -> Column:
+    return F.pandas_udf(_osa_batch, "int")(a, b)
+
+
 def delete_keys(c, length_limit: int | None = None) -> Column:
     """Every string left after removing up to two characters.
 

@@ -15,9 +15,8 @@ from pyspark.sql import types as T
 from rollbook import schemas
 from rollbook.functions.dates import last_of_type
 from rollbook.functions.roles import all_low_signal
-from rollbook.operators.build import address, pick_dates, primary_role, record_class
+from rollbook.operators.build import first_contact, pick_dates, primary_role, primary_role_code, role_codes
 from rollbook.operators.graph import closure_verify
-from rollbook.runtime import is_small
 
 
 def check(df: DataFrame, name: str, sample: str, weight: Column | None = None) -> DataFrame:
@@ -153,7 +152,6 @@ def missing_rows(source: DataFrame, orgs: DataFrame) -> DataFrame:
 
 def derived_parity(source: DataFrame, orgs: DataFrame) -> DataFrame:
     """Derived columns recomputed: postcode spacing, first address part, role set. One row per mismatch."""
-    cols = ["postcode", "address_first", "role_codes"]
     s = source.select("ods_code", F.struct(F.trim(F.regexp_replace("postcode", "\\s+", " ")).alias("postcode"),
                                            F.col("address_first"), F.array_sort(F.array_distinct("role_codes"))
                                            .alias("role_codes")).alias("s"))
@@ -163,21 +161,17 @@ def derived_parity(source: DataFrame, orgs: DataFrame) -> DataFrame:
     bad = {"postcode": F.col("s.postcode").isNotNull() & (F.upper("s.postcode") != F.upper(blank(F.col("t.postcode")))),
            "address": F.col("s.address_first").isNotNull() & ~blank(F.col("t.address")).contains(F.col("s.address_first")),
            "role_codes": F.col("s.role_codes") != F.col("t.role_codes")}
-    assert len(bad) == len(cols)
     rows = F.array_compact(F.array(*[F.when(c, F.lit(f)) for f, c in bad.items()]))
     return s.join(t, "ods_code").select("ods_code", F.explode(rows).alias("field"))
 
 
 def audit_source_view(entities: DataFrame) -> DataFrame:
-    """Merged source entities in the shape parity checks compare."""
-    from rollbook.operators.build import first_contact, primary_role_code, role_codes
+    """Merged, normalised source entities in the shape the parity checks compare."""
     return entities.select(
-        F.col("code").alias("ods_code"), "name", "status", record_class("record_class").alias("record_class"),
-        primary_role_code().alias("primary_role_code"), "town", "county", "country", "uprn",
-        first_contact("tel").alias("telephone"), first_contact("http").alias("website"), "postcode",
-        F.try_element_at(F.filter("address_lines", lambda a: F.trim(a) != ""), F.lit(1)).alias("address_first"),
-        address().alias("address"), role_codes(status="_status").alias("role_codes") if "_status" in entities.columns
-        else role_codes().alias("role_codes"))
+        F.col("code").alias("ods_code"), "name", "status", "record_class", primary_role_code().alias("primary_role_code"),
+        "town", "county", "country", "uprn", first_contact("tel").alias("telephone"), first_contact("http").alias("website"),
+        "postcode", F.try_element_at(F.filter("address_lines", lambda a: F.trim(a) != ""), F.lit(1)).alias("address_first"),
+        role_codes().alias("role_codes"))
 
 
 def merge_flags(records: DataFrame, merged: DataFrame, fate: DataFrame) -> DataFrame:
@@ -306,7 +300,3 @@ def audit_series(orgs: DataFrame, roles: DataFrame, releases: DataFrame, date: s
     return out.select(date, zero("entities").alias("entities"), zero("dup_keys").alias("dup_keys"),
                       zero("lost_roles").alias("lost_roles"), verdict.alias("verdict"))
 
-
-def vocabulary_fits(vocab: DataFrame) -> bool:
-    """Whether a vocabulary is small enough to travel with every task."""
-    return is_small(vocab, 20_000)

@@ -10,9 +10,6 @@ from rollbook.functions.dates import first_of_type, last_of_type, parse_date
 from rollbook.functions.roles import COMMISSIONED_BY, GEOGRAPHY_OF
 from rollbook.runtime import is_small
 
-_EMPTY = F.lit("")
-
-
 # --- files of a release -------------------------------------------------------------------
 
 
@@ -211,14 +208,14 @@ def role_codes(status="status", roles="roles") -> Column:
 
 
 def primary_role_code(roles="roles") -> Column:
-    return F.coalesce(primary_role(roles)["id"], _EMPTY)
+    return F.coalesce(primary_role(roles)["id"], F.lit(""))
 
 
 def address(lines="address_lines", town="town", postcode="postcode") -> Column:
     """Non-blank address lines, town and postcode joined ``", "``; NULL when there are none."""
     parts = F.concat(F.col(lines), F.array(F.col(town), F.col(postcode)))
     kept = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p.isNotNull() & (p != ""))
-    return F.nullif(F.array_join(kept, ", "), _EMPTY)
+    return F.nullif(F.array_join(kept, ", "), F.lit(""))
 
 
 def first_contact(kind: str, contacts="contacts") -> Column:

@@ -135,3 +135,12 @@ def scan_xml_concepts(spark: SparkSession, paths, prefix: str | None = None) ->
                         F.explode(F.array_compact(F.array("c._id", "c._code"))).alias("code"))
     return (keyed.where(F.col("display_name").isNotNull()).groupBy("code")
             .agg(F.min_by("display_name", F.struct(F.col("file_name"), -F.col("ordinal"))).alias("display_name")))
+
+
+def scan_xml_release(spark: SparkSession, paths_in_order: list[str]) -> DataFrame:
+    """Entities of all source files of a release with ``file_index``, full file first."""
+    parts = [scan_xml_entities(spark, p).withColumn("file_index", F.lit(i)) for i, p in enumerate(paths_in_order)]
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df)
+    return out
