@@ -242,11 +242,14 @@ def unmatched_places(rows: DataFrame, places: DataFrame, place: str = "place") -
 
 def _grams(text: Column, lengths: list[int]) -> Column:
     """Distinct substrings of the given lengths; length 0 is the empty string."""
-    parts = []
-    for n in lengths:
-        whole = F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
-                                                        lambda i, n=n: F.substring(text, i, F.lit(n))))
-        parts.append(F.coalesce(whole, F.array().cast("array<string>")) if n else F.array(F.lit("")))
+    def pieces(n: int) -> Column:
+        if n == 0:
+            return F.array(F.lit(""))
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))) \
+            .otherwise(F.array().cast("array<string>"))
+
+    parts = [pieces(n) for n in lengths]
     return F.array_distinct(F.concat(*parts))
 
 

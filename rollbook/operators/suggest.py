@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.distance import delete_keys, osa_distance
 from rollbook.operators.search import _grams
+from rollbook.runtime import checkpoint
 
 
 def _close(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -38,19 +39,15 @@ def word_scores(input_words: DataFrame, cand_words: DataFrame) -> DataFrame:
 def _contained(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct ``(a, b)`` where one string contains the other."""
     def inside(small, s, large, t):
-        short = small.where(F.length(s) > 0).withColumn("len", F.least(F.length(s), F.lit(3)))
-        by_len = []
-        for n in (1, 2, 3):
-            some = short.where(F.col("len") == n).select(s, F.substring(s, 1, n).alias("gram"))
-            grams = large.select(t, F.explode(_grams(F.col(t), [n])).alias("gram"))
-            by_len.append(grams.join(some, "gram").where(F.col(t).contains(F.col(s))).select("a", "b"))
-        return by_len[0].union(by_len[1]).union(by_len[2])
+        short = small.where(F.length(s) > 0).select(s, F.substring(s, 1, 3).alias("gram"))
+        grams = large.select(t, F.explode(_grams(F.col(t), [1, 2, 3])).alias("gram"))
+        return grams.join(short, "gram").where(F.col(t).contains(F.col(s))).select("a", "b")
     return inside(left, "a", right, "b").union(inside(right, "b", left, "a")).distinct()
 
 
 def score_pairs(inputs: DataFrame, candidates: DataFrame) -> DataFrame:
     """``(a, b, score)`` of every pair with a positive score; both sides lower-cased distinct strings."""
-    left, right = inputs.select("a").distinct(), candidates.select("b").distinct()
+    left, right = checkpoint(inputs.select("a").distinct()), checkpoint(candidates.select("b").distinct())
     words = lambda df, c, w: df.select(c, F.explode(F.filter(F.split(c, "\\s+"), lambda x: x != "")).alias(w))
     lw, rw = words(left, "a", "aw"), words(right, "b", "bw")
     pairs = word_scores(lw.select(F.col("aw").alias("a")).distinct(), rw.select(F.col("bw").alias("b")).distinct()) \
