@@ -103,8 +103,8 @@ def succession_chain(successions: DataFrame, orgs: DataFrame, roots: DataFrame |
                               .where("old_path IS NULL OR path < old_path").select("root", "node", "path"))
         best = checkpoint(best.unionByName(frontier).groupBy("root", "node").agg(F.min("path").alias("path")))
     last = F.when(F.size("path") > 1, F.try_element_at("path", F.lit(-2))).otherwise(F.col("root"))
-    hops = best.withColumn("src", last).join(edges, [F.col("src") == edges["src"], F.col("node") == edges["dst"]]) \
-        .select("root", "node", "path", "date")
+    dates = edges.withColumnRenamed("dst", "node")
+    hops = best.withColumn("src", last).join(dates, ["src", "node"]).select("root", "node", "path", "date")
     names = orgs.select(F.col("ods_code").alias("node"), F.col("name").alias("n"), F.col("status").alias("s"))
     return hops.join(names, "node", "left").select(
         F.col("root").alias("ods_code"), F.size("path").alias("depth"), F.col("date").alias("hop_date"),

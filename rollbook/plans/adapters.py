@@ -214,6 +214,40 @@ DEFINITIONS = {
 _snap_new = DEFINITIONS["snap_old"].replace("o_orderdate < timestamp '1998-01-01", "o_orderdate >= timestamp '1998-01-01")
 DEFINITIONS["snap_new"] = _snap_new
 
+_XML_ROW = f"""
+    SELECT {_ID} AS code, kind, k, @FILE AS file_index, @STUB AS ref_only, @NAME AS name,
+           CASE WHEN k % 3 = 0 THEN 'RC2' ELSE 'RC1' END AS record_class,
+           CASE WHEN k % 45 = 0 THEN NULL WHEN k % 7 = 0 THEN 'Inactive' ELSE 'Active' END AS status,
+           cast(date '@EPOCH' + cast(k % 3000 as int) as string) AS op_start,
+           CASE WHEN k % 121 = 0 THEN '1999-02-30' WHEN k % 77 = 0 THEN NULL WHEN k % 7 = 0 THEN
+             cast(date '1992-06-01' + cast(k % 900 as int) as string) ELSE NULL END AS op_end,
+           CASE WHEN k % 9 < 4 THEN concat('1996-', cast(k % 9 + 1 as string), '-', cast(k % 28 + 1 as string)) ELSE NULL END AS legal_start,
+           CASE WHEN k % 18 = 1 THEN '1995-01-01' ELSE NULL END AS legal_end,
+           concat(cast(k as string), ' HIGH STREET') AS addr1, CASE WHEN k % 4 = 0 THEN '  ' ELSE 'THE ARCADE' END AS addr2,
+           CASE WHEN k % 17 = 0 THEN NULL ELSE concat('TOWN ', cast(nk as string)) END AS town,
+           CASE WHEN k % 29 = 0 THEN NULL ELSE concat('N', cast(k % 9 + 1 as string), ' ', cast(k % 10 as string), 'XY') END AS postcode,
+           CASE WHEN k % 4 = 0 THEN NULL ELSE concat('0', cast(700000 + k as string)) END AS tel,
+           CASE WHEN k % 4 = 1 THEN concat('HTTP://', kind, cast(k as string), '.Example') ELSE NULL END AS http,
+           {_CODE} AS role1, CASE WHEN k % 14 = 0 THEN 'Inactive' ELSE 'Active' END AS role1_status,
+           CASE WHEN k % 5 = 1 THEN 'RO177' ELSE NULL END AS role2,
+           CASE WHEN k % 10 = 1 THEN 'Inactive' ELSE 'Active' END AS role2_status,
+           CASE WHEN k % 97 = 5 THEN concat('X', cast(k as string)) ELSE concat('C', cast(k % 100 as string)) END AS rel1_target,
+           CASE WHEN k % 3 = 2 THEN concat('S', cast(k % 50 as string)) ELSE NULL END AS rel2_target,
+           CASE WHEN k % 2 = 0 THEN 'Inactive' ELSE 'Active' END AS rel2_status,
+           CASE WHEN k % 40 = 8 THEN 'RO7009' ELSE NULL END AS rel1_role,
+           CASE WHEN kind = 'S' AND k % 3 = 2 THEN 'Predecessor' WHEN kind = 'S' AND k % 3 = 1 THEN 'Successor' ELSE NULL END AS succ_type,
+           CASE WHEN k % 20 = 1 THEN concat('Z', cast(k as string)) ELSE concat('S', cast(k % 40 as string)) END AS succ_target,
+           concat('su', cast(k - k % 4 as string)) AS succ_id
+    FROM <base>"""
+DEFINITIONS["xml_src"] = (
+    _XML_ROW.replace("@FILE", "0").replace("@STUB", "k % 6 = 0").replace("@NAME", "name").replace("@EPOCH", "1990-01-01")
+    + " UNION ALL "
+    + _XML_ROW.replace("@FILE", "1").replace("@STUB", "(k % 6 <> 0 AND k % 5 = 0)").replace("@NAME", "concat(name, ' (ARCHIVE)')")
+    .replace("@EPOCH", "1985-01-01") + " WHERE k % 3 <> 1 AND k % 30 <> 0")
+# the records a merge of the two files keeps
+DEFINITIONS["xml_kept"] = """
+    SELECT * FROM <xml_src> WHERE (file_index = 0 AND (k % 6 <> 0 OR k % 30 = 0)) OR (file_index = 1 AND k % 6 = 0)"""
+
 _SPARK = {"ARR(": "array(", "NOLIST": "cast(array() as array<string>)"}
 _DUCK = {"ARR(": "list_value(", "NOLIST": "cast([] as varchar[])", "SHA(": "sha256("}
 

@@ -1 +1,267 @@
-"""Queries to come."""
+"""Succession graph and entity profile queries (groups G and P, with their sort orders)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rollbook.functions.roles import RELATIONSHIP_ORDER
+from rollbook.functions.text import numeric_part
+from rollbook.operators import graph as G
+from rollbook.operators import profile as P
+from rollbook.operators.joins import operated_sites, output_record
+from rollbook.plans.registry import plan
+
+_EDGES = "edges AS (SELECT DISTINCT predecessor_code AS a, successor_code AS b FROM <successions>)"
+_PAIRS = f"{_EDGES}, p AS (SELECT a, b FROM edges UNION SELECT p.a, e.b FROM p JOIN edges e ON p.b = e.a), pairs AS (SELECT a, b FROM p WHERE a <> b)"
+
+
+@plan("g1_edges", "SELECT predecessor_code AS src, successor_code AS dst FROM <successions> GROUP BY ALL")
+def _(t):
+    return G.direct_edges(t.successions)
+
+
+@plan("g2_successor_closure", f"""
+    WITH RECURSIVE {_PAIRS} SELECT o.ods_code, coalesce(string_agg(b, ',' ORDER BY b), '') AS successor_codes
+    FROM <orgs> o LEFT JOIN pairs ON o.ods_code = a GROUP BY 1""")
+def _(t):
+    lists = G.closure_list(G.successor_pairs(t.successions), "successor_code", "successor_codes", t.orgs)
+    return lists.withColumn("successor_codes", F.array_join("successor_codes", ","))
+
+
+@plan("g2b_successor_pairs", f"WITH RECURSIVE {_PAIRS} SELECT a AS ods_code, b AS successor_code FROM pairs")
+def _(t):
+    return G.successor_pairs(t.successions)
+
+
+@plan("g3_predecessor_closure", f"""
+    WITH RECURSIVE {_PAIRS} SELECT o.ods_code, coalesce(string_agg(a, ',' ORDER BY a), '') AS predecessor_codes
+    FROM <orgs> o LEFT JOIN pairs ON o.ods_code = b GROUP BY 1""")
+def _(t):
+    pairs = G.predecessor_pairs(G.successor_pairs(t.successions))
+    return G.closure_list(pairs, "predecessor_code", "predecessor_codes", t.orgs).withColumn(
+        "predecessor_codes", F.array_join("predecessor_codes", ","))
+
+
+# every simple path is a candidate; the least per (root, node) is the depth-first one
+_CHAIN = """e AS (SELECT predecessor_code AS a, successor_code AS b, arg_min_null(legal_start, succession_id) AS d FROM <successions>
+      WHERE predecessor_code <> successor_code GROUP BY 1, 2),
+    walk AS (SELECT a AS root, b AS node, [b] AS path, d FROM e UNION ALL SELECT w.root, e.b, list_append(w.path, e.b), e.d
+             FROM walk w JOIN e ON w.node = e.a WHERE e.b <> w.root AND NOT list_contains(w.path, e.b)),
+    best AS (SELECT root, node, min(path) AS path, arg_min_null(d, path) AS d FROM walk GROUP BY 1, 2)"""
+
+
+@plan("g4_succession_chain", f"""
+    WITH RECURSIVE {_CHAIN} SELECT root AS ods_code, cast(len(path) as int) AS depth, d AS hop_date, node AS hop_code,
+      coalesce(o.name, '') AS hop_name, coalesce(o.status, 'unknown') AS hop_status, array_to_string(path, '>') AS path
+    FROM best LEFT JOIN <orgs> o ON o.ods_code = node""")
+def _(t):
+    return G.succession_chain(t.successions, t.orgs).withColumn("path", F.array_join("path", ">"))
+
+
+@plan("g5_direct_predecessors", """
+    SELECT successor_code AS ods_code, s.legal_start AS hop_date, predecessor_code AS hop_code, coalesce(o.name, '') AS hop_name,
+           coalesce(o.status, 'unknown') AS hop_status, succession_id FROM <successions> s LEFT JOIN <orgs> o ON o.ods_code = predecessor_code""")
+def _(t):
+    return G.direct_predecessors(t.successions, t.orgs)
+
+
+_LIVE = f"""{_EDGES}, act AS (SELECT ods_code FROM <orgs> WHERE status = 'active'),
+    scope AS (SELECT ods_code FROM <orgs> WHERE operational_end IS NOT NULL OR status = 'inactive'),
+    p AS (SELECT a, b FROM edges WHERE a IN (SELECT ods_code FROM scope)
+          UNION SELECT p.a, e.b FROM p JOIN edges e ON p.b = e.a WHERE e.b <> p.a AND p.b NOT IN (SELECT ods_code FROM act))"""
+
+
+@plan("g6_live_successors", f"""
+    WITH RECURSIVE {_LIVE} SELECT a AS ods_code, coalesce(string_agg(b, ',' ORDER BY b) FILTER (WHERE b IN (SELECT ods_code FROM act)), '') AS live_codes,
+      count(*) FILTER (WHERE b NOT IN (SELECT ods_code FROM act)) AS hops FROM p GROUP BY 1""")
+def _(t):
+    return G.live_successors(G.live_successor_pairs(t.successions, t.orgs)).withColumn("live_codes", F.array_join("live_codes", ","))
+
+
+@plan("g7_live_successors_scope", "SELECT ods_code FROM <orgs> WHERE operational_end IS NOT NULL OR status = 'inactive'")
+def _(t):
+    return G.closed_scope(t.orgs)
+
+
+@plan("g8_successor_label", f"""
+    WITH RECURSIVE {_CHAIN}, h AS (SELECT root, path, o.status = 'active' AS live, CASE WHEN coalesce(o.name, '') = '' THEN node ELSE o.name END AS shown
+      FROM best LEFT JOIN <orgs> o ON o.ods_code = node),
+    g AS (SELECT root, min_by(shown, path) FILTER (WHERE live) AS l, count(*) FILTER (WHERE live) AS nl, min_by(shown, path) AS f, count(*) AS n FROM h GROUP BY 1)
+    SELECT root AS ods_code, CASE WHEN nl > 1 THEN l || ' +' || (nl - 1) WHEN nl = 1 THEN l WHEN n > 1 THEN f || ' +' || (n - 1) ELSE f END
+      AS successor_label FROM g""")
+def _(t):
+    return G.successor_label(G.succession_chain(t.successions, t.orgs))
+
+
+@plan("g9_live_descendants", f"""
+    WITH RECURSIVE {_PAIRS} SELECT ods_code, name FROM <orgs> JOIN pairs ON b = ods_code WHERE a = 'S3' AND status = 'active'""")
+def _(t):
+    pairs = G.predecessor_pairs(G.successor_pairs(t.successions))
+    lists = G.closure_list(pairs, "predecessor_code", "predecessor_codes")
+    return G.live_descendants(t.orgs.join(lists, "ods_code"), "S3")
+
+
+def _stored(t, pairs):
+    """Stored closures with faults: direct successors only for some entities, a wrong extra for others."""
+    none = F.array().cast("array<string>")
+    good = G.closure_list(pairs, "successor_code", "successor_codes", t.orgs).join(
+        G.closure_list(G.predecessor_pairs(pairs), "predecessor_code", "predecessor_codes", t.orgs), "ods_code")
+    num = F.substring("ods_code", 2, 20).cast("bigint")
+    return good.withColumn("successor_codes", F.when(num % 9 == 4, none).when(num % 9 == 5, F.array_append("successor_codes", F.lit("BAD")))
+                           .otherwise(F.col("successor_codes")))
+
+
+@plan("g10_closure_verify", f"""
+    WITH RECURSIVE {_PAIRS}, o AS (SELECT ods_code, cast(substr(ods_code, 2) as bigint) % 9 AS m FROM <orgs>)
+    SELECT ods_code, 'successor_codes' AS side, b AS member, 'missing' AS problem FROM o JOIN pairs ON a = ods_code WHERE m = 4
+    UNION ALL SELECT ods_code, 'successor_codes', 'BAD', 'extra' FROM o WHERE m = 5""")
+def _(t):
+    from rollbook.runtime import checkpoint
+    pairs = checkpoint(G.successor_pairs(t.successions))
+    return G.closure_verify(_stored(t, pairs), pairs)
+
+
+@plan("g11_self_loops", "SELECT predecessor_code, succession_id FROM <successions> WHERE predecessor_code = successor_code")
+def _(t):
+    return G.self_loops(t.successions).select("predecessor_code", "succession_id")
+
+
+@plan("p1_lookup", "SELECT ods_code, name, status, town FROM <orgs> WHERE upper(ods_code) = 'S42'")
+def _(t):
+    return P.lookup(t.orgs, "s42").select("ods_code", "name", "status", "town")
+
+
+_PROLES = """pr AS (SELECT r.ods_code, role_code, role_name, is_primary, role_status, r.operational_start, r.operational_end
+      FROM <roles> r JOIN <orgs> o USING (ods_code) UNION ALL
+      SELECT ods_code, c, n, c = primary_role_code, 'active', NULL, NULL FROM (SELECT ods_code, primary_role_code, unnest(role_codes) AS c,
+        unnest(role_names) AS n FROM <orgs> WHERE ods_code NOT IN (SELECT ods_code FROM <roles>)) x)"""
+_PRELS = """px AS (SELECT source_code AS ods_code, 'outbound' AS direction, target_code AS code, rel_code, rel_name, rel_status, operational_start,
+        operational_end, rel_id FROM <relationships>
+      UNION ALL SELECT target_code, 'inbound', source_code, rel_code, rel_name, rel_status, operational_start, operational_end, rel_id
+      FROM <relationships> WHERE source_code <> target_code),
+    pl AS (SELECT px.*, coalesce(n.name, '') AS name FROM px LEFT JOIN <orgs> n ON n.ods_code = code
+           WHERE px.ods_code IN (SELECT ods_code FROM <orgs>))"""
+_MARK = """CASE WHEN o.operational_end IS NULL THEN NULL WHEN i.operational_end IS NULL THEN 'still-open'
+    WHEN i.operational_start > o.operational_end THEN 'starts-after' WHEN i.operational_end > o.operational_end THEN 'ends-after' END"""
+_SHOWN = "(o.operational_end IS NOT NULL OR o.status = 'inactive' OR i.operational_end IS NULL)"
+
+
+@plan("p2_profile_roles", f"WITH {_PROLES} SELECT * FROM pr")
+def _(t):
+    return P.profile_roles(t.orgs, t.roles)
+
+
+@plan("p3_profile_rels", f"WITH {_PRELS} SELECT ods_code, direction, code, name, rel_code, rel_status, operational_start, rel_id FROM pl")
+def _(t):
+    return P.profile_rels(t.orgs, t.relationships).select("ods_code", "direction", "code", "name", "rel_code", "rel_status",
+                                                          "operational_start", "rel_id")
+
+
+@plan("p4_profile_json", f"""
+    WITH RECURSIVE {_CHAIN}, {_PRELS}
+    SELECT o.ods_code, o.name, coalesce(r.n, 0) AS relationships, coalesce(s.n, 0) AS succession, coalesce(q.n, 0) AS predecessors
+    FROM <orgs> o LEFT JOIN (SELECT ods_code, count(*) AS n FROM pl GROUP BY 1) r USING (ods_code)
+    LEFT JOIN (SELECT root AS ods_code, count(*) AS n FROM best GROUP BY 1) s USING (ods_code)
+    LEFT JOIN (SELECT successor_code AS ods_code, count(*) AS n FROM <successions> GROUP BY 1) q USING (ods_code)""")
+def _(t):
+    items = P.profile_items(t.orgs, t.relationships, G.succession_chain(t.successions, t.orgs),
+                            G.direct_predecessors(t.successions, t.orgs))
+    docs = P.profile_json(t.orgs, items, part_rows=200)
+    parsed = docs.select(F.from_json("document", "ods_code string, name string, relationships array<string>, succession array<string>, "
+                                     "predecessors array<string>").alias("d"))
+    n = lambda c: F.sum(F.size(f"d.{c}")).cast("bigint").alias(c)
+    return parsed.groupBy("d.ods_code", "d.name").agg(n("relationships"), n("succession"), n("predecessors"))
+
+
+@plan("p4b_output_record", """
+    SELECT o.ods_code, coalesce(string_agg(s.successor_code || ':' || coalesce(x.name, '') || ':' || coalesce(x.status, 'unknown'), '|'
+             ORDER BY s.successor_code), '') AS successors
+    FROM <orgs> o LEFT JOIN (SELECT DISTINCT predecessor_code, successor_code FROM <successions> WHERE predecessor_code <> successor_code) s
+      ON s.predecessor_code = o.ods_code LEFT JOIN <orgs> x ON x.ods_code = s.successor_code GROUP BY 1""")
+def _(t):
+    pairs = G.direct_edges(t.successions).where("src <> dst").select(F.col("src").alias("ods_code"), F.col("dst").alias("successor_code"))
+    rows = G.closure_list(pairs, "successor_code", "successor_codes", t.orgs).withColumn(
+        "predecessor_codes", F.array().cast("array<string>"))
+    shown = F.transform("successors", lambda x: F.concat_ws(":", x["code"], x["name"], x["status"]))
+    return output_record(rows, t.orgs).select("ods_code", F.array_join(shown, "|").alias("successors"))
+
+
+@plan("p5_primary_role_name", """
+    SELECT ods_code, coalesce(role_names[list_position(role_codes, primary_role_code)], '') AS primary_role_name,
+           array_to_string(list_filter(list_transform(list_zip(role_codes, role_names), lambda p: CASE WHEN p[1] <> primary_role_code
+             THEN p[2] || ' (' || p[1] || ')' END), lambda x: x IS NOT NULL), '|') AS other_roles FROM <orgs>""")
+def _(t):
+    return P.primary_role_name(t.orgs).withColumn("other_roles", F.array_join("other_roles", "|"))
+
+
+@plan("p6_anomaly", f"""
+    WITH {_PROLES} SELECT i.ods_code, i.role_code, i.operational_start, {_MARK} AS anomaly FROM pr i JOIN <orgs> o USING (ods_code)
+    WHERE {_MARK} IS NOT NULL""")
+def _(t):
+    items = P.with_anomaly(P.profile_roles(t.orgs, t.roles), t.orgs)
+    return items.where("anomaly IS NOT NULL").select("ods_code", "role_code", "operational_start", "anomaly")
+
+
+@plan("p7_anomaly_counts", f"""
+    WITH {_PROLES}, {_PRELS} SELECT ods_code, anomaly, count(*) AS n FROM (
+      SELECT i.ods_code, {_MARK} AS anomaly FROM pr i JOIN <orgs> o USING (ods_code) WHERE {_SHOWN}
+      UNION ALL SELECT i.ods_code, {_MARK} FROM pl i JOIN <orgs> o USING (ods_code) WHERE {_SHOWN} AND direction = 'outbound') x
+    WHERE anomaly IS NOT NULL GROUP BY 1, 2""")
+def _(t):
+    return P.anomaly_counts(P.with_anomaly(P.profile_roles(t.orgs, t.roles), t.orgs),
+                            P.with_anomaly(P.profile_rels(t.orgs, t.relationships), t.orgs))
+
+
+@plan("p8_profile_counts", f"""
+    WITH {_PROLES}, {_PRELS} SELECT ods_code, count(*) FILTER (WHERE w = 'r' AND open) AS open_roles, count(*) FILTER (WHERE w = 'r' AND NOT open)
+      AS closed_roles, count(*) FILTER (WHERE w = 'x' AND open) AS open_rels, count(*) FILTER (WHERE w = 'x' AND NOT open) AS closed_rels
+    FROM (SELECT ods_code, 'r' AS w, operational_end IS NULL AS open FROM pr UNION ALL SELECT ods_code, 'x', operational_end IS NULL FROM pl
+          WHERE direction = 'outbound') z GROUP BY 1""")
+def _(t):
+    return P.profile_counts(P.profile_roles(t.orgs, t.roles), P.profile_rels(t.orgs, t.relationships))
+
+
+@plan("p9_visible_rows", f"""
+    WITH {_PROLES} SELECT i.ods_code, i.role_code, i.role_status FROM pr i JOIN <orgs> o USING (ods_code) WHERE {_SHOWN}""")
+def _(t):
+    items = P.with_anomaly(P.profile_roles(t.orgs, t.roles), t.orgs)
+    return P.visible_rows(items).select("ods_code", "role_code", "role_status")
+
+
+@plan("p10_is_closed_record", "SELECT ods_code, operational_end IS NOT NULL OR status = 'inactive' AS closed FROM <orgs>")
+def _(t):
+    return t.orgs.select("ods_code", P.is_closed_record().alias("closed"))
+
+
+@plan("p11_operated_sites", """
+    SELECT s.ods_code, s.name FROM <relationships> r JOIN <orgs> s ON r.source_code = s.ods_code
+    WHERE s.status = 'active' AND r.target_code = 'P8' AND r.rel_code = 'RE6' AND r.rel_status = 'active'""")
+def _(t):
+    return operated_sites(t.orgs, t.relationships, "P8")
+
+
+_RO = "coalesce(try_cast(regexp_replace(role_code, '[^0-9]', '', 'g') as bigint), 4294967295)"
+
+
+@plan("o4_role_sort", f"""
+    WITH {_PROLES} SELECT ods_code, role_code, operational_start, {_RO} AS role_number FROM pr
+    ORDER BY ods_code, operational_end IS NULL DESC, operational_start NULLS FIRST, role_number, role_code""")
+def _(t):
+    rows = P.profile_roles(t.orgs, t.roles).orderBy("ods_code", *P.role_sort())
+    return rows.select("ods_code", "role_code", "operational_start", numeric_part("role_code").alias("role_number"))
+
+
+_PHRASE = "CASE rel_code " + " ".join(f"WHEN '{c}' THEN '{p}'" for c, p in RELATIONSHIP_ORDER.items()) + " ELSE 'related to' END"
+
+
+@plan("o5_rel_sort_card", f"""
+    WITH {_PRELS} SELECT ods_code, code, rel_code, {_PHRASE} AS phrase FROM pl WHERE direction = 'outbound'""")
+def _(t):
+    rows = P.with_phrase(P.profile_rels(t.orgs, t.relationships).where("direction = 'outbound'"))
+    return rows.orderBy("ods_code", *P.rel_sort_card()).select("ods_code", "code", "rel_code", "phrase")
+
+
+@plan("o6_rel_sort_json", f"WITH {_PRELS} SELECT ods_code, direction, code, rel_name, rel_id FROM pl")
+def _(t):
+    rows = P.profile_rels(t.orgs, t.relationships).orderBy("ods_code", *P.rel_sort_json())
+    return rows.select("ods_code", "direction", "code", "rel_name", "rel_id")

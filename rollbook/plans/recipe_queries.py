@@ -158,9 +158,9 @@ def _(t):
 
 
 @plan("ga6b_in_outward", """
-    SELECT ods_code, name, postcode FROM <orgs> WHERE status = 'active' AND starts_with(postcode, 'E5 ') AND list_contains(role_names, 'BUILDING')""")
+    SELECT ods_code, name, postcode FROM <orgs> WHERE status = 'active' AND starts_with(postcode, 'N4 ') AND list_contains(role_names, 'BUILDING')""")
 def _(t):
-    return A.in_outward(t.orgs, "E5", "BUILDING")
+    return A.in_outward(t.orgs, "N4", "BUILDING")
 
 
 @plan("ga7_top_commissioners", """

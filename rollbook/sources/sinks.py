@@ -87,7 +87,7 @@ def snapshot_append(df: DataFrame, path: str, by: str = "publication_date") -> N
 def table_contract(tables: dict[str, T.StructType] | None = None) -> list[tuple]:
     """Rows ``(table, position, field, type, item_type, required, primary_key, references)``."""
     names = {"StringType": "string", "DateType": "date", "BooleanType": "boolean", "ArrayType": "list",
-             "LongType": "integer", "IntegerType": "integer", "DoubleType": "number", "TimestampType": "datetime"}
+             "LongType": "integer", "IntegerType": "integer", "DoubleType": "number", "TimestampType": "datetime", "TimestampNTZType": "datetime"}
     rows = []
     for table, schema in (tables or schemas.TABLES).items():
         for pos, f in enumerate(schema, 1):
