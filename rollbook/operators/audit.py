@@ -28,11 +28,11 @@ def check(df: DataFrame, name: str, sample: str, weight: Column | None = None) -
 
 def checks_in_one_pass(df: DataFrame, sample: str, rules: dict[str, Column]) -> DataFrame:
     """Several row-level checks over one input in a single aggregate."""
-    flat = [F.struct(F.count_if(c).alias("n"), F.min(F.when(c, F.col(sample).cast("string"))).alias("sample")).alias(k)
-            for k, c in rules.items()]
+    flat = [F.struct(F.count_if(c).alias("n"), F.min(F.when(c, F.col(sample).cast("string"))).alias("sample")).alias(f"c{i}")
+            for i, c in enumerate(rules.values())]
     one = df.agg(*flat)
-    rows = F.array(*[F.struct(F.lit(k).alias("check_name"), F.col(k)["n"].alias("n"), F.col(k)["sample"].alias("sample"))
-                     for k in rules])
+    rows = F.array(*[F.struct(F.lit(k).alias("check_name"), F.col(f"c{i}")["n"].alias("n"), F.col(f"c{i}")["sample"].alias("sample"))
+                     for i, k in enumerate(rules)])
     return one.select(F.explode(rows).alias("c")).select("c.*")
 
 

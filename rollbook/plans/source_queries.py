@@ -241,15 +241,23 @@ def _(t):
         F.count("*").alias("n"), F.count_if(F.col("publication_date") == F.lit("2024-01-09").cast("date")).alias("replaced"))
 
 
-_GIVEN = ("customer", "orders", "lineitem", "part", "supplier", "nation", "region", "events", "documents", "labels", "pages", "conversations", "benchmark")
-
-
-@plan("k11_table_schema_export", " UNION ALL ".join(f"""
-    SELECT '{g}' AS table_name, cast(row_number() OVER () as int) AS position, column_name AS field, CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE'
-      THEN 'number' WHEN 'TIMESTAMP' THEN 'datetime' ELSE 'integer' END AS type FROM (SELECT column_name, column_type AS data_type FROM (DESCRIBE {g})) d"""
-    for g in _GIVEN))
-def _(t):
-    return sinks.table_schema_export(t.spark, {g: getattr(t, g).schema for g in _GIVEN}).select("table_name", "position", "field", "type")
+_FIELDS = {
+    "customer": "c_custkey:integer c_name:string c_nationkey:integer c_acctbal:number c_mktsegment:string",
+    "orders": "o_orderkey:integer o_custkey:integer o_orderstatus:string o_totalprice:number o_orderdate:datetime o_orderpriority:string",
+    "part": "p_partkey:integer p_name:string p_brand:string p_type:string p_size:integer p_retailprice:number",
+    "events": "event_id:integer ts:datetime user_id:integer event_type:string value:number props:string",
+}
+_EXPORT = " UNION ALL ".join(
+    f"SELECT '{tb}' AS table_name, {i} AS position, '{f.split(':')[0]}' AS field, '{f.split(':')[1]}' AS type, count(*) - count({f.split(':')[0]}) AS nulls FROM <{tb}>"
+    for tb, fs in _FIELDS.items() for i, f in enumerate(fs.split(), 1))
+
+
+@plan("k11_table_schema_export", _EXPORT)
+def _(t):
+    contract = sinks.table_schema_export(t.spark, {g: getattr(t, g).schema for g in _FIELDS})
+    nulls = [sinks.observed_nulls(getattr(t, g)).withColumn("table_name", F.lit(g)) for g in _FIELDS]
+    seen = nulls[0].unionByName(nulls[1]).unionByName(nulls[2]).unionByName(nulls[3])
+    return contract.join(seen, ["table_name", "field"]).select("table_name", "position", "field", "type", "nulls")
 
 
 @plan("k12_file_manifest")

@@ -106,3 +106,10 @@ CONTRACT_DDL = ("table_name string, position int, field string, type string, ite
 def table_schema_export(spark, tables: dict[str, T.StructType] | None = None) -> DataFrame:
     """The table contract as a relation, one row per field."""
     return spark.createDataFrame(table_contract(tables), CONTRACT_DDL)
+
+
+def observed_nulls(df: DataFrame) -> DataFrame:
+    """NULLs per column, all columns in one pass: the data's side of the ``required`` flag."""
+    one = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    rows = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("nulls")) for c in df.columns])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
