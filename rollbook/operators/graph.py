@@ -79,29 +79,45 @@ def _edge_facts(successions: DataFrame) -> DataFrame:
             .agg(F.min_by("legal_start", "succession_id").alias("date")))
 
 
+def _segments(edges: DataFrame, growth: int = 8, longest: int = 8) -> DataFrame:
+    """Simple paths of one edge up to a few, as long as all of them stay within ``growth`` times the edges."""
+    tip = edges.select("src", "dst", F.array("dst").alias("segment"))
+    found, allowed = tip, growth * edges.count()
+    for _ in range(longest - 1):
+        allowed -= tip.count()
+        step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+        tip = tip.join(step, "dst").where((F.col("next") != F.col("src")) & ~F.array_contains("segment", F.col("next"))).select(
+            "src", F.col("next").alias("dst"), F.concat("segment", F.array("next")).alias("segment"))
+        if tip.limit(allowed + 1).count() > allowed:
+            break
+        tip = checkpoint(tip)
+        found = found.unionByName(tip)
+    return checkpoint(found)
+
+
 def succession_chain(successions: DataFrame, orgs: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Hops of every root in depth-first order: ``ods_code, depth, hop_date, hop_code, hop_name, hop_status, path``.
 
     Edges leave a node in successor-code order, so a depth-first walk's first visit of a
     node is along the least path without repeats, compared element by element. That holds
-    with cycles too: the prefix of a least simple path is itself least. Each round extends
-    only paths that improved and keeps the least path per (root, node).
+    with cycles too: the prefix of a least simple path is itself least. A round extends only
+    the paths that improved, by every simple segment of a few edges at once, and one
+    aggregate keeps the least path per (root, node).
     """
-    facts = _edge_facts(successions).where("src <> dst")
-    edges = checkpoint(facts)
+    edges = checkpoint(_edge_facts(successions).where("src <> dst"))
+    segments = _segments(edges)
     first = edges.select(F.col("src").alias("root"), F.col("dst").alias("node"), F.array("dst").alias("path"))
     if roots is not None:
         first = first.join(roots.select(F.col("ods_code").alias("root")), "root", "left_semi")
-    best = frontier = checkpoint(first)
-    while not frontier.isEmpty():
-        longer = (frontier.join(edges, F.col("node") == F.col("src"))
-                  .where((F.col("dst") != F.col("root")) & ~F.array_contains("path", F.col("dst")))
-                  .select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")))
-        least = longer.groupBy("root", "node").agg(F.min("path").alias("path"))
-        old = best.withColumnRenamed("path", "old_path")
-        frontier = checkpoint(least.join(old, ["root", "node"], "left")
-                              .where("old_path IS NULL OR path < old_path").select("root", "node", "path"))
-        best = checkpoint(best.unionByName(frontier).groupBy("root", "node").agg(F.min("path").alias("path")))
+    best = checkpoint(first.withColumn("improved", F.lit(True)))
+    while not (frontier := best.where("improved")).isEmpty():
+        longer = (frontier.join(segments, F.col("node") == F.col("src"))
+                  .where(~F.array_contains("segment", F.col("root")) & ~F.arrays_overlap("path", "segment"))
+                  .select("root", F.col("dst").alias("node"), F.concat("path", "segment").alias("path"),
+                          F.lit(None).cast(_EMPTY).alias("old")))
+        least = best.select("root", "node", "path", F.col("path").alias("old")).unionByName(longer).groupBy("root", "node").agg(
+            F.min("path").alias("path"), F.min("old").alias("old"))
+        best = checkpoint(least.select("root", "node", "path", F.expr("old IS NULL OR path < old").alias("improved")))
     last = F.when(F.size("path") > 1, F.try_element_at("path", F.lit(-2))).otherwise(F.col("root"))
     dates = edges.withColumnRenamed("dst", "node")
     hops = best.withColumn("src", last).join(dates, ["src", "node"]).select("root", "node", "path", "date")
