@@ -94,18 +94,27 @@ def merge_entities(records: DataFrame, code: str = "code", ref_only: str = "ref_
 
 
 def _code_facts(records: DataFrame, code: str, ref_only: str, file_index: str, started: str) -> DataFrame:
-    complete = ~F.col(ref_only)
-    first_file = records.groupBy(code).agg(F.min(F.when(complete, F.col(file_index))).alias("win_file"))
-    seen = records.join(first_file, code)
-    inside = complete & (F.col(file_index) == F.col("win_file"))
-    before = F.col(ref_only) & (F.col("win_file").isNull() | (F.col(file_index) < F.col("win_file")))
-    top = records.groupBy(code, file_index).agg(F.max(F.when(complete, F.col(started))).alias("top_start"))
-    facts = seen.groupBy(code, "win_file").agg(
-        F.count_if(before).alias("early_stubs"), F.count_if(inside).alias("rivals"),
-        F.count_if(inside & F.col(started).isNull()).alias("undated"), F.count("*").alias("records"),
-        F.count_if(F.col(ref_only)).alias("stubs"))
-    return facts.join(top.select(F.col(code), F.col(file_index).alias("win_file"), F.col("top_start").alias("win_start")),
-                      [code, "win_file"], "left")
+    """Per code, by staged counts: the winning file, its latest start and rivals, and the stubs before it.
+
+    Equal records are counted first, then summed per file, then per code. The last step
+    gathers one entry per file, and a release has few files.
+    """
+    same = records.groupBy(code, file_index, ref_only, started).agg(F.count("*").alias("n"))
+    stub, n = F.col(ref_only), F.col("n")
+    total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    per_file = same.groupBy(code, file_index).agg(
+        total(stub).alias("stubs"), total(~stub).alias("complete"), total(~stub & F.col(started).isNull()).alias("undated"),
+        F.max(F.when(~stub & F.col(started).isNotNull(), F.struct(F.col(started).alias("start"), n.alias("n")))).alias("top"))
+    files = per_file.groupBy(code).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(file_index).alias("file"), "stubs", "complete", "undated", "top"))).alias("files"))
+    win = F.try_element_at(F.filter("files", lambda f: f["complete"] > 0), F.lit(1))
+    add = lambda items: F.aggregate(items, F.lit(0).cast("bigint"), lambda x, y: x + y)
+    early = F.filter("files", lambda f: F.col("win").isNull() | (f["file"] < F.col("win.file")))
+    return files.withColumn("win", win).select(
+        code, F.col("win.file").alias("win_file"), F.col("win.top.start").alias("win_start"), F.col("win.top.n").alias("at_top"),
+        F.col("win.complete").alias("rivals"), F.col("win.undated").alias("undated"),
+        add(F.transform(early, lambda f: f["stubs"])).alias("early_stubs"),
+        add(F.transform("files", lambda f: f["stubs"] + f["complete"])).alias("records"))
 
 
 def merge_contradictions(records: DataFrame, code: str = "code", ref_only: str = "ref_only",
@@ -115,15 +124,11 @@ def merge_contradictions(records: DataFrame, code: str = "code", ref_only: str =
     Row order inside a file is not kept, so a tie counts only at the latest start,
     and stubs count only in files before the first complete record.
     """
-    facts = _code_facts(records, code, ref_only, file_index, started)
-    at_top = (records.where(~F.col(ref_only)).groupBy(code, F.col(file_index).alias("win_file"),
-                                                      F.col(started).alias("win_start"))
-              .agg(F.count("*").alias("at_top")))
-    joined = facts.join(at_top, [code, "win_file", "win_start"], "left")
     reason = (F.when(F.col("early_stubs") > 1, F.lit("two stubs"))
               .when((F.col("rivals") > 1) & (F.col("undated") > 0), F.lit("no start to compare"))
               .when((F.col("rivals") > 1) & (F.col("at_top") > 1), F.lit("equal start")))
-    return joined.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(code, "records", "reason")
+    facts = _code_facts(records, code, ref_only, file_index, started).withColumn("reason", reason)
+    return facts.where(F.col("reason").isNotNull()).select(code, "records", "reason")
 
 
 def merge_fate(records: DataFrame, code: str = "code", ref_only: str = "ref_only", file_index: str = "file_index",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions.text import semver
@@ -81,7 +81,6 @@ def catalog_validate(releases: DataFrame, datasets: DataFrame) -> DataFrame:
     """Rows ``(item, problem)`` that break the catalogue's rules.
 
     ``release_pos`` and ``dataset_pos``, when present, give the listed order to check.
-    Releases and a release's datasets are few, so the order windows stay small.
     """
     def problems(df, item, rules):
         rows = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(p)) for p, c in rules.items()]))
@@ -102,14 +101,19 @@ def catalog_validate(releases: DataFrame, datasets: DataFrame) -> DataFrame:
             "malformed digest": ~F.col("manifest_digest").rlike(HASH), "bytes not positive": F.col("bytes") <= 0,
             "malformed tool version": semver("tool_version").isNull(), "malformed commit": ~F.col("tool_git_sha").rlike(COMMIT)}),
     ]
+    def before(df, key, pos, value):
+        """Each row with the value listed just before it, by an equi-join on the position."""
+        keyed = df.select(*key, pos, value.alias("v")).distinct()
+        prior = keyed.select(*key, (F.col(pos) + 1).alias(pos), F.col("v").alias("p"))
+        return keyed.join(prior, [*key, pos])
+
     if "release_pos" in releases.columns:
-        prev = F.lag("release").over(Window.partitionBy(F.lit(0)).orderBy("release_pos"))
-        parts.append(releases.select("release", prev.alias("p")).where("release > p").select(
-            F.col("release").alias("item"), F.lit("releases not newest first").alias("problem")))
+        parts.append(before(releases, [], "release_pos", F.col("release")).where("v > p").select(
+            F.col("v").alias("item"), F.lit("releases not newest first").alias("problem")))
     if "dataset_pos" in datasets.columns:
-        prev = F.lag(dataset_semver()).over(Window.partitionBy("release").orderBy("dataset_pos"))
-        parts.append(datasets.select("version", dataset_semver().alias("s"), prev.alias("p")).where("s < p").select(
-            F.col("version").alias("item"), F.lit("datasets not oldest first").alias("problem")))
+        value = F.struct(dataset_semver().alias("s"), "version")
+        parts.append(before(datasets, ["release"], "dataset_pos", value).where("v.s < p.s").select(
+            F.col("v.version").alias("item"), F.lit("datasets not oldest first").alias("problem")))
     return reduce(DataFrame.unionByName, parts)
 
 

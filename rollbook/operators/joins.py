@@ -53,7 +53,7 @@ def linked_codes(rels: DataFrame) -> DataFrame:
 def targets_never_source(rels: DataFrame) -> DataFrame:
     """Codes that only ever appear as a target."""
     return rels.select(F.col("target_code").alias("ods_code")).distinct().join(
-        rels.select(F.col("source_code").alias("ods_code")), "ods_code", "left_anti")
+        rels.select(F.col("source_code").alias("ods_code")).distinct(), "ods_code", "left_anti")
 
 
 def join_far_side_filter(rels: DataFrame, orgs: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def rollup_two_hop(rels: DataFrame, first: str = COMMISSIONED_BY, second: str =
 def no_commissioner(orgs: DataFrame, rels: DataFrame, role_code: str, rel_code: str = COMMISSIONED_BY) -> DataFrame:
     """Active holders of a role without an active relationship of one type."""
     have = rels.where((F.col("rel_status") == "active") & (F.col("rel_code") == rel_code)).select(
-        F.col("source_code").alias("ods_code"))
+        F.col("source_code").alias("ods_code")).distinct()
     holders = orgs.where((F.col("status") == "active") & F.array_contains("role_codes", role_code))
     return holders.select("ods_code", "name").join(have, "ods_code", "left_anti")
 

@@ -23,7 +23,7 @@ def profile_roles(orgs: DataFrame, roles: DataFrame) -> DataFrame:
         "ods_code", "role_code", "role_name",
         F.coalesce("is_primary", F.col("role_code") == F.col("primary_role_code")).alias("is_primary"),
         F.coalesce("role_status", F.lit("active")).alias("role_status"), "operational_start", "operational_end")
-    bare = orgs.join(roles.select("ods_code"), "ods_code", "left_anti").select(
+    bare = orgs.join(roles.select("ods_code").distinct(), "ods_code", "left_anti").select(
         "ods_code", "primary_role_code",
         F.explode(F.slice(F.arrays_zip(F.col("role_codes").alias("code"), F.col("role_names").alias("name")), F.lit(1),
                           F.least(F.size("role_codes"), F.size("role_names")))).alias("r"))
@@ -107,13 +107,17 @@ def profile_counts(role_items: DataFrame, rel_items: DataFrame) -> DataFrame:
                                         n("rel", True).alias("open_rels"), n("rel", False).alias("closed_rels"))
 
 
-def primary_role_name(orgs: DataFrame) -> DataFrame:
+def role_name_columns() -> dict[str, Column]:
     """Name at the primary code, and the other roles as ``"name (code)"``."""
     pairs = F.arrays_zip(F.col("role_codes").alias("code"), F.col("role_names").alias("name"))
     rest = F.transform(F.filter(pairs, lambda p: p["code"] != F.col("primary_role_code")),
                        lambda p: F.concat(p["name"], F.lit(" ("), p["code"], F.lit(")")))
-    return orgs.select("ods_code", F.coalesce(name_at_code("role_names", "role_codes", F.col("primary_role_code")),
-                                              F.lit("")).alias("primary_role_name"), rest.alias("other_roles"))
+    first = F.coalesce(name_at_code("role_names", "role_codes", F.col("primary_role_code")), F.lit(""))
+    return {"primary_role_name": first, "other_roles": rest}
+
+
+def primary_role_name(orgs: DataFrame) -> DataFrame:
+    return orgs.withColumns(role_name_columns()).select("ods_code", "primary_role_name", "other_roles")
 
 
 def profile_items(orgs: DataFrame, rels: DataFrame, chain: DataFrame, preds: DataFrame) -> DataFrame:
@@ -152,7 +156,7 @@ def profile_json(orgs: DataFrame, items: DataFrame, part_rows: int = 50_000) ->
     of = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == s, item))), lambda i: i["item"])
     sections = ["relationships", "succession", "predecessors"]
     lists = placed.groupBy("ods_code", "part", "parts").agg(*[of(s).alias(s) for s in sections])
-    heads = orgs.join(primary_role_name(orgs), "ods_code").withColumn(
+    heads = orgs.withColumns(role_name_columns()).withColumn(
         "head", F.to_json(F.struct(*orgs.columns, "primary_role_name", "other_roles"), {"ignoreNullFields": "false"}))
     none = F.array().cast("array<string>")
     joined = heads.select("ods_code", "head").join(lists, "ods_code", "left")

@@ -508,3 +508,17 @@ def _(t):
                                      F.replace(day, F.lit("-"), F.lit("")), F.lit("000001.zip")).alias("file_name")).distinct()
     names = names.union(t.orders.select(F.concat("o_orderpriority", F.lit(".zip"))).distinct())
     return names.select("file_name", archive_name_parts("file_name").alias("p")).select("file_name", "p.version", "p.label", "p.release_date")
+
+
+@plan("b22_make_release", f"""
+    SELECT 'orgs' AS table_name, count(*) AS n_rows, min(code) AS first_key FROM <xml_kept>
+    UNION ALL SELECT 'roles', count(*) + count(role2), min(code) || '-r1' FROM <xml_kept> WHERE NOT ref_only
+    UNION ALL SELECT 'relationships', count(*) + count(rel2_target), min(code) || '-e1' FROM <xml_kept> WHERE NOT ref_only
+    UNION ALL SELECT 'successions', count(*), min(succession_id) FROM {_SUCC} s""")
+def _(t):
+    from rollbook.operators.make import make_release
+    out = scratch_path(t.spark, "made")
+    make_release(t.spark, written.xml_release(t), t.vocab, out)
+    parts = [tables.scan_table(t.spark, out, name).agg(F.count("*").alias("n_rows"), F.min(key).alias("first_key"))
+             .select(F.lit(name).alias("table_name"), "n_rows", "first_key") for name, key in schemas.PRIMARY_KEYS.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows up to which a lookup table may be replicated to every task.
 SMALL_ROWS = 200_000
@@ -57,7 +56,3 @@ def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; reads no more than that."""
     return df.limit(max_rows + 1).count() <= max_rows
 
-
-def replicate_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Hint a broadcast when the size check passes; otherwise leave the shuffle join."""
-    return F.broadcast(df) if is_small(df, max_rows) else df

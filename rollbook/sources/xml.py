@@ -7,9 +7,13 @@ manifest and the code lists sit in the chunk before the first entity.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollbook.runtime import checkpoint
+
 _DATE = "array<struct<_type: string, Type: struct<_text: string, _value: string>, " \
         "Start: struct<_value: string>, End: struct<_value: string>>>"
 _TARGET = "struct<OrgId: struct<_extension: string>, " \
@@ -110,37 +114,54 @@ def scan_xml_entities(spark: SparkSession, paths, prefix: str | None = None) ->
         rels.alias("rels"), succs.alias("succs"))
 
 
-def scan_xml_manifest(spark: SparkSession, paths, prefix: str | None = None) -> DataFrame:
-    """Per file: declared record count, publication date as written, and the primary-role scope."""
+def scan_xml_headers(spark: SparkSession, paths, prefix: str | None = None) -> DataFrame:
+    """The chunks that hold a manifest or code list, kept so both are read from one pass over the files."""
     chunks = xml_chunks(spark, paths, "Organisation", prefix)
+    return checkpoint(chunks.where(F.col("value").contains("Manifest") | F.col("value").contains("oncept "))
+                      .select("file_name", "value"))
+
+
+def manifests_of(headers: DataFrame) -> DataFrame:
+    """Per file: declared record count, publication date as written, and the primary-role scope."""
     body = F.regexp_extract("value", "(?s)(<(?:[\\w.-]+:)?Manifest[\\s>].*?</(?:[\\w.-]+:)?Manifest>)", 1)
-    scope = F.regexp_extract_all("value", F.lit(f"(?s)(<(?:[\\w.-]+:)?PrimaryRole\\s{_ATTRS}\\s*/?>)"
-                                               .replace("\\s(?:", "(?:", 1)), F.lit(1))
+    scope = F.regexp_extract_all("value", F.lit(f"(?s)(<(?:[\\w.-]+:)?PrimaryRole{_ATTRS}\\s*/?>)"), F.lit(1))
     ids = F.transform(scope, lambda t: F.regexp_extract(t, "\\sid\\s*=\\s*[\"']([^\"']*)[\"']", 1))
-    head = chunks.withColumn("m", body).where(F.col("m") != "")
+    head = headers.withColumn("m", body).where(F.col("m") != "")
     parsed = F.from_xml("m", "RecordCount struct<_value: string>, PublicationDate struct<_value: string>", _OPTIONS)
     return head.withColumn("p", parsed).select(
         "file_name", F.col("p.RecordCount._value").try_cast("bigint").alias("record_count"),
         F.col("p.PublicationDate._value").alias("publication_date"), ids.alias("primary_role_scope"))
 
 
-def scan_xml_concepts(spark: SparkSession, paths, prefix: str | None = None) -> DataFrame:
-    """Code-list entries by id and by code -> display name; the first file (by name) wins."""
-    chunks = xml_chunks(spark, paths, "Organisation", prefix)
+def concepts_of(headers: DataFrame, file: str = "file_name") -> DataFrame:
+    """Code-list entries by id and by code -> display name; the first file wins, its last entry for a code."""
     tags = F.regexp_extract_all("value", F.lit(f"(?s)(<(?:[\\w.-]+:)?[Cc]oncept{_ATTRS}\\s*/?>)"), F.lit(1))
     one = F.concat(F.regexp_replace("tag", "\\s*/?>$", ""), F.lit("/>"))
     parsed = F.from_xml(one, "_id string, _code string, _displayName string", _OPTIONS)
-    rows = chunks.select("file_name", F.posexplode(tags).alias("ordinal", "tag")).withColumn("c", parsed)
-    keyed = rows.select("file_name", "ordinal", F.col("c._displayName").alias("display_name"),
+    rows = headers.select(file, F.posexplode(tags).alias("ordinal", "tag")).withColumn("c", parsed)
+    keyed = rows.select(file, "ordinal", F.col("c._displayName").alias("display_name"),
                         F.explode(F.array_compact(F.array("c._id", "c._code"))).alias("code"))
     return (keyed.where(F.col("display_name").isNotNull()).groupBy("code")
-            .agg(F.min_by("display_name", F.struct(F.col("file_name"), -F.col("ordinal"))).alias("display_name")))
+            .agg(F.min_by("display_name", F.struct(F.col(file), -F.col("ordinal"))).alias("display_name")))
+
+
+def scan_xml_manifest(spark: SparkSession, paths, prefix: str | None = None) -> DataFrame:
+    """``manifests_of`` the files' headers."""
+    return manifests_of(scan_xml_headers(spark, paths, prefix))
+
+
+def scan_xml_concepts(spark: SparkSession, paths, prefix: str | None = None) -> DataFrame:
+    """``concepts_of`` the files' headers."""
+    return concepts_of(scan_xml_headers(spark, paths, prefix))
 
 
 def scan_xml_release(spark: SparkSession, paths_in_order: list[str]) -> DataFrame:
     """Entities of all source files of a release with ``file_index``, full file first."""
     parts = [scan_xml_entities(spark, p).withColumn("file_index", F.lit(i)) for i, p in enumerate(paths_in_order)]
-    out = parts[0]
-    for df in parts[1:]:
-        out = out.unionByName(df)
-    return out
+    return reduce(DataFrame.unionByName, parts)
+
+
+def scan_release_headers(spark: SparkSession, paths_in_order: list[str]) -> DataFrame:
+    """Header chunks of all source files of a release with ``file_index``."""
+    parts = [scan_xml_headers(spark, p).withColumn("file_index", F.lit(i)) for i, p in enumerate(paths_in_order)]
+    return reduce(DataFrame.unionByName, parts)

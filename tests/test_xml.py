@@ -176,3 +176,21 @@ def test_source_invariants_find_each_fault(spark, tmp_path):
     assert got == {"dup_role_ids": (1, "1"), "dup_rel_ids": (1, "5"), "dangling_rel_targets": (1, "NOPE"), "dangling_succ_targets": (1, "GONE"),
                    "primary_role_mismatch": (1, "A"), "unknown_role_concepts": (1, "RO999"), "invalid_date_order": (1, "A"),
                    "missing_operational_date": (1, "B"), "invalid_status": (1, "B"), "inactive_without_end": (2, "B"), "invalid_succ_type": (1, "C")}
+
+
+def test_make_release_writes_four_tables_or_refuses(spark, tmp_path, temporal):
+    from rollbook.operators.make import BuildRefused, make_release
+    from rollbook.sources.tables import scan_table
+    make_release(spark, [temporal], vocab(spark), str(tmp_path / "out"))
+    n = {name: scan_table(spark, str(tmp_path / "out"), name).count() for name in ("orgs", "roles", "relationships", "successions")}
+    assert n == {"orgs": 3, "roles": 6, "relationships": 1, "successions": 1}
+    refused = lambda *a: pytest.raises(BuildRefused, match=a[0])
+    with refused("disagree"):
+        make_release(spark, [temporal, write(tmp_path, "late.xml", [org("X")], date="2026-07-29")], vocab(spark), str(tmp_path / "no"))
+    with refused("declared 9, read 1"):
+        make_release(spark, [write(tmp_path, "short.xml", [org("X")], count=9)], vocab(spark), str(tmp_path / "no"))
+    with refused("X/no start to compare"):
+        make_release(spark, [write(tmp_path, "twice.xml", [org("X"), org("X")])], vocab(spark), str(tmp_path / "no"))
+    with refused("RO5"):
+        make_release(spark, [write(tmp_path, "role.xml", [org("X", "<Roles>" + role("RO5", "1") + "</Roles>")])], vocab(spark), str(tmp_path / "no"))
+    assert not (tmp_path / "no").exists()
