@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from rollbook import schemas
 from rollbook.functions.dates import last_of_type
 from rollbook.functions.roles import all_low_signal
-from rollbook.operators.build import first_contact, pick_dates, primary_role, primary_role_code, role_codes
+from rollbook.operators.build import first_contact, primary_role, primary_role_code, role_codes
 from rollbook.operators.graph import closure_verify
 
 
@@ -26,10 +26,12 @@ def check(df: DataFrame, name: str, sample: str, weight: Column | None = None) -
         F.lit(name).alias("check_name"), "n", "sample")
 
 
-def checks_in_one_pass(df: DataFrame, sample: str, rules: dict[str, Column]) -> DataFrame:
-    """Several row-level checks over one input in a single aggregate."""
-    flat = [F.struct(F.count_if(c).alias("n"), F.min(F.when(c, F.col(sample).cast("string"))).alias("sample")).alias(f"c{i}")
-            for i, c in enumerate(rules.values())]
+def checks_in_one_pass(df: DataFrame, sample: str, rules: dict[str, Column], weights: dict[str, Column] | None = None) -> DataFrame:
+    """Several row-level checks over one input in a single aggregate; ``weights`` counts a row more than once."""
+    weights = weights or {}
+    count = lambda k, c: F.coalesce(F.sum(F.when(c, weights[k])), F.lit(0)).cast("bigint") if k in weights else F.count_if(c)
+    flat = [F.struct(count(k, c).alias("n"), F.min(F.when(c, F.col(sample).cast("string"))).alias("sample")).alias(f"c{i}")
+            for i, (k, c) in enumerate(rules.items())]
     one = df.agg(*flat)
     rows = F.array(*[F.struct(F.lit(k).alias("check_name"), F.col(f"c{i}")["n"].alias("n"), F.col(f"c{i}")["sample"].alias("sample"))
                      for i, k in enumerate(rules)])
@@ -72,18 +74,19 @@ def date_order_bad(start: Column, end: Column) -> Column:
 
 
 def entity_invariants(entities: DataFrame) -> DataFrame:
-    """Row-level rules on source entities, one pass: dates, statuses as written, missing ends."""
-    d = pick_dates("dates")
+    """Row-level rules on source entities, one pass: dates, statuses as written, missing ends.
+
+    Dates are compared as written, block by block; an entity with several bad blocks counts each.
+    """
     status = F.coalesce("status", F.lit("Active"))
-    has_operational = last_of_type("dates", "operational").isNotNull()
-    legal_bad = date_order_bad(d["legal_start"], d["legal_end"])
-    operational_bad = date_order_bad(d["operational_start"], d["operational_end"])
+    operational = last_of_type("dates", "operational")
+    bad_blocks = F.size(F.filter("dates", lambda d: d["date_type"].isNotNull() & date_order_bad(d["start"], d["end"])))
     return checks_in_one_pass(entities, "code", {
-        "invalid_date_order": legal_bad | operational_bad,
-        "missing_operational_date": ~has_operational,
+        "invalid_date_order": bad_blocks > 0,
+        "missing_operational_date": operational.isNull(),
         "invalid_status": ~status.isin("Active", "Inactive"),
-        "inactive_without_end": (F.lower(status) != "active") & d["operational_end"].isNull(),
-    })
+        "inactive_without_end": (F.lower(status) != "active") & operational["end"].isNull(),
+    }, weights={"invalid_date_order": bad_blocks})
 
 
 def invalid_succ_type(succs: DataFrame) -> DataFrame:

@@ -50,20 +50,26 @@ def choose_source_pair(files: DataFrame, release: str = "release") -> DataFrame:
 
 
 def agree_publication_date(manifests: DataFrame, by: str | None = None) -> DataFrame:
-    """The date all files state, or ``undated`` / ``disagree``; ``says`` lists what each file states."""
+    """The date all files state, or ``undated`` / ``disagree``; see ``stated_dates`` for who says what."""
     day = parse_date("publication_date")
     out = manifests.groupBy(*([by] if by else [])).agg(
         F.count_if(day.isNull()).alias("undated_files"), F.count_distinct("publication_date").alias("dates"),
-        F.min(day).alias("agreed"),
-        F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "file_name", F.coalesce("publication_date",
-                                                                                           F.lit("none"))))), "; ")
-        .alias("says"))
+        F.min(day).alias("agreed"))
     verdict = (F.when(F.col("undated_files") > 0, F.lit("undated")).when(F.col("dates") > 1, F.lit("disagree"))
                .otherwise(F.lit("agreed")))
     return out.withColumn("verdict", verdict).withColumn(
         "publication_date", F.when(F.col("verdict") == "agreed", F.col("agreed"))).drop("agreed")
 
 
+def stated_dates(manifests: DataFrame) -> DataFrame:
+    """What each file says about its date, for a refusal."""
+    stated = F.col("publication_date")
+    says = (F.when(stated.isNull(), F.lit("no PublicationDate"))
+            .when(parse_date("publication_date").isNull(), F.concat(F.lit("PublicationDate '"), stated, F.lit("', not a date")))
+            .otherwise(F.concat(F.lit("PublicationDate "), stated)))
+    return manifests.withColumn("says", says)
+
+
 def check_record_counts(records: DataFrame, manifests: DataFrame, file: str = "file_name") -> DataFrame:
     """Declared and read records summed over all files, before merging."""
     read = records.groupBy(file).agg(F.count("*").alias("read"))

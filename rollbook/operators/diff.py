@@ -11,6 +11,13 @@ GEO = ["town", "postcode"]
 OTHER = ["role", "contacts"]
 
 
+def diff_view(orgs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """The compared columns of an entity table; the primary role by name, or its code when it has none."""
+    names = vocab.select(F.col("role_code").alias("primary_role_code"), F.col("role_name"))
+    return orgs.join(names, "primary_role_code", "left").select(
+        KEY, "name", "status", F.coalesce("role_name", "primary_role_code").alias("role"), "town", "postcode")
+
+
 def passes(role: str | None = None, only_active: bool = False, prefix: str = "") -> Column:
     """Role substring (any case) and active state."""
     ok = F.lit(True)

@@ -22,16 +22,17 @@ def direct_edges(successions: DataFrame) -> DataFrame:
             .where("src IS NOT NULL AND dst IS NOT NULL").distinct())
 
 
-def reach(seeds: DataFrame, edges: DataFrame, doublings: int = 3) -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame, growth: int = 12) -> DataFrame:
     """All ``(root, node)`` pairs reachable from ``seeds`` along ``edges``; seeds included.
 
-    Semi-naive: only pairs found in the last round are extended. In the first rounds the
-    edge set is squared, so later rounds advance ``2 ** doublings`` hops at a time and a
-    graph of depth d needs about d / 8 rounds. A root is never re-added to its own set.
+    Semi-naive: only pairs found in the last round are extended. Between rounds the edge set
+    is squared, so that later rounds advance many hops at once, until it has outgrown
+    ``growth`` times the edges; after that the rounds go on with the set as it is. A root is
+    never re-added to its own set.
     """
     frontier = checkpoint(seeds.select("root", "node").distinct())
     jumps = checkpoint(edges.select("src", "dst").where("src <> dst").distinct())
-    found, step = [frontier], 0
+    found, allowed, growing = [frontier], growth * jumps.count(), True
     while True:
         seen = reduce(DataFrame.union, found)
         ahead = (frontier.join(jumps, F.col("node") == F.col("src")).where("dst <> root")
@@ -40,11 +41,11 @@ def reach(seeds: DataFrame, edges: DataFrame, doublings: int = 3) -> DataFrame:
         if frontier.isEmpty():
             return seen
         found.append(frontier)
-        if step < doublings:
-            ahead2 = jumps.alias("x").join(jumps.alias("y"), F.col("x.dst") == F.col("y.src")) \
+        if growing:
+            twice = jumps.alias("x").join(jumps.alias("y"), F.col("x.dst") == F.col("y.src")) \
                 .where("x.src <> y.dst").select("x.src", "y.dst")
-            jumps = checkpoint(jumps.union(ahead2).distinct())
-        step += 1
+            jumps = checkpoint(jumps.union(twice).distinct())
+            growing = jumps.count() <= allowed
 
 
 def successor_pairs(successions: DataFrame) -> DataFrame:

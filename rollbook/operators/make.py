@@ -37,7 +37,7 @@ def build_release(spark: SparkSession, paths_in_order: list[str], vocab: DataFra
     headers = xml.scan_release_headers(spark, paths_in_order)
     dated = B.agree_publication_date(xml.manifests_of(headers)).head()
     if dated.verdict != "agreed":
-        raise BuildRefused(f"publication date {dated.verdict}: {dated.says}")
+        raise BuildRefused(f"publication date {dated.verdict}: {_first(B.stated_dates(xml.manifests_of(headers)), ['file_name', 'says'])}")
     records = xml.scan_xml_release(spark, paths_in_order).withColumn("op_start", B.operational_start())
     parsed = scratch_path(spark, "parsed")
     records.write.parquet(parsed)

@@ -206,22 +206,23 @@ def place_counts(rows: DataFrame) -> DataFrame:
             .groupBy("place_key").agg(F.count("*").alias("n")))
 
 
-def place_also(places: DataFrame, counts: DataFrame, place: str = "place", k: int = 3) -> DataFrame:
-    """Longer names that begin with a searched place: the top ``k`` by count, and how many more.
+def place_also(places: DataFrame, counts: DataFrame, place: str = "place", search: str = "place", k: int = 3) -> DataFrame:
+    """Longer names that begin with a searched place: per search the top ``k`` by count, and how many more.
 
-    A name is keyed by each of its leading word groups, so the prefix test is an equi-join.
+    A search of several places shares one list; ``search`` names its column. A name is keyed
+    by each of its leading word groups, so the prefix test is an equi-join.
     """
-    wanted = places.select(F.col(place), place_key(place).alias("norm"))
+    wanted = places.select(F.col(search).alias("_search"), place_key(place).alias("norm")).distinct()
     words = F.split("place_key", " ")
     heads = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
     longer = counts.where(F.col("place_key").contains(" ")).select("place_key", "n", F.explode(heads).alias("norm"))
-    near = longer.join(wanted, "norm").join(wanted.select(F.col("norm").alias("place_key")), "place_key", "left_anti") \
-        .select(place, "place_key", "n").distinct()
-    w = Window.partitionBy(place).orderBy(F.col("n").desc(), "place_key")
+    near = longer.join(wanted, "norm").join(wanted.select("_search", F.col("norm").alias("place_key")), ["_search", "place_key"],
+                                            "left_anti").select("_search", "place_key", "n").distinct()
+    w = Window.partitionBy("_search").orderBy(F.col("n").desc(), "place_key")
     top = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    total = near.groupBy(place).agg(F.count("*").alias("total"))
-    return top.join(total, place).select(place, "place_key", "n", "rank",
-                                         F.greatest(F.col("total") - k, F.lit(0)).alias("more"))
+    total = near.groupBy("_search").agg(F.count("*").alias("total"))
+    return top.join(total, "_search").select(F.col("_search").alias(search), "place_key", "n", "rank",
+                                             F.greatest(F.col("total") - k, F.lit(0)).alias("more"))
 
 
 def district_subs(rows: DataFrame, places: DataFrame, place: str = "place") -> DataFrame:

@@ -67,7 +67,7 @@ def _records(t):
 
 
 @plan("a7_to_a11_entity_invariants", " UNION ALL ".join([
-    _check("invalid_date_order", f"<xml_kept> WHERE {_LEGAL_BAD} OR {_OP_BAD}", "code"),
+    _check("invalid_date_order", f"<xml_kept> WHERE {_LEGAL_BAD} OR {_OP_BAD}", "code", "sum(CASE WHEN legal_end < legal_start THEN 1 ELSE 0 END + CASE WHEN op_end < op_start THEN 1 ELSE 0 END)"),
     _check("missing_operational_date", "<xml_kept> WHERE ref_only", "code"),
     _check("invalid_status", "<xml_kept> WHERE coalesce(status, 'Active') NOT IN ('Active', 'Inactive')", "code"),
     _check("inactive_without_end", "<xml_kept> WHERE status = 'Inactive' AND (ref_only OR op_end IS NULL)", "code")]))
@@ -113,7 +113,7 @@ def _(t):
     _check("primary_role_mismatch", "<xml_kept> r JOIN <xml_kept> e ON e.code = r.rel1_target WHERE NOT r.ref_only AND r.rel1_role IS NOT NULL AND NOT e.ref_only "
            "AND e.role1 <> r.rel1_role", "r.rel1_target"),
     _check("unknown_role_concepts", "(SELECT 1 AS c, '' AS id) x WHERE c > 1", "id"),
-    _check("invalid_date_order", f"<xml_kept> WHERE {_LEGAL_BAD} OR {_OP_BAD}", "code"), _check("missing_operational_date", "<xml_kept> WHERE ref_only", "code"),
+    _check("invalid_date_order", f"<xml_kept> WHERE {_LEGAL_BAD} OR {_OP_BAD}", "code", "sum(CASE WHEN legal_end < legal_start THEN 1 ELSE 0 END + CASE WHEN op_end < op_start THEN 1 ELSE 0 END)"), _check("missing_operational_date", "<xml_kept> WHERE ref_only", "code"),
     _check("invalid_status", "<xml_kept> WHERE coalesce(status, 'Active') NOT IN ('Active', 'Inactive')", "code"),
     _check("inactive_without_end", "<xml_kept> WHERE status = 'Inactive' AND (ref_only OR op_end IS NULL)", "code"),
     _check("invalid_succ_type", "(SELECT 1 AS c, '' AS id) x WHERE c > 1", "id")]))

@@ -167,3 +167,16 @@ def _(t):
     SELECT min(d) AS old, max(d) AS new FROM (SELECT DISTINCT publication_date AS d FROM <snapshots> ORDER BY d DESC LIMIT 2) x""")
 def _(t):
     return X.diff_default_pair(t.snapshots)
+
+
+@plan("x8_diff_release_view", """
+    WITH v AS (SELECT ods_code, publication_date AS d, name, status, coalesce(role_name, primary_role_code) AS role, town, postcode
+      FROM <snapshots> LEFT JOIN (SELECT 'RO' || cast(r_regionkey as string) AS primary_role_code, r_name AS role_name FROM <region> WHERE r_regionkey < 2) r
+      USING (primary_role_code)),
+    o AS (SELECT * FROM v WHERE d = date '2024-01-10'), n AS (SELECT * FROM v WHERE d = date '2024-01-11')
+    SELECT n.ods_code, o.role AS old_value, n.role AS new_value FROM o JOIN n USING (ods_code) WHERE o.role <> n.role""")
+def _(t):
+    vocab = t.region.where("r_regionkey < 2").select(F.concat(F.lit("RO"), F.col("r_regionkey").cast("string")).alias("role_code"),
+                                                    F.col("r_name").alias("role_name"))
+    day = lambda d: X.diff_view(t.snapshots.where(F.col("publication_date") == F.lit(d).cast("date")), vocab)
+    return X.diff_modified(day("2024-01-10"), day("2024-01-11")).where("field = 'role'").select("ods_code", "old_value", "new_value")

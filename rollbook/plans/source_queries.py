@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from rollbook import schemas
 from rollbook.functions.dates import parse_date
-from rollbook.functions.text import archive_name_parts
+from rollbook.functions.roles import role_display
+from rollbook.functions.text import archive_name_parts, country_title, semver, thousands
 from rollbook.operators import build as B
 from rollbook.operators import graph as G
 from rollbook.plans import written
@@ -292,8 +293,7 @@ def _(t):
 
 @plan("b2_agree_publication_date", """
     SELECT release, count(*) FILTER (WHERE publication_date IS NULL OR publication_date = '2001-13-01') AS undated_files,
-           count(DISTINCT publication_date) AS dates, string_agg(file_name || ' ' || coalesce(publication_date, 'none'), '; ' ORDER BY
-             file_name || ' ' || coalesce(publication_date, 'none')) AS says,
+           count(DISTINCT publication_date) AS dates,
            CASE WHEN bool_or(publication_date IS NULL OR publication_date = '2001-13-01') THEN 'undated' WHEN count(DISTINCT publication_date) > 1
              THEN 'disagree' ELSE 'agreed' END AS verdict,
            CASE WHEN NOT bool_or(publication_date IS NULL OR publication_date = '2001-13-01') AND count(DISTINCT publication_date) = 1
@@ -302,6 +302,13 @@ def _(t):
     return B.agree_publication_date(t.manifests, "release")
 
 
+@plan("b2b_stated_dates", """
+    SELECT release, file_name, CASE WHEN publication_date IS NULL THEN 'no PublicationDate' WHEN publication_date = '2001-13-01'
+      THEN 'PublicationDate ''2001-13-01'', not a date' ELSE 'PublicationDate ' || publication_date END AS says FROM <manifests>""")
+def _(t):
+    return B.stated_dates(t.manifests).select("release", "file_name", "says")
+
+
 _PREF = "ORDER BY NOT ref_only DESC, file_index, op_start DESC NULLS LAST"
 
 
@@ -522,3 +529,27 @@ def _(t):
     parts = [tables.scan_table(t.spark, out, name).agg(F.count("*").alias("n_rows"), F.min(key).alias("first_key"))
              .select(F.lit(name).alias("table_name"), "n_rows", "first_key") for name, key in schemas.PRIMARY_KEYS.items()]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@plan("fn_country_title", """
+    SELECT country, CASE country WHEN 'ENGLAND' THEN 'England' WHEN 'SCOTLAND' THEN 'Scotland' WHEN 'WALES' THEN 'Wales' WHEN 'NORTHERN IRELAND'
+      THEN 'Northern Ireland' ELSE country END AS shown, count(*) AS n FROM (SELECT country FROM <orgs> UNION ALL SELECT county FROM <orgs>) x GROUP BY 1, 2""")
+def _(t):
+    rows = t.orgs.select("country").unionAll(t.orgs.select("county"))
+    return rows.groupBy("country", country_title("country").alias("shown")).agg(F.count("*").alias("n"))
+
+
+@plan("fn_semver_and_thousands", """
+    SELECT tool_version, array_to_string(list_transform(string_split(tool_version, '.'), lambda x: cast(cast(x as bigint) as varchar)), ',') AS parts,
+      format('{:,}', cast(sum(bytes) as bigint)) AS shown FROM <catalog_datasets> GROUP BY 1""")
+def _(t):
+    return t.catalog_datasets.groupBy("tool_version").agg(F.sum("bytes").alias("b")).select(
+        "tool_version", F.array_join(semver("tool_version").cast("array<string>"), ",").alias("parts"), thousands("b").alias("shown"))
+
+
+@plan("fn_role_display", """
+    SELECT ods_code, CASE WHEN role_codes = ['RO177', 'RO57'] THEN 'COST CENTRE +1' WHEN len(role_codes) = 2 THEN role_names[2] || ' +1' ELSE role_names[1] END
+      AS shown, array_to_string(role_names, ', ') AS verbose FROM <orgs>""")
+def _(t):
+    return t.orgs.select("ods_code", role_display("role_codes", "role_names").alias("shown"),
+                         role_display("role_codes", "role_names", verbose=True).alias("verbose"))

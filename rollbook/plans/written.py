@@ -10,6 +10,18 @@ from rollbook.runtime import scratch_path
 
 PUBLISHED = "2001-08-01"
 
+_WRITTEN: dict[tuple, object] = {}
+
+
+def _once(make):
+    """Write a fixture once per session and data folder."""
+    def get(t: Tables):
+        key = (t.spark.sparkContext.applicationId, t.folder, make.__name__)
+        if key not in _WRITTEN:
+            _WRITTEN[key] = make(t)
+        return _WRITTEN[key]
+    return get
+
 
 def _esc(c):
     out = F.replace(c, F.lit("&"), F.lit("&amp;"))
@@ -77,6 +89,7 @@ def _header(t: Tables, rows: DataFrame) -> DataFrame:
         '<PrimaryRole id="RO6510" /></PrimaryRoleScope>\n<Organisations>').alias("value"))
 
 
+@_once
 def xml_release(t: Tables) -> list[str]:
     """Two source files of one release, full first, written as XML text."""
     root = scratch_path(t.spark, "source")
@@ -97,6 +110,7 @@ def series(t: Tables) -> str:
     return path
 
 
+@_once
 def yearly(t: Tables) -> str:
     """One folder per order year, as separate releases."""
     path = scratch_path(t.spark, "releases")
