@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rollbook import schemas
 from rollbook.functions.dates import first_of_type, last_of_type, parse_date
 from rollbook.functions.roles import COMMISSIONED_BY, GEOGRAPHY_OF
-from rollbook.runtime import is_small
+from rollbook.runtime import checkpoint, is_small
 
 # --- files of a release -------------------------------------------------------------------
 
@@ -99,6 +99,16 @@ def merge_entities(records: DataFrame, code: str = "code", ref_only: str = "ref_
     return best.select("r.*")
 
 
+def split_repeated(records: DataFrame, code: str = "code") -> tuple[DataFrame, DataFrame]:
+    """Records whose code occurs once, and the others.
+
+    For written records: the repeated codes come from one narrow column. In a sound source they
+    are few, so the wide rows are not shuffled to be merged; only the repeated ones are.
+    """
+    repeated = checkpoint(records.groupBy(code).agg(F.count("*").alias("n")).where("n > 1").select(code))
+    return records.join(repeated, code, "left_anti"), records.join(repeated, code, "left_semi")
+
+
 def _code_facts(records: DataFrame, code: str, ref_only: str, file_index: str, started: str) -> DataFrame:
     """Per code, by staged counts: the winning file, its latest start and rivals, and the stubs before it.
 

@@ -47,10 +47,11 @@ def build_release(spark: SparkSession, paths_in_order: list[str], vocab: DataFra
     read = records.count()
     if not declared.none and declared.n != read:
         raise BuildRefused(f"record count: declared {declared.n}, read {read}")
-    clash = B.merge_contradictions(records)
+    once, repeated = B.split_repeated(records)
+    clash = B.merge_contradictions(repeated)
     if not clash.isEmpty():
         raise BuildRefused(f"contradicting records: {_first(clash, ['code', 'reason'])}")
-    entities = B.normalise_entities(B.merge_entities(records))
+    entities = B.normalise_entities(once.unionByName(B.merge_entities(repeated)))
     merged = scratch_path(spark, "merged")
     entities.write.parquet(merged)
     entities = spark.read.parquet(merged)
