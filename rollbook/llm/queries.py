@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import langid, packing, sharding
+from rollbook.llm import langid, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,8 @@ def op2_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_linear_program_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op8_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.qualities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
