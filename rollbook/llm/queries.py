@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import langid, packing, quality, sharding
+from rollbook.llm import langid, minhash, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,8 @@ def op3_linear_program_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.qualities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
