@@ -11,7 +11,6 @@ within their length, so no piece passes through the driver and no task holds a w
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,7 +27,7 @@ CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 #: Words whose ids a worker remembers; others are encoded again.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Rounds of multiplicative weights, configurations played a round, and the step of the weights.
 ROUNDS, PLAYS, STEP = 160, 48, 0.35
 #: Roundings tried: share of a configuration's fractional amount, and most tokens of room in it. Early configurations use up
@@ -36,7 +35,6 @@ ROUNDS, PLAYS, STEP = 160, 48, 0.35
 ROUNDINGS = ((0.5, 0), (0.5, 8), (0.9, 0), (1.0, CAPACITY))
 NEWLINE = 198  # the id of a line feed by itself in byte-level BPE vocabularies of this family
 
-_IRREGULAR = re.compile(r"\s\s|^\s|\s$")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -59,50 +57,35 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """One call for all words, told apart by line feeds."""
-        if not words:
-            return {}
-        line = self._ids(["\n".join(w[1:] if w[0] == "\n" else w for w in words)])[0]
-        cuts = np.flatnonzero(np.frombuffer(line, "<u4") == NEWLINE).tolist()
-        feed, out, at = np.array([NEWLINE], "<u4").tobytes(), {}, 0
-        for w, cut in zip(words, [*cuts, len(line) // 4], strict=True):
-            out[w] = feed + line[4 * at:4 * cut] if w[0] == "\n" else line[4 * at:4 * cut]
-            at = cut + 1
+    def _encode_words(self, words: list[str]) -> dict[str, bytes | None]:
+        """One call for all words, told apart by line feeds; None for what can't be encoded by itself."""
+        out = {w: None for w in words if not w.isalnum() and w[w.startswith("\n"):].split() != [w[w.startswith("\n"):]]}
+        plain = [w for w in words if w not in out]
+        if plain:
+            line = self._ids(["\n".join(w[1:] if w[0] == "\n" else " " + w for w in plain)])[0]
+            cuts = np.flatnonzero(np.frombuffer(line, "<u4") == NEWLINE).tolist()
+            feed, at = np.array([NEWLINE], "<u4").tobytes(), 0
+            for w, cut in zip(plain, [*cuts, len(line) // 4], strict=True):
+                out[w] = feed + line[4 * at:4 * cut] if w[0] == "\n" else line[4 * at:4 * cut]
+                at = cut + 1
         return out
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text and ``END``."""
+        """The ids of each text and ``END``. Words stand for themselves and the space before them, or start with their line feed."""
         end = np.array([END], "<u4").tobytes()
         for at in range(0, len(texts), 256):
             own = [t or "" for t in texts[at:at + 256]]
-            cut = [None if not self.by_word or not t or _IRREGULAR.search(t) else ("\n" + t).replace("\n", "\0\n").replace(" ", "\0 ").split("\0")[1:] if "\0" not in t else None
-                   for t in own]
-            new = set().union(*[c for c in cut if c]) - self.words.keys()
-            fresh = self._encode_words(sorted(new))
-            room = REMEMBERED - len(self.words)
-            if len(fresh) <= room:
-                self.words.update(fresh)
-                known = self.words
-            else:
-                self.words.update(list(fresh.items())[:max(0, room)])
-                known = self.words | fresh if len(fresh) > 20_000 else _Both(self.words, fresh)
+            cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t and self.by_word else [""] for t in own]
+            fresh = self._encode_words(list(set().union(*cut).difference(self.words)))
+            spare = list(fresh)[max(0, REMEMBERED - len(self.words)):]
+            self.words.update(fresh)
             for text, words in zip(own, cut, strict=True):
-                if words is None:
+                try:
+                    yield b"".join(map(self.words.__getitem__, words))[4:] + end
+                except TypeError:  # a word that has no ids of its own
                     yield (self._ids([text])[0] if text else b"") + end
-                else:
-                    yield b"".join(map(known.__getitem__, words))[4:] + end
-
-
-class _Both(dict):
-    """Words of this batch that there is no room to remember, then the remembered ones."""
-
-    def __init__(self, remembered: dict, fresh: dict):
-        super().__init__(fresh)
-        self.remembered = remembered
-
-    def __missing__(self, word: str) -> bytes:
-        return self.remembered[word]
+            for w in spare:
+                del self.words[w]
 
 
 def encoder(name: str) -> Encoder:
