@@ -7,25 +7,30 @@ take 720 if every table had its own. Two sets of similarity 0.8 miss all tables
 1. Equal sets become one class, so a text copied a million times is searched for once.
 2. Collections that no other class shares are found by counting; a class that shares fewer than two is in no table with
    another and drops out. The other classes get their table keys.
-3. In each table key every class is paired with the least one; pairs are confirmed on the full sets and merged.
-4. Where a key still holds several groups, the pairs across groups are confirmed too: the classes outside the key's largest
-   group against all others. No pair that could join two groups is left out, and no pairs are made within a group.
+3. In each table key every class is paired with one pivot, which differs between keys; pairs are confirmed on the full sets
+   and merged into groups. Where a key still holds several groups, this is repeated with a pivot of its largest group.
+4. Where a key holds several groups even then, the pairs across groups are confirmed too: the classes outside the key's
+   largest group against all others, each pair from the first key it shares. No pair that could join two groups is left
+   out, and no pairs are made within a group.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.components import components
 from rollbook.runtime import checkpoint
 
 COLLECTIONS, ROWS = 16, 3
+#: 64-bit words of a set's bit sketch: every element sets one bit, so two sets differ in at least as many elements as bits.
+SKETCH = 16
 #: Shingles hashed at once, to bound memory for very long texts.
 CHUNK = 65_536
 
@@ -94,24 +99,30 @@ def collections(own: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * SKETCH, bool)
+    bits[own % np.uint64(64 * SKETCH)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def class_key(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, cls (equal for equal sets, null for empty ones) and collections of every document."""
+    """doc_id, n_shingles, cls (equal for equal sets, null for empty ones), collections and bits of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = (shingles(t, words) for t in batch.column(1).to_pylist())
-            rows = [(len(s), class_key(s), collections(s)) if len(s) else (0, None, None) for s in sets]
-            n, key, groups = zip(*rows, strict=True) if rows else ((), (), ())
+            rows = [(len(s), class_key(s), collections(s), sketch(s)) if len(s) else (0, None, None, None) for s in sets]
+            n, key, groups, bits = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(groups, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "cls", "collections"])
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(groups, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "cls", "collections", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, cls binary, collections array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, cls binary, collections array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -128,14 +139,14 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
-    """(key, cls) of the classes that share at least two collections with others, for keys that at least two classes have."""
+    """(key, i, j, cls, n) of the classes that share at least two collections with others, for keys that at least two classes have."""
     each = classes.select("cls", "n", F.posexplode("collections").alias("at", "value"))
     shared = each.groupBy("at", "value").agg(F.count("*").alias("classes")).where("classes > 1").drop("classes")
     own = (each.join(shared, ["at", "value"]).groupBy("cls", "n")
            .agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("own")).where(F.size("own") > 1))  # at most COLLECTIONS
-    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.xxhash64(
-        x["at"], x["value"], y["at"], y["value"]))))
-    keys = checkpoint(own.select("cls", "n", F.explode(pairs).alias("key")))
+    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.struct(
+        F.xxhash64(x["at"], x["value"], y["at"], y["value"]).alias("key"), x["at"].cast("byte").alias("i"), y["at"].cast("byte").alias("j")))))
+    keys = checkpoint(own.select("cls", "n", F.inline(pairs)))
     several = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").drop("m")
     return keys.join(several, "key")
 
@@ -158,20 +169,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     signed = checkpoint(signatures(docs, words))
     classes = checkpoint(signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(
-        F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.min("collections").alias("collections")))
+        F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.min("collections").alias("collections"), F.min("bits").alias("bits")))
     keys = checkpoint(table_keys(classes))
-    near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))  # sizes further apart can't be similar enough
-    first = keys.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("first")).select("key", F.col("first.cls").alias("b"), F.col("first.n").alias("m"))
-    tried = checkpoint(keys.join(first, "key").where((F.col("cls") != F.col("b")) & near).select(F.col("cls").alias("a"), "b").distinct())
+    near = partial(may_be_near, percent=percent)
+    tried = checkpoint(to_pivots(keys.withColumn("root", F.col("cls")), classes, near))
     wanted = keys.select("cls").distinct()
     rows = classes.join(wanted, "cls").select(F.col("least").alias("doc_id")).distinct()
     sets = checkpoint(full_sets(docs.select("doc_id", "text").join(rows, "doc_id", "left_semi"), words).join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
     links = checkpoint(confirmed(tried, sets, percent))
     roots = checkpoint(components(links))
-    rest = checkpoint(across(keys, roots, percent).join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = checkpoint(links.union(confirmed(rest, sets, percent)))
-        roots = checkpoint(components(links))
+    for step in (to_pivots, across):
+        rest = checkpoint(step(several_groups(keys, roots), classes, near).join(tried, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            tried = tried.union(rest)
+            links = checkpoint(links.union(confirmed(rest, sets, percent)))
+            roots = checkpoint(components(links))
     root = F.coalesce("root", "cls")
     named = (classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", root.alias("root"), "least"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
@@ -181,16 +193,45 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def across(keys: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a table key and are in different groups so far.
+def several_groups(keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of the keys whose classes are in several groups so far, with their group as root."""
+    grouped = checkpoint(keys.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return grouped.join(mixed, "key")
+
+
+def _main(rows: DataFrame) -> DataFrame:
+    """The largest group of each key, and one of its classes; which one differs between keys, so that a class meets several."""
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("cls", F.pmod("key", F.lit(8))), "cls")).alias("one"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("members", "root", "one")).alias("most"))
+    return most.select("key", F.col("most.root").alias("main"), F.col("most.one.cls").alias("c"))
+
+
+def may_be_near(percent: int) -> Column:
+    """Whether sets of sizes n and m and sketches bits and their_bits can be similar enough: exact bounds, they lose no pair."""
+    differ = sum((F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("their_bits", F.lit(k)))) for k in range(SKETCH)), F.lit(0))
+    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (differ * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("m")))
+
+
+def to_pivots(rows: DataFrame, classes: DataFrame, near: Callable[[], Column]) -> DataFrame:
+    """Pairs of each class outside its key's largest group with one class of that group; linear in the rows."""
+    met = rows.join(_main(rows), "key").where(F.col("root") != F.col("main")).select("cls", "c").distinct()
+    own = met.join(classes.select("cls", "n", "bits"), "cls")
+    both = own.join(classes.select(F.col("cls").alias("c"), F.col("n").alias("m"), F.col("bits").alias("their_bits")), "c").where(near())
+    return both.select(F.greatest("cls", "c").alias("a"), F.least("cls", "c").alias("b")).distinct()
+
+
+def across(rows: DataFrame, classes: DataFrame, near: Callable[[], Column]) -> DataFrame:
+    """Pairs of classes that share a table key and are in different groups, each from the first key they share.
 
     The classes outside the largest group of a key meet all classes of the key in other groups.
     """
-    grouped = checkpoint(keys.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-                         .select("key", "cls", "n", F.coalesce("root", "cls").alias("root")))
-    sizes = grouped.groupBy("key", "root").agg(F.count("*").alias("members"))
-    most = sizes.groupBy("key").agg(F.max(F.struct("members", "root")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
-    open_ = grouped.join(most.select("key", F.col("most.root").alias("main")), "key")
-    minor = open_.where("root <> main").select("key", F.col("cls").alias("c"), F.col("n").alias("m"), F.col("root").alias("other"))
-    met = open_.join(minor, "key").where((F.col("root") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    wide = rows.join(classes.select("cls", "collections", "bits"), "cls")
+    open_ = wide.join(_main(rows).select("key", "main"), "key")
+    minor = open_.where("root <> main").select("key", F.col("cls").alias("c"), F.col("n").alias("m"), F.col("root").alias("other"),
+                                               F.col("collections").alias("theirs"), F.col("bits").alias("their_bits"))
+    first_key = F.lit(True)
+    for k in range(COLLECTIONS):
+        first_key &= (F.get("collections", F.lit(k)) != F.get("theirs", F.lit(k))) | (F.col("j") <= k) | (F.col("i") == k)
+    met = open_.join(minor, "key").where((F.col("root") != F.col("other")) & near() & first_key)
     return met.select(F.greatest("cls", "c").alias("a"), F.least("cls", "c").alias("b")).distinct()
