@@ -65,3 +65,9 @@ def stratified(df: DataFrame, label: str, id_col: str, per_class: int) -> DataFr
     draw = unit(F.col(id_col), F.lit("sample"))
     return (known.join(F.broadcast(rates), label).where(draw < F.col("_rate")).drop("_rate")
             .limit(2 * per_class * len(sizes)))
+
+
+def sampled(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """About ``rows`` rows, at most twice as many, chosen by a hash of the id; all rows of a smaller table. Only for fitting models."""
+    total = df.count()
+    return df.where(unit(F.col(id_col), F.lit("sample")) < min(1.0, rows / max(1, total))).limit(2 * rows)

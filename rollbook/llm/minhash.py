@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rollbook.llm.components import components
 from rollbook.runtime import checkpoint
@@ -110,7 +111,7 @@ def class_key(own: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, cls (equal for equal sets, null for empty ones), collections and bits of every document."""
+    """row, n_shingles, cls (equal for equal sets, null for empty ones), collections and bits of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,10 +120,10 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             n, key, groups, bits = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(groups, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "cls", "collections", "bits"])
+                names=["row", "n_shingles", "cls", "collections", "bits"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, cls binary, collections array<long>, bits array<long>")
+    kind = docs.schema["row"].dataType.simpleString()
+    return docs.select("row", "text").mapInArrow(run, f"row {kind}, n_shingles long, cls binary, collections array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -159,23 +160,24 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (one row per document).
+def _row(docs: DataFrame) -> Column:
+    """What stands for a row: its id (nulls last) and its text, so that rows of one id with different texts are told apart."""
+    id_ = F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))
+    return F.struct(F.col("doc_id").isNull().alias("nameless"), id_.alias("id"), F.xxhash64("text").alias("text")).alias("row")
 
-    Documents are linked when their shingle sets have a similarity of at least ``percent`` / 100; ``component_id`` is the
-    smallest doc_id reachable. Texts without words are linked with nothing. A row with a null id takes the smallest
-    id of its component, if there is one, and is never the kept row. Equal texts under one id are both kept rows of
-    their component.
-    """
+
+def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """row, n_shingles and least: the first row, by id and then text, of those that are reachable over links."""
+    docs = docs.select(_row(docs), "text")
     signed = checkpoint(signatures(docs, words))
     classes = checkpoint(signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(
-        F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.min("collections").alias("collections"), F.min("bits").alias("bits")))
+        F.min("row").alias("least"), F.max("n_shingles").alias("n"), F.min("collections").alias("collections"), F.min("bits").alias("bits")))
     keys = checkpoint(table_keys(classes))
     near = partial(may_be_near, percent=percent)
     tried = checkpoint(to_pivots(keys.withColumn("root", F.col("cls")), classes, near))
     wanted = keys.select("cls").distinct()
-    rows = classes.join(wanted, "cls").select(F.col("least").alias("doc_id")).distinct()
-    sets = checkpoint(full_sets(docs.select("doc_id", "text").join(rows, "doc_id", "left_semi"), words).join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
+    firsts = classes.join(wanted, "cls").select(F.col("least").alias("row")).distinct()
+    sets = checkpoint(full_sets(docs.join(firsts, "row", "left_semi"), words).dropDuplicates(["cls"]))
     links = checkpoint(confirmed(tried, sets, percent))
     roots = checkpoint(components(links))
     for step in (to_pivots, across):
@@ -184,13 +186,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             tried = tried.union(rest)
             links = checkpoint(links.union(confirmed(rest, sets, percent)))
             roots = checkpoint(components(links))
-    root = F.coalesce("root", "cls")
-    named = (classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", root.alias("root"), "least"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    by_class = named.join(least, "root").select("cls", "component")
-    out = signed.select("doc_id", "n_shingles", "cls").join(by_class, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), F.col("least").alias("own"))
+    by_class = named.join(named.groupBy("root").agg(F.min("own").alias("least")), "root").select("cls", "least")
+    return signed.select("row", "n_shingles", "cls").join(by_class, "cls", "left").select("row", "n_shingles", F.coalesce("least", "row").alias("least"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (one row per document).
+
+    Documents are linked when their shingle sets have a similarity of at least ``percent`` / 100; ``component_id`` is the
+    smallest doc_id reachable. Texts without words are linked with nothing. A row with a null id takes the smallest
+    id of its component, if there is one, and is never kept. All rows of the id that a component is named by are kept.
+    """
+    def id_of(c: str) -> Column:
+        return F.when(~F.col(f"{c}.nameless"), F.col(f"{c}.id"))
+
+    found = groups(docs, words, percent).select(id_of("row").alias("doc_id"), "n_shingles", id_of("least").alias("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group, the first by id (null ids last) and text, with its columns. Documents without words all stay."""
+    kept = groups(docs, words, percent).where("row = least").groupBy("row").agg(F.max("n_shingles").alias("_n"))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), _row(docs))
+    met = named.join(kept, "row").withColumn("_at", F.row_number().over(Window.partitionBy("row").orderBy("row")))
+    return met.where("_at = 1 OR _n = 0").select("_doc.*")
 
 
 def several_groups(keys: DataFrame, roots: DataFrame) -> DataFrame:
