@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import ann, decontam, langid, minhash, packing, pii, quality, sharding
+from rollbook.llm import ann, decontam, langid, minhash, packing, pii, quality, repeats, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,8 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op6_recurrent_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.annotated(docs, pii.train(docs))
+
+
+@query
+def op9_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
