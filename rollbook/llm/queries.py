@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import ann, decontam, langid, minhash, packing, pii, quality, repeats, sharding
+from rollbook.llm import ann, decontam, html, langid, minhash, packing, pii, quality, repeats, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,8 @@ def op6_recurrent_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
