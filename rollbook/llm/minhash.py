@@ -8,10 +8,10 @@ take 720 if every table had its own. Two sets of similarity 0.8 miss all tables
 2. Collections that no other class shares are found by counting; a class that shares fewer than two is in no table with
    another and drops out. The other classes get their table keys.
 3. In each table key every class is paired with one pivot, which differs between keys; pairs are confirmed on the full sets
-   and merged into groups. Where a key still holds several groups, this is repeated with a pivot of its largest group.
-4. Where a key holds several groups even then, the pairs across groups are confirmed too: the classes outside the key's
-   largest group against all others, each pair from the first key it shares. No pair that could join two groups is left
-   out, and no pairs are made within a group.
+   and merged into groups. Where a value of a collection still holds several groups, this is repeated with a pivot of its largest.
+4. Where it holds several groups even then, the pairs across groups that share two collections are confirmed too: the classes
+   outside the largest group against all others, each pair from the first collection it shares. No pair that could join
+   two groups is left out, and no pairs are made within a group.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rollbook.llm.common import squeezed
 from rollbook.llm.components import components
 from rollbook.runtime import checkpoint
 
@@ -126,36 +128,41 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, f"row {kind}, n_shingles long, cls binary, collections array<long>, bits array<long>")
 
 
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """cls and shingles of every document that has any."""
+def full_sets(texts: DataFrame, words: int) -> DataFrame:
+    """id and shingles of every row of (id, bytes), with bytes as ``squeezed`` makes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                sets = [s for s in (shingles(t, words) for t in batch.column(0)[at:at + 512].to_pylist()) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([class_key(s) for s in sets], pa.binary()),
-                                                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "shingles"])
+                part = batch.slice(at, 512)
+                sets = [shingles(expand.decompress(x.as_py()).decode("utf-8", "replace"), words).view(np.int64) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "cls binary, shingles array<long>")
+    return texts.mapInArrow(run, "id long, shingles array<long>")
 
 
-def table_keys(classes: DataFrame) -> DataFrame:
-    """(key, i, j, cls, n) of the classes that share at least two collections with others, for keys that at least two classes have."""
-    each = classes.select("cls", "n", F.posexplode("collections").alias("at", "value"))
-    shared = each.groupBy("at", "value").agg(F.count("*").alias("classes")).where("classes > 1").drop("classes")
-    own = (each.join(shared, ["at", "value"]).groupBy("cls", "n")
-           .agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("own")).where(F.size("own") > 1))  # at most COLLECTIONS
-    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.struct(
-        F.xxhash64(x["at"], x["value"], y["at"], y["value"]).alias("key"), x["at"].cast("byte").alias("i"), y["at"].cast("byte").alias("j")))))
-    keys = checkpoint(own.select("cls", "n", F.inline(pairs)))
-    several = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    return keys.join(several, "key")
+def shared_collections(classes: DataFrame) -> DataFrame:
+    """(id, at, value): the collections that a class shares with others, of the classes that share at least two."""
+    each = classes.select("id", F.posexplode("collections").alias("at", "value"))
+    several = each.groupBy("at", "value").agg(F.count("*").alias("classes")).where("classes > 1").drop("classes")
+    met = each.join(several, ["at", "value"])
+    own = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("own")).where(F.size("own") > 1)  # at most COLLECTIONS
+    return own.select("id", F.inline("own"))
+
+
+def table_keys(shared: DataFrame) -> DataFrame:
+    """(bucket, id) of the tables: a key for each pair of collections."""
+    own = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("own"))
+    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.xxhash64(
+        x["at"], x["value"], y["at"], y["value"]))))
+    return own.select("id", F.explode(pairs).alias("bucket"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, counted on the full sets."""
-    both = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b"))
+    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+            .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"))
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
@@ -171,22 +178,24 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(_row(docs), "text")
     signed = checkpoint(signatures(docs, words))
     classes = checkpoint(signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(
-        F.min("row").alias("least"), F.max("n_shingles").alias("n"), F.min("collections").alias("collections"), F.min("bits").alias("bits")))
-    keys = checkpoint(table_keys(classes))
-    near = partial(may_be_near, percent=percent)
-    tried = checkpoint(to_pivots(keys.withColumn("root", F.col("cls")), classes, near))
-    wanted = keys.select("cls").distinct()
-    firsts = classes.join(wanted, "cls").select(F.col("least").alias("row")).distinct()
-    sets = checkpoint(full_sets(docs.join(firsts, "row", "left_semi"), words).dropDuplicates(["cls"]))
+        F.min("row").alias("least"), F.max("n_shingles").alias("n"), F.min("collections").alias("collections"), F.min("bits").alias("bits"))
+        .withColumn("id", F.monotonically_increasing_id()))
+    shared = checkpoint(shared_collections(classes))
+    bounds = partial(may_be_near, percent=percent)
+    tried = checkpoint(to_pivots(table_keys(shared).withColumn("root", F.col("id")), classes, bounds))
+    wanted = classes.join(shared.select("id").distinct(), "id").select("id", F.col("least").alias("row"))
+    texts = squeezed(docs, "text", "bytes")
+    sets = checkpoint(full_sets(texts.join(wanted, "row").select("id", "bytes"), words).dropDuplicates(["id"]))
     links = checkpoint(confirmed(tried, sets, percent))
     roots = checkpoint(components(links))
+    buckets = shared.select("id", F.xxhash64("at", "value").alias("bucket"), "at")
     for step in (to_pivots, across):
-        rest = checkpoint(step(several_groups(keys, roots), classes, near).join(tried, ["a", "b"], "left_anti"))
+        rest = checkpoint(step(several_groups(buckets, roots), classes, bounds).join(tried, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             tried = tried.union(rest)
             links = checkpoint(links.union(confirmed(rest, sets, percent)))
             roots = checkpoint(components(links))
-    named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), F.col("least").alias("own"))
+    named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("cls", F.coalesce("root", "id").alias("root"), F.col("least").alias("own"))
     by_class = named.join(named.groupBy("root").agg(F.min("own").alias("least")), "root").select("cls", "least")
     return signed.select("row", "n_shingles", "cls").join(by_class, "cls", "left").select("row", "n_shingles", F.coalesce("least", "row").alias("least"))
 
@@ -213,18 +222,18 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     return met.where("_at = 1 OR _n = 0").select("_doc.*")
 
 
-def several_groups(keys: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of the keys whose classes are in several groups so far, with their group as root."""
-    grouped = checkpoint(keys.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
-    mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return grouped.join(mixed, "key")
+def several_groups(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of the buckets whose classes are in several groups so far, with their group as root."""
+    grouped = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = grouped.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    return checkpoint(grouped.join(mixed, "bucket"))
 
 
 def _main(rows: DataFrame) -> DataFrame:
-    """The largest group of each key, and one of its classes; which one differs between keys, so that a class meets several."""
-    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("cls", F.pmod("key", F.lit(8))), "cls")).alias("one"))
-    most = sizes.groupBy("key").agg(F.max(F.struct("members", "root", "one")).alias("most"))
-    return most.select("key", F.col("most.root").alias("main"), F.col("most.one.cls").alias("c"))
+    """The largest group of each bucket, and one of its classes; which one differs between buckets, so that a class meets several."""
+    sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("id", F.pmod("bucket", F.lit(8))), "id")).alias("one"))
+    most = sizes.groupBy("bucket").agg(F.max(F.struct("members", "root", "one")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
+    return most.select("bucket", F.col("most.root").alias("main"), F.col("most.one.id").alias("c"))
 
 
 def may_be_near(percent: int) -> Column:
@@ -233,25 +242,26 @@ def may_be_near(percent: int) -> Column:
     return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (differ * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("m")))
 
 
-def to_pivots(rows: DataFrame, classes: DataFrame, near: Callable[[], Column]) -> DataFrame:
-    """Pairs of each class outside its key's largest group with one class of that group; linear in the rows."""
-    met = rows.join(_main(rows), "key").where(F.col("root") != F.col("main")).select("cls", "c").distinct()
-    own = met.join(classes.select("cls", "n", "bits"), "cls")
-    both = own.join(classes.select(F.col("cls").alias("c"), F.col("n").alias("m"), F.col("bits").alias("their_bits")), "c").where(near())
-    return both.select(F.greatest("cls", "c").alias("a"), F.least("cls", "c").alias("b")).distinct()
+def to_pivots(rows: DataFrame, classes: DataFrame, bounds: Callable[[], Column]) -> DataFrame:
+    """Pairs of each class outside its bucket's largest group with one class of that group; linear in the rows."""
+    met = rows.join(_main(rows), "bucket").where(F.col("root") != F.col("main")).select("id", "c").distinct()
+    own = met.join(classes.select("id", "n", "bits"), "id")
+    both = own.join(classes.select(F.col("id").alias("c"), F.col("n").alias("m"), F.col("bits").alias("their_bits")), "c").where(bounds())
+    return both.select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
 
 
-def across(rows: DataFrame, classes: DataFrame, near: Callable[[], Column]) -> DataFrame:
-    """Pairs of classes that share a table key and are in different groups, each from the first key they share.
+def across(rows: DataFrame, classes: DataFrame, bounds: Callable[[], Column]) -> DataFrame:
+    """Pairs of classes in different groups that share at least two collections, each from the first that they share.
 
-    The classes outside the largest group of a key meet all classes of the key in other groups.
+    The classes outside the largest group of a collection's value meet all classes of that value in other groups.
     """
-    wide = rows.join(classes.select("cls", "collections", "bits"), "cls")
-    open_ = wide.join(_main(rows).select("key", "main"), "key")
-    minor = open_.where("root <> main").select("key", F.col("cls").alias("c"), F.col("n").alias("m"), F.col("root").alias("other"),
+    wide = rows.join(classes.select("id", "n", "collections", "bits"), "id")
+    open_ = wide.join(_main(rows).select("bucket", "main"), "bucket")
+    minor = open_.where("root <> main").select("bucket", F.col("id").alias("c"), F.col("n").alias("m"), F.col("root").alias("other"),
                                                F.col("collections").alias("theirs"), F.col("bits").alias("their_bits"))
-    first_key = F.lit(True)
-    for k in range(COLLECTIONS):
-        first_key &= (F.get("collections", F.lit(k)) != F.get("theirs", F.lit(k))) | (F.col("j") <= k) | (F.col("i") == k)
-    met = open_.join(minor, "key").where((F.col("root") != F.col("other")) & near() & first_key)
-    return met.select(F.greatest("cls", "c").alias("a"), F.least("cls", "c").alias("b")).distinct()
+    same = [F.get("collections", F.lit(k)) == F.get("theirs", F.lit(k)) for k in range(COLLECTIONS)]
+    first, common = F.lit(True), sum((s.cast("int") for s in same), F.lit(0))
+    for k, s in enumerate(same):
+        first &= ~s | (F.col("at") <= k)
+    met = open_.join(minor, "bucket").where((F.col("root") != F.col("other")) & bounds() & (common > 1) & first)
+    return met.select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()

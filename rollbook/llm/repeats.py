@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rollbook.llm.common import squeezed
 from rollbook.llm.phrases import WIDTH, phrases, window_hashes
 from rollbook.runtime import scratch_path
 
@@ -81,19 +82,6 @@ def occurrences(rows: DataFrame, first: bool) -> DataFrame:
     return rows.select("doc", "mark", F.col("text").cast("binary")).mapInArrow(run, "trigger long, phrase long, doc long, place long")
 
 
-def _squeezed(rows: DataFrame) -> DataFrame:
-    """The rows with their texts' bytes compressed, to be shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            texts = pa.array([squeeze.compress(t.as_buffer().to_pybytes()) for t in batch.column(3)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), texts], names=["doc_id", "doc", "mark", "bytes"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "doc", "mark", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, doc long, mark long, bytes binary")
-
-
 def _entries(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """trigger, doc, place and bytes of dictionary entries, cut out of their texts."""
     wanted = entries.groupBy("doc", _mark(F.col("place")).alias("mark")).agg(F.collect_list(F.struct("trigger", "place")).alias("own"))
@@ -113,7 +101,7 @@ def _entries(rows: DataFrame, entries: DataFrame) -> DataFrame:
             cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (trigger, doc, place)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(cut, pa.binary())], names=["trigger", "doc", "place", "cut"])
 
-    return _squeezed(rows).join(wanted, ["doc", "mark"]).select("doc", "bytes", "own").mapInArrow(run, "trigger long, doc long, place long, cut binary")
+    return squeezed(rows.drop("doc_id"), "text", "bytes").join(wanted, ["doc", "mark"]).select("doc", "bytes", "own").mapInArrow(run, "trigger long, doc long, place long, cut binary")
 
 
 def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -234,6 +222,6 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([c[i] for c in cells], k) for i, k in enumerate(kinds))],
                                              names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][:5 + with_text])
 
-    both = _squeezed(_rows(docs)).join(repeated_spans(docs), ["doc", "mark"], "left").select("doc_id", "bytes", "spans")
+    both = squeezed(_rows(docs), "text", "bytes").join(repeated_spans(docs), ["doc", "mark"], "left").select("doc_id", "bytes", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
