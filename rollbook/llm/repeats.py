@@ -32,7 +32,7 @@ from rollbook.llm.phrases import WIDTH, phrases, window_hashes
 from rollbook.runtime import scratch_path
 
 #: Dictionary entries of one trigger that are brought into order within one task.
-CROWD = 512
+CROWD = 20_000
 _MANY, _START = 7, 36  # bits of a phrase's number of windows and of its first window, below the bits of its text's hash
 
 
@@ -116,18 +116,23 @@ def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return trigger[owner], window, doc[owner], spot
 
 
+def _ordered(batch: pa.RecordBatch) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """The windows of a batch in order, which of them are the first of equals, and which a smaller window of the batch equals."""
+    trigger, window, doc, spot = _windows(batch)
+    order = np.lexsort((spot, doc, window, trigger))
+    trigger, window, doc, spot = (x[order] for x in (trigger, window, doc, spot))
+    first, whole = np.ones(len(order), bool), np.zeros(len(order), bool)
+    first[1:] = (trigger[1:] != trigger[:-1]) | (window[1:] != window[:-1])
+    whole[1:] = ~first[1:] & (doc[1:] == doc[:-1]) & (spot[1:] == spot[:-1])  # a row repeated as a whole is not earlier
+    return (trigger, window, doc, spot), first, ~first & ~whole
+
+
 def _covered_windows(entries: DataFrame) -> DataFrame:
-    """doc and spot of the windows that an earlier window equals, for entries sorted by trigger in each partition."""
+    """doc, mark, start and end of the windows that an earlier window equals, for entries sorted by trigger in each partition."""
 
     def ordered(batch: pa.RecordBatch) -> pa.RecordBatch:
-        trigger, window, doc, spot = _windows(batch)
-        order = np.lexsort((spot, doc, window, trigger))
-        trigger, window = trigger[order], window[order]
-        again = np.zeros(len(order), bool)
-        again[1:] = (trigger[1:] == trigger[:-1]) & (window[1:] == window[:-1])
-        doc, spot = doc[order], spot[order]
-        again[1:] &= (doc[1:] != doc[:-1]) | (spot[1:] != spot[:-1])  # rows repeated as a whole are not earlier
-        return _runs(doc[again], spot[again])
+        (_, _, doc, spot), _, later = _ordered(batch)
+        return _runs(doc[later], spot[later])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -161,17 +166,24 @@ def _runs(doc: np.ndarray, spot: np.ndarray) -> pa.RecordBatch:
 
 
 def _crowded_windows(entries: DataFrame) -> DataFrame:
-    """The same for triggers with many entries: a row for each window, the first of equals found by aggregation."""
+    """The same for triggers with many entries: the first of equals in each batch are compared by aggregation, the others are decided there."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, first, _ = _ordered(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in rows], names=["trigger", "window", "doc", "spot"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _windows(batch)], names=["trigger", "window", "doc", "spot"])
+            (_, _, doc, spot), _, later = _ordered(batch)
+            yield _runs(doc[later], spot[later])
 
-    rows = entries.mapInArrow(run, "trigger long, window long, doc long, spot long")
+    rows = entries.mapInArrow(firsts, "trigger long, window long, doc long, spot long")
     first = rows.groupBy("trigger", "window").agg(F.min(F.struct("doc", "spot")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = rows.join(first, ["trigger", "window"]).where((F.col("doc") != F.col("first.doc")) | (F.col("spot") != F.col("first.spot")))
     start = F.col("spot").bitwiseAND(F.lit((1 << _START) - 1))
-    return later.select("doc", F.shiftright("spot", _START).alias("mark"), start.alias("start"), (start + WIDTH).alias("end"))
+    met = later.select("doc", F.shiftright("spot", _START).alias("mark"), start.alias("start"), (start + WIDTH).alias("end"))
+    return met.union(entries.mapInArrow(others, "doc long, mark long, start long, end long"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
