@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rollbook import schemas
 from rollbook.functions.dates import first_of_type, last_of_type, parse_date
 from rollbook.functions.roles import COMMISSIONED_BY, GEOGRAPHY_OF
-from rollbook.runtime import checkpoint, is_small
+from rollbook.runtime import checkpoint
 
 # --- files of a release -------------------------------------------------------------------
 
@@ -266,16 +266,11 @@ def primary_role_display(entities: DataFrame, concepts: DataFrame) -> DataFrame:
 
 def with_role_names(df: DataFrame, vocab: DataFrame, codes: str = "role_codes", out: str = "role_names",
                     key: str = "ods_code") -> DataFrame:
-    """Names aligned with ``codes`` by position.
-
-    A vocabulary that passes the size check becomes one map value; a larger one is
-    joined on the exploded codes.
-    """
-    if is_small(vocab, 20_000):
-        lookup = vocab.agg(F.map_from_entries(F.collect_list(F.struct("role_code", "role_name")))).scalar()
-        return df.withColumn("_map", lookup).withColumn(
-            out, F.transform(codes, lambda c: F.try_element_at(F.col("_map"), c))).drop("_map")
-    flat = df.select(key, F.posexplode(codes).alias("pos", "role_code")).join(vocab, "role_code", "left")
+    """Names aligned with ``codes`` by position; a vocabulary that holds a code twice is refused."""
+    twice = F.raise_error(F.concat(F.lit("vocabulary holds a code twice: "), F.col("role_code"))).cast("string")
+    single = vocab.groupBy("role_code").agg(F.count("*").alias("_n"), F.min("role_name").alias("role_name")) \
+        .select("role_code", F.when(F.col("_n") > 1, twice).otherwise(F.col("role_name")).alias("role_name"))
+    flat = df.select(key, F.posexplode(codes).alias("pos", "role_code")).join(single, "role_code", "left")
     named = flat.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "role_name"))),
                                               lambda p: p["role_name"]).alias(out))
     return df.join(named, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))

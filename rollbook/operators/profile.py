@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rollbook.functions.dates import is_closed_record
 from rollbook.functions.roles import relationship_phrase, relationship_rank
@@ -121,12 +122,15 @@ def primary_role_name(orgs: DataFrame) -> DataFrame:
 
 
 def profile_items(orgs: DataFrame, rels: DataFrame, chain: DataFrame, preds: DataFrame) -> DataFrame:
-    """The parts of every profile document as rows: ``ods_code, section, sort_key, item`` (JSON)."""
+    """The parts of every profile document as rows: ``ods_code, section, sort_key, item`` (JSON).
+
+    ``sort_key`` is a list and is compared entry by entry, so a name before a longer one, and a chain depth first.
+    """
     r = profile_rels(orgs, rels)
     late = F.datediff(F.lit("9999-12-31").cast("date"), F.coalesce("operational_start", F.lit("0001-01-01").cast("date")))
-    rel_key = F.concat_ws("|", F.when(F.col("direction") == "outbound", "0").otherwise("1"), "rel_name",
-                          F.when(F.lower("rel_status") == "active", "0").otherwise("1"), F.lpad(late.cast("string"), 8, "0"),
-                          "code", "rel_id")
+    rel_key = F.array(F.when(F.col("direction") == "outbound", "0").otherwise("1"), F.col("rel_name"),
+                      F.when(F.lower("rel_status") == "active", "0").otherwise("1"), F.lpad(late.cast("string"), 8, "0"),
+                      F.col("code"), F.col("rel_id").cast("string"))
     rel_rows = r.select("ods_code", F.lit("relationships").alias("section"), rel_key.alias("sort_key"), F.to_json(
         F.struct("rel_code", "rel_name", "direction", "code", "name", F.col("rel_status").alias("status"), "operational_start",
                  "operational_end", "legal_start", "legal_end"), {"ignoreNullFields": "false"}).alias("item"))
@@ -134,24 +138,28 @@ def profile_items(orgs: DataFrame, rels: DataFrame, chain: DataFrame, preds: Dat
                                      F.col("hop_name").alias("name"), F.col("hop_status").alias("status")),
                             {"ignoreNullFields": "false"})
     succ_rows = chain.select("ods_code", F.lit("succession").alias("section"),
-                             F.array_join("path", "|").alias("sort_key"), hop().alias("item"))
+                             F.col("path").alias("sort_key"), hop().alias("item"))
     pred_rows = preds.withColumn("depth", F.lit(1)).select(
-        "ods_code", F.lit("predecessors").alias("section"), F.concat_ws("|", "hop_code", "succession_id").alias("sort_key"),
+        "ods_code", F.lit("predecessors").alias("section"), F.array(F.col("hop_code"), F.col("succession_id").cast("string")).alias("sort_key"),
         hop().alias("item"))
     return rel_rows.unionByName(succ_rows).unionByName(pred_rows)
 
 
+def profile_positions(items: DataFrame) -> DataFrame:
+    """Items with their ``position`` in the entity's document, from 1."""
+    order = F.when(F.col("section") == "relationships", 0).when(F.col("section") == "succession", 1).otherwise(2)
+    own = Window.partitionBy("ods_code")
+    return items.withColumn("position", F.row_number().over(own.orderBy(order, "sort_key", "item"))).withColumn("_n", F.count("*").over(own))
+
+
 def profile_json(orgs: DataFrame, items: DataFrame, part_rows: int = 50_000) -> DataFrame:
     """One JSON document per entity: its columns, role names, relationships, succession, predecessors.
 
-    An entity with more than ``part_rows`` items is written as several numbered parts (by
-    item hash), each a full header with its share of the items, so no task gathers an
-    unbounded list and no item is lost.
+    The items of an entity, in order, are cut into numbered parts of ``part_rows``, each a full header with its
+    stretch of the items; ``profile_positions`` is the same as rows.
     """
-    sizes = items.groupBy("ods_code").agg(F.count("*").alias("_n"))
-    parts = sizes.select("ods_code", F.ceil(F.col("_n") / F.lit(part_rows)).cast("int").alias("parts"))
-    placed = items.join(parts, "ods_code").withColumn("part", F.pmod(F.xxhash64("section", "sort_key", "item"),
-                                                                      F.col("parts")).cast("int"))
+    placed = profile_positions(items).withColumn("part", F.floor((F.col("position") - 1) / part_rows).cast("int")) \
+        .withColumn("parts", F.ceil(F.col("_n") / part_rows).cast("int"))
     item = F.struct("sort_key", "item")
     of = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == s, item))), lambda i: i["item"])
     sections = ["relationships", "succession", "predecessors"]

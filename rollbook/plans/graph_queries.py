@@ -173,6 +173,15 @@ def _(t):
     return parsed.groupBy("d.ods_code", "d.name").agg(n("relationships"), n("succession"), n("predecessors"))
 
 
+@plan("p4c_profile_positions", f"""
+    WITH {_PRELS} SELECT ods_code, code, rel_id, cast(row_number() OVER (PARTITION BY ods_code ORDER BY direction DESC, rel_name,
+      CASE WHEN lower(rel_status) = 'active' THEN 0 ELSE 1 END, operational_start DESC NULLS LAST, code, rel_id) AS int) AS position FROM pl""")
+def _(t):
+    items = P.profile_items(t.orgs, t.relationships, G.succession_chain(t.successions, t.orgs), G.direct_predecessors(t.successions, t.orgs))
+    placed = P.profile_positions(items).where("section = 'relationships'")
+    return placed.select("ods_code", F.get_json_object("item", "$.code").alias("code"), F.col("sort_key")[5].alias("rel_id"), "position")
+
+
 @plan("p4b_output_record", """
     SELECT o.ods_code, coalesce(string_agg(s.successor_code || ':' || coalesce(x.name, '') || ':' || coalesce(x.status, 'unknown'), '|'
              ORDER BY s.successor_code), '') AS successors

@@ -28,11 +28,11 @@ def _(t):
           (SELECT concat('P', cast(l_partkey as string), '/', cast(l_orderkey as string), '/', cast(l_linenumber as string), '/',
                          cast(l_suppkey as string)) AS ods_code,
                   ['P' || cast(l_partkey as string), 'S' || cast(l_suppkey as string), 'Q1', 'P' || cast(l_partkey as string)] AS codes
-           FROM <lineitem> WHERE l_returnflag = 'R') x) y LEFT JOIN <orgs> o ON o.ods_code = c GROUP BY y.ods_code""")
+           FROM (SELECT DISTINCT l_partkey, l_orderkey, l_linenumber, l_suppkey FROM <lineitem>) l) x) y LEFT JOIN <orgs> o ON o.ods_code = c GROUP BY y.ods_code""")
 def _(t):
     p, s = F.concat(F.lit("P"), F.col("l_partkey").cast("string")), F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
     key = F.concat_ws("/", p, F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string"))
-    rows = t.lineitem.where("l_returnflag = 'R'").select(key.alias("ods_code"), F.array(p, s, F.lit("Q1"), p).alias("codes"))
+    rows = t.lineitem.select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey").distinct().select(key.alias("ods_code"), F.array(p, s, F.lit("Q1"), p).alias("codes"))
     out = J.join_code_to_name(rows, t.orgs, "codes")
     return out.select("ods_code", F.array_join(F.transform("related", lambda x: F.concat_ws(":", x["code"], x["name"], x["status"])),
                                                "|").alias("related"))

@@ -129,14 +129,14 @@ def _(t):
 
 @plan("s13_dataset_dispatch", """
     SELECT 'parquet' AS fmt, ods_code AS code FROM <orgs> UNION ALL SELECT 'ndjson', ods_code FROM <orgs>
-    UNION ALL SELECT 'xml', code FROM <xml_src> WHERE file_index = 0""")
+    UNION ALL SELECT 'xml', code FROM <xml_src>""")
 def _(t):
     root = scratch_path(t.spark, "dispatch")
     none = F.array().cast("array<string>")
     full = t.orgs.withColumn("predecessor_codes", none).withColumn("successor_codes", none)
     full.select(schemas.ORGS.names).write.parquet(f"{root}/orgs.parquet")
     sinks.write_json(full, f"{root}/orgs.ndjson")
-    rows = t.xml_src.where("file_index = 0").select(written._entity_xml(False).alias("value"))
+    rows = t.xml_src.select(written._entity_xml(False).alias("value"))
     rows.write.text(f"{root}/source.xml")
     code = {"parquet": "ods_code", "ndjson": "ods_code", "xml": "code"}
     parts = [tables.scan_dataset(t.spark, p).select(F.lit(tables.dataset_format(p)).alias("fmt"), F.col(code[tables.dataset_format(p)]).alias("code"))
@@ -173,10 +173,12 @@ def _(t):
     return _read_back(t, t.successions, "successions").select("predecessor_code", "successor_code", "succession_id", "legal_start")
 
 
-@plan("k5_write_csv", "SELECT ods_code, name, array_to_string(role_names, '; ') AS role_names, town FROM <orgs>")
+@plan("k5_write_csv", """SELECT ods_code, CASE WHEN ods_code LIKE '%7' THEN '  ' || name || '", ' ELSE name END AS name, array_to_string(role_names, '; ') AS role_names,
+    town FROM <orgs>""")
 def _(t):
     path = scratch_path(t.spark, "csv")
-    sinks.write_csv(t.orgs.select("ods_code", "name", "role_names", "town"), path)
+    odd = F.when(F.col("ods_code").like("%7"), F.concat(F.lit("  "), "name", F.lit('", '))).otherwise(F.col("name"))
+    sinks.write_csv(t.orgs.select("ods_code", odd.alias("name"), "role_names", "town"), path)
     back = t.spark.read.option("header", "true").option("escape", '"').csv(path)
     return back.select("ods_code", "name", "role_names", "town")
 
@@ -190,13 +192,14 @@ def _(t):
 
 
 @plan("k7_write_tsv", """
-    SELECT ods_code, name, coalesce(postcode, '') AS postcode, CASE WHEN role_codes = ['RO177', 'RO57'] THEN 'COST CENTRE +1'
-           WHEN len(role_codes) = 2 THEN role_names[2] || ' +1' ELSE role_names[1] END AS roles, record_class, status FROM <orgs>""")
+    SELECT ods_code || chr(9) || CASE WHEN ods_code LIKE '%7' THEN ' "' || name || '", a b ' ELSE name END || chr(9) || coalesce(postcode, '') || chr(9)
+           || CASE WHEN role_codes = ['RO177', 'RO57'] THEN 'COST CENTRE +1' WHEN len(role_codes) = 2 THEN role_names[2] || ' +1' ELSE role_names[1] END
+           || chr(9) || record_class || chr(9) || status AS line FROM <orgs>""")
 def _(t):
     path = scratch_path(t.spark, "tsv")
-    sinks.write_tsv(t.orgs, path, all_rows=True)
-    return t.spark.read.option("sep", "\t").schema("ods_code string, name string, postcode string, roles string, record_class string, status string") \
-        .csv(path).withColumn("postcode", F.coalesce("postcode", F.lit("")))
+    odd = F.when(F.col("ods_code").like("%7"), F.concat(F.lit(' "'), "name", F.lit('",\ta\nb '))).otherwise(F.col("name"))
+    sinks.write_tsv(t.orgs.withColumn("name", odd), path, all_rows=True)
+    return t.spark.read.text(path).withColumnRenamed("value", "line")
 
 
 @plan("k8_write_diff_ndjson", """

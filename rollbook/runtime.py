@@ -1,4 +1,4 @@
-"""Session defaults, lineage cuts and size checks shared by the operators."""
+"""Session defaults and lineage cuts shared by the operators."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows up to which a lookup table may be replicated to every task.
-SMALL_ROWS = 200_000
-
-
 def session(cores: str = "*", shuffle_partitions: int = 8, app: str = "rollbook") -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     return (
@@ -41,7 +37,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder, cutting its lineage."""
     spark = df.sparkSession
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(_shared_dir(spark) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
 
@@ -50,9 +46,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table, in the shared folder when one is named."""
     root = _shared_dir(spark) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-

@@ -41,10 +41,13 @@ def flat_columns(df: DataFrame) -> DataFrame:
     return df.select(out)
 
 
+_BLANKS_STAY = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """RFC 4180 CSV with a header; quotes doubled, NULL and '' both empty cells."""
     (flat_columns(df).write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"')
-     .option("emptyValue", "").option("nullValue", "").csv(path))
+     .option("emptyValue", "").option("nullValue", "").options(**_BLANKS_STAY).csv(path))
 
 
 def json_lines(df: DataFrame, column: str = "record") -> DataFrame:
@@ -64,7 +67,10 @@ def display_rows(found: DataFrame, all_rows: bool = False, verbose: bool = False
 
 
 def write_tsv(found: DataFrame, path: str, all_rows: bool = False) -> None:
-    display_rows(found, all_rows).write.mode("overwrite").option("sep", "\t").option("header", "false").csv(path)
+    """Plain fields between tabs, absent ones empty; a tab or line end inside a value becomes a space."""
+    shown = display_rows(found, all_rows)
+    plain = [F.regexp_replace(F.coalesce(c, F.lit("")), "[\\t\\r\\n]", " ") for c in shown.columns]
+    shown.select(F.concat_ws("\t", *plain).alias("line")).write.mode("overwrite").text(path)
 
 
 def write_diff_ndjson(changes: DataFrame, path: str) -> None:
@@ -75,7 +81,7 @@ def write_diff_ndjson(changes: DataFrame, path: str) -> None:
 
 def write_diff_csv(long_form: DataFrame, path: str) -> None:
     (long_form.write.mode("overwrite").option("header", "true").option("quoteAll", "true").option("escape", '"')
-     .csv(path))
+     .options(**_BLANKS_STAY).csv(path))
 
 
 def snapshot_append(df: DataFrame, path: str, by: str = "publication_date") -> None:
