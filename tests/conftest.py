@@ -1,6 +1,9 @@
 import os
 import sys
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # many workers share the cores
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -17,7 +17,7 @@ from rollbook.operators import graph as G
 from rollbook.operators import history as W
 from rollbook.operators import profile as P
 from rollbook.sources import files, sinks, tables
-from rollbook.streaming.changefeed import read_releases, start_change_feed
+from rollbook.streaming.changefeed import announce, read_markers, start_change_feed
 
 
 # --- history ------------------------------------------------------------------------------
@@ -224,17 +224,20 @@ def test_series_is_pruned_by_date(spark, t, tmp_path):
 # --- change feed --------------------------------------------------------------------------
 
 
-def test_change_feed_follows_arriving_releases(spark, t, tmp_path):
+def test_change_feed_follows_announced_releases(spark, t, tmp_path):
     cols = ["ods_code", "name", "status", "primary_role_code", "town", "postcode", "publication_date"]
     rows = t.snapshots.select(cols).withColumnRenamed("primary_role_code", "role")
     days = [r[0] for r in rows.select("publication_date").distinct().orderBy("publication_date").limit(3).collect()]
-    inbox, series, feed, mark = (str(tmp_path / n) for n in ("inbox", "series", "feed", "mark"))
-    for i, day in enumerate(days):
-        rows.where(F.col("publication_date") == F.lit(day)).coalesce(1).write.mode("append").parquet(inbox)
-        if i:
-            start_change_feed(read_releases(spark, inbox, rows.schema), series, feed, mark).awaitTermination()
-    old, new = (rows.where(F.col("publication_date") == F.lit(d)) for d in days[1:])
-    want = {tuple(r) for r in X.diff_long(old, new).collect()}
-    got = spark.read.parquet(feed).where(F.col("publication_date") == F.lit(days[2]))
-    assert {tuple(r) for r in got.select("ods_code", "name", "role", "change_type", "field", "old_value", "new_value").collect()} == want and want
+    series, feed, mark, markers = (str(tmp_path / n) for n in ("series", "feed", "mark", "markers"))
+    on = lambda d: rows.where(F.col("publication_date") == F.lit(d))
+    for day in (days[0], days[2], days[1], days[1]):  # one late, one announced twice
+        release = str(tmp_path / f"release-{day}")
+        for half in (0, 1):  # the files of a release arrive in pieces before it is announced
+            on(day).where(F.abs(F.hash("ods_code")) % 2 == half).drop("publication_date").write.mode("append" if half else "overwrite").parquet(release)
+        announce(spark, day, release, markers)
+        start_change_feed(read_markers(spark, markers), rows.schema, series, feed, mark).awaitTermination()
+    for before, day in zip(days, days[1:]):
+        want = {tuple(r) for r in X.diff_long(on(before), on(day)).collect()}
+        got = spark.read.parquet(feed).where(F.col("publication_date") == F.lit(day))
+        assert {tuple(r) for r in got.select("ods_code", "name", "role", "change_type", "field", "old_value", "new_value").collect()} == want and want
     assert spark.read.parquet(series).count() == rows.where(F.col("publication_date") <= F.lit(days[2])).count()
