@@ -26,7 +26,7 @@ WINDOW, STRIDE = 96, 48
 SURE = 0.9
 #: Bounds of the training sample: documents that hold a digit or an @, and windows.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 1500, 2400
-EMBED, HIDDEN, EPOCHS, BATCH, RATE = 12, 20, 7, 48, 0.01
+EMBED, HIDDEN, STEPS, BATCH, RATE = 12, 20, 350, 48, 0.01
 #: Windows read at once.
 READ = 1024
 
@@ -210,7 +210,7 @@ def _labels(n: int, spans: Iterable[Span]) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], spans: list[list[Span]], windows: int = SAMPLE_WINDOWS, epochs: int = EPOCHS, seed: int = 5) -> Tagger | None:
+def fit(texts: list[str], spans: list[list[Span]], windows: int = SAMPLE_WINDOWS, steps: int = STEPS, seed: int = 5) -> Tagger | None:
     """Train on windows of labelled texts that hold a digit or an @, at random shifts; None where no span is labelled."""
     rng = np.random.default_rng(seed)
     x, y = [], []
@@ -225,6 +225,7 @@ def fit(texts: list[str], spans: list[list[Span]], windows: int = SAMPLE_WINDOWS
         return None
     x, y = np.stack([x[k] for k in keep]), np.stack([y[k] for k in keep])
     model, m, v, t = Tagger.new(), {}, {}, 0
+    epochs = -(-steps // -(-len(x) // BATCH))  # few windows are read more often
     total = epochs * -(-len(x) // BATCH)
     for _ in range(epochs):
         order = rng.permutation(len(x))
