@@ -153,7 +153,7 @@ DEFINITIONS = {
                CASE WHEN max(o_orderkey) % 7 = 0 THEN NULL ELSE concat('N', cast(max(o_orderkey) % 3 + 1 as string), ' 1AA') END
                  AS postcode,
                concat('tel:', cast(max(o_orderkey) % 2 as string)) AS contacts
-        FROM <orders> WHERE o_orderdate < timestamp '1998-01-01 00:00:00' AND o_orderpriority < '3' GROUP BY o_custkey""",
+        FROM <orders> WHERE o_orderdate < timestamp '1998-01-01 00:00:00' AND o_custkey % 9 <> 4 GROUP BY o_custkey""",
     "catalog_releases": """
         SELECT cast(cast(o_orderdate as date) as string) AS release,
                concat('sha256:', SHA(cast(cast(o_orderdate as date) as string))) AS source_hash,
@@ -170,7 +170,7 @@ DEFINITIONS = {
                CASE WHEN low % 6 = 1 OR release > '2001-07-20' THEN 'bad build' ELSE NULL END AS withdrawn, low
         FROM (SELECT cast(cast(o_orderdate as date) as string) AS release, o_orderkey % 12 AS a, o_orderkey % 5 AS b,
                      cast(sum(o_custkey) as bigint) AS bytes, min(o_orderkey) AS low
-              FROM <orders> WHERE o_orderkey % 3 = 0
+              FROM <orders>
               GROUP BY cast(cast(o_orderdate as date) as string), o_orderkey % 12, o_orderkey % 5) d""",
     "new_releases": """
         SELECT release, CASE WHEN source_bytes % 50 = 3 THEN concat('sha256:', SHA('changed')) ELSE source_hash END AS source_hash,
@@ -211,7 +211,7 @@ DEFINITIONS = {
                cast(10 as bigint) AS record_count
         FROM <orders> WHERE o_orderkey % 150 < 2""",
 }
-_snap_new = DEFINITIONS["snap_old"].replace("o_orderdate < timestamp '1998-01-01", "o_orderdate >= timestamp '1998-01-01")
+_snap_new = DEFINITIONS["snap_old"].replace("o_orderdate < timestamp '1998-01-01", "o_orderdate >= timestamp '1998-01-01").replace("% 9 <> 4", "% 8 <> 3")
 DEFINITIONS["snap_new"] = _snap_new
 
 _XML_ROW = f"""
