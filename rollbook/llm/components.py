@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(now)
     while mark[0]:
-        now = checkpoint(_small_star(_large_star(now).distinct()).distinct())
+        now = checkpoint(_small_star(_large_star(now)).distinct())
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -8,10 +8,10 @@ take 720 if every table had its own. Two sets of similarity 0.8 miss all tables
 2. Collections that no other class shares are found by counting; a class that shares fewer than two is in no table with
    another and drops out. The other classes get their table keys.
 3. In each table key every class is paired with one pivot, which differs between keys; pairs are confirmed on the full sets
-   and merged into groups. Where a value of a collection still holds several groups, this is repeated with a pivot of its largest.
-4. Where it holds several groups even then, the pairs across groups that share two collections are confirmed too: the classes
-   outside the largest group against all others, each pair from the first collection it shares. No pair that could join
-   two groups is left out, and no pairs are made within a group.
+   and merged into groups.
+4. Where a value of a collection still holds several groups, the pairs across groups that share two collections are confirmed
+   too: the classes outside the largest group against all others, each pair from the first collection it shares. No pair
+   that could join two groups is left out, and no pairs are made within a group.
 """
 
 from __future__ import annotations
@@ -189,12 +189,10 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     links = checkpoint(confirmed(tried, sets, percent))
     roots = checkpoint(components(links))
     buckets = shared.select("id", F.xxhash64("at", "value").alias("bucket"), "at")
-    for step in (to_pivots, across):
-        rest = checkpoint(step(several_groups(buckets, roots), classes, bounds).join(tried, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            tried = tried.union(rest)
-            links = checkpoint(links.union(confirmed(rest, sets, percent)))
-            roots = checkpoint(components(links))
+    rest = checkpoint(across(several_groups(buckets, roots), classes, bounds).join(tried, ["a", "b"], "left_anti"))
+    more = checkpoint(confirmed(rest, sets, percent))
+    if not more.isEmpty():
+        roots = checkpoint(components(links.union(more)))
     named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("cls", F.coalesce("root", "id").alias("root"), F.col("least").alias("own"))
     by_class = named.join(named.groupBy("root").agg(F.min("own").alias("least")), "root").select("cls", "least")
     return signed.select("row", "n_shingles", "cls").join(by_class, "cls", "left").select("row", "n_shingles", F.coalesce("least", "row").alias("least"))
