@@ -157,3 +157,19 @@ def test_repeated_branches_of_a_host_go_and_the_rest_stays(spark):
     assert text[92] == ["Same words on every page\n\nOwn words of page 92\n\n<b> & c"] * 2
     assert text[90] == text[91] == [""] and len(text[93][0]) == 99_999
     assert html.main_text(got.select("page_id", "url", got["text"].alias("html")).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [20_000, 20_001, 1_000_000])
+def test_attributes_of_any_length_are_markup(size):
+    value = "<a b='c'>" * (size // 9) + "x" * (size % 9)
+    page = f'<p>one<img src="{value}">two</p><nav data-x="{value}"><p>menu</p></nav><div data-x="{value}" hidden><p>unseen</p></div><p title="{value}">three</p>'
+    assert [b.text for b in html.blocks(page)] == ["onetwo", "three"]
+
+
+def test_odd_quotes_and_names_in_values():
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    assert texts("""<p title="hidden id"  data-hidden=no data-j='{"class": "nav"}'>kept</p>""") == ["kept"]
+    assert texts("<p>1 < 2, a <b and c <i>d</i> it's <p title=x'>e</p>") == ["1 < 2, a <b and c d it's", "e"]
+    for part in ("<a '\"", '<a "<b" ', "<a<a", "<a '<b\" "):
+        page = part * 100_000
+        assert texts(page + "<") == [" ".join((page + "<").split())]
