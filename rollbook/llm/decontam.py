@@ -1,25 +1,31 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-A text is read as words of letters and digits, twice: literally (lower case), and as a template in which numbers, names
-(capitalised words inside a sentence) and units after a number become typed placeholders. Windows of ``WINDOW`` words of
-either reading are joined by hash with those of the benchmark. A window that matches as a template fills slots: along one
+A text is read as words of letters and digits, three times: literally (lower case), as a template in which numbers, names
+(capitalised words inside a sentence) and units after a number become typed placeholders, and as a wide template in which
+every capitalised word is a name, those that begin a sentence too. Windows of ``WINDOW`` words of
+each reading are joined by hash with those of the benchmark. A window that matches as a template fills slots: along one
 alignment of document and item, a value of the item must always be filled by the same value, else the template matches of this
-alignment do not count. A document leaks an item when the matched windows are at least ``SHARE`` of the item's.
+alignment do not count. Wide templates count if they and the others of their alignment agree, and never make others fail. A document leaks an item when the matched windows are at least ``SHARE`` of the item's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.runtime import checkpoint
 
 WINDOW, SHARE = 8, 0.5
-#: Least words of a template window that are no placeholders.
+#: Least words of a template window of ``WINDOW`` words that are no placeholders; in proportion, rounded up, for shorter ones.
 LITERALS = 4
 #: Benchmark windows up to which their table (24 bytes and a few words a row) is sent to every executor; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
+#: Benchmark keys up to which documents are searched for them before their windows become rows; beyond, the join alone decides.
+INLINE_KEYS = 30_000
+
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"  # private characters, blanked in the input
 # fixed values: unit names read as units after a number
 UNITS = ("mm cm m km in ft yd mi mg g kg t lb oz ml cl l s ms min h hr hrs sec day days hour hours minute minutes second seconds week weeks "
@@ -38,51 +44,79 @@ def _words(c: Column, keep: str = "") -> Column:
     return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
 
 
-def readings(text: Column) -> tuple[Column, Column]:
-    """The words of a text and, at the same places, those of its template; null reads as empty."""
-    own = F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT, "   ")
-    t = F.regexp_replace(own, r"(?<=[\p{L}\p{N},;:]\s)\p{Lu}\p{L}*", NAME)
+def _plain(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT, "   ")
+
+
+def n_words(text: Column) -> Column:
+    """The number of words of a text; null reads as empty."""
+    return F.size(_words(_plain(text)))
+
+
+def readings(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys with _words, the words of a text, and at the same places _template and _wide, those of its templates; null reads as empty."""
+    t = F.regexp_replace("_own", r"(?<=[\p{L}\p{N},;:]\s)\p{Lu}\p{L}*", NAME)
     t = F.regexp_replace(t, rf"{_EDGE}(?:\p{{N}}+|(?i:{'|'.join(NUMBERS)})){_END}", NUMBER)
     t = F.regexp_replace(t, rf"(?<={NUMBER}\s)(?i:{'|'.join(UNITS)}){_END}", UNIT)
-    return _words(own), _words(t, NUMBER + NAME + UNIT)
+    wide = F.regexp_replace("_form", rf"{_EDGE}\p{{Lu}}\p{{L}}*", NAME)
+    kept = NUMBER + NAME + UNIT
+    return (rows.select(*keys, _plain(F.col(text)).alias("_own")).select(*keys, "_own", t.alias("_form"))
+            .select(*keys, _words(F.col("_own")).alias("_words"), _words(F.col("_form"), kept).alias("_template"), _words(wide, kept).alias("_wide")))
 
 
 def _placeholder(x: Column) -> Column:
     return F.substring(x, 1, 1).isin(NUMBER, NAME, UNIT)
 
 
-_WINDOWS = "array<struct<pos:int,size:int,key:bigint,slots:array<string>>>"
+_WINDOWS = "array<struct<pos:int,size:int,key:bigint,slots:array<string>,wide:boolean>>"
 
 
-def _windows_of(size: int) -> Column:
-    """The windows of ``size`` words of columns _words and _template: all of them literally, and those with placeholders as templates."""
-    at = F.sequence(F.lit(0), F.size("_words") - size)
+def _windows_of(size: int, among: list[int] | None) -> Column:
+    """The windows of ``size`` words: all of them literally, and those with placeholders as templates; only keys ``among`` those given.
 
-    def own(i: Column) -> Column:
-        return F.slice("_words", i + 1, size)
-
-    def form(i: Column) -> Column:
-        return F.slice("_template", i + 1, size)
-
-    def slots(i: Column) -> Column:
-        both = F.arrays_zip(form(i).alias("t"), own(i).alias("w"))
-        return F.transform(F.filter(both, lambda z: _placeholder(z["t"])), lambda z: z["w"])
+    Keys come from arrays shifted against each other, as a slice for each window would copy the whole text.
+    """
+    many = F.size("_words") - size + 1
+    least = -(-LITERALS * min(size, WINDOW) // WINDOW)
+    empty = F.array().cast(_WINDOWS)
 
-    def filled(i: Column) -> Column:
-        return F.exists(form(i), _placeholder) & (F.size(F.filter(form(i), lambda x: ~_placeholder(x))) >= min(LITERALS, size))
+    def part(c: str, i: Column) -> Column:
+        return F.slice(c, i + 1, size)
 
-    none, empty = F.lit(None).cast("array<string>"), F.array().cast(_WINDOWS)
-    plain = F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.xxhash64(own(i)).alias("key"), none.alias("slots")))
-    forms = F.transform(F.filter(at, filled), lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.xxhash64(form(i)).alias("key"), slots(i).alias("slots")))
-    no_form = (F.size("_template") != F.size("_words")) | ~F.exists("_template", _placeholder)
-    return F.when(F.size("_words") < size, empty).when(no_form, plain.cast(_WINDOWS)).otherwise(F.concat(plain.cast(_WINDOWS), forms.cast(_WINDOWS)))
+    def filled(c: str, i: Column) -> Column:
+        literals = F.size(F.array_remove(part(c, i), 1))
+        return (literals < size) & (literals >= least)
 
+    def slots(c: str, i: Column) -> Column:
+        both = F.arrays_zip(part(c, i).alias("t"), part("_words", i).alias("w"))
+        return F.transform(F.filter(both, lambda z: _placeholder(z["t"])), lambda z: z["w"])
 
-def windows(rows: DataFrame, keys: list[str], text: str, sizes: list[int]) -> DataFrame:
-    """keys, pos, size, key and slots of each window of each reading; slots, the words behind the placeholders, are null for literal windows."""
-    literal, template = readings(F.col(text))
-    read = rows.select(*keys, literal.alias("_words"), template.alias("_template"))
-    return read.select(*keys, F.inline(F.concat(*[_windows_of(n) for n in sizes])))
+    def keyed(hashes: str, asked: Callable[[Column], Column] | None, template: str | None, wide: bool) -> Column:
+        shifted = F.arrays_zip(*[F.slice(hashes, k + 1, many).alias(f"h{k}") for k in range(size)])
+        keys = F.transform(shifted, lambda z, i: F.struct(i.alias("pos"), F.xxhash64(*[z[f"h{k}"] for k in range(size)]).alias("key")))
+        keys = keys if among is None else F.filter(keys, lambda z: z["key"].isin(among))
+        keys = keys if asked is None else F.filter(keys, lambda z: asked(z["pos"]))
+        none = F.lit(None).cast("array<string>")
+        every = F.transform(keys, lambda z: F.struct(z["pos"].alias("pos"), F.lit(size).alias("size"), z["key"].alias("key"),
+                                                     (slots(template, z["pos"]) if template else none).alias("slots"), F.lit(wide).alias("wide")))
+        return F.when(F.size(hashes) == F.size("_words"), every.cast(_WINDOWS)).otherwise(empty)
+
+    forms = keyed("_template_hashes", lambda i: filled("_template_slots", i), "_template", False)
+    wides = keyed("_wide_hashes", lambda i: F.array_contains(part("_more", i), 1) & filled("_wide_slots", i), "_wide", True)
+    return F.when(F.size("_words") < size, empty).otherwise(F.concat(
+        keyed("_words_hashes", None, None, False), F.when(F.array_contains("_template_slots", 1), forms).otherwise(empty),
+        F.when(F.array_contains("_more", 1), wides).otherwise(empty)))
+
+
+def windows(rows: DataFrame, keys: list[str], text: str, sizes: list[int], among: list[int] | None = None) -> DataFrame:
+    """keys, pos, size, key, slots and wide of each window of each reading; slots, the words behind the placeholders, are null for literal
+    windows; a window is wide if only the wide template has it so. Of keys ``among`` those given, or of all."""
+    read = ["_words", "_template", "_wide"]
+    hashes = [F.transform(c, lambda w: F.xxhash64(w)).alias(f"{c}_hashes") for c in read]
+    marks = [F.transform(c, lambda w: _placeholder(w).cast("int")).alias(f"{c}_slots") for c in read[1:]]
+    more = F.zip_with("_template", "_wide", lambda a, b: (a != b).cast("int")).alias("_more")
+    made = readings(rows, keys, text).select(*keys, *read, *hashes, *marks, more)
+    return made.select(*keys, F.inline(F.concat(*[_windows_of(n, among) for n in sizes])))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
@@ -93,28 +127,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     """
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     distinct = checkpoint(items.groupBy("text").agg(F.min("item_id").alias("item")))
-    sized = distinct.select(F.size(readings(F.col("text"))[0]).alias("n")).where("n > 0")
+    sized = distinct.select(n_words(F.col("text")).alias("n")).where("n > 0")
     sizes = [r[0] for r in sized.select(F.least("n", F.lit(window)).alias("n")).distinct().collect()]  # at most ``window`` values
     kind = docs.schema["doc_id"].dataType.simpleString()
     if not sizes:
         return docs.limit(0).select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("matched"),
                                     F.lit(0).alias("windows"), F.lit(False).alias("templated")).withColumn("doc_id", F.col("doc_id").cast(kind))
-    every = windows(distinct.select("text", F.col("item"), F.size(readings(F.col("text"))[0]).alias("n")), ["item", "n"], "text", sorted(sizes))
+    every = windows(distinct.select("text", F.col("item"), n_words(F.col("text")).alias("n")), ["item", "n"], "text", sorted(sizes))
     # an item's own window length, and one row for each of its windows that reads the same
     asked = checkpoint(every.where(F.col("size") == F.least("n", F.lit(window)))
-                       .select("item", F.col("pos").alias("at"), (F.col("n") - F.col("size") + 1).alias("windows"), "size", "key", F.col("slots").alias("values")))
+                       .select("item", F.col("pos").alias("at"), (F.col("n") - F.col("size") + 1).alias("windows"), "size", "key", F.col("slots").alias("values"), F.col("wide").alias("asked_wide")))
     small = asked.count() <= BROADCAST_ROWS
-    own = windows(docs.select("doc_id", F.xxhash64("text").alias("row"), "text").where(F.col("text").isNotNull()), ["doc_id", "row"], "text", sorted(sizes))
+    among = [r[0] for r in asked.select("key").distinct().limit(INLINE_KEYS + 1).collect()]
+    own = windows(docs.select("doc_id", F.xxhash64("text").alias("row"), "text").where(F.col("text").isNotNull()), ["doc_id", "row"], "text", sorted(sizes),
+                  among if len(among) <= INLINE_KEYS else None)
     hits = checkpoint(own.join(F.broadcast(asked) if small else asked, ["key", "size"])
                       .where(F.col("slots").isNull() == F.col("values").isNull())
-                      .select("doc_id", "row", "item", (F.col("pos") - F.col("at")).alias("shift"), "at", "windows", "slots", "values"))
+                      .select("doc_id", "row", "item", (F.col("pos") - F.col("at")).alias("shift"), "at", "windows", "slots", "values",
+                              (F.col("wide") | F.col("asked_wide")).alias("wide")))
     line = ["doc_id", "row", "item", "shift"]
-    pairs = hits.where(F.col("slots").isNotNull()).select(*line, F.inline(F.arrays_zip("values", "slots"))).distinct()
-    wrong = pairs.groupBy(*line, "values").agg(F.count("*").alias("fills")).where("fills > 1").select(*line).distinct()
+    pairs = hits.where(F.col("slots").isNotNull()).select(*line, "wide", F.inline(F.arrays_zip("values", "slots")))
+    fills = pairs.groupBy(*line, "values", "slots").agg(F.min("wide").alias("wide")).groupBy(*line, "values").agg(
+        F.count("*").alias("fills"), F.count_if(~F.col("wide")).alias("narrow"))
+    wrong = fills.where("fills > 1").groupBy(*line).agg((F.max("narrow") > 1).alias("w_all"))
     fits = lambda a, b: a.eqNullSafe(b)
-    bad = wrong.select(*[F.col(c).alias(f"w_{c}") for c in line])
+    bad = wrong.select(*[F.col(c).alias(f"w_{c}") for c in line], "w_all")
     sound = hits.where(F.col("slots").isNull()).unionByName(
-        hits.where(F.col("slots").isNotNull()).join(bad, [fits(F.col(c), F.col(f"w_{c}")) for c in line], "left_anti"))
+        hits.where(F.col("slots").isNotNull()).join(bad, [fits(F.col(c), F.col(f"w_{c}")) for c in line], "left")
+        .where(F.col("w_all").isNull() | ~F.col("wide") & ~F.col("w_all")).drop("w_all", *[f"w_{c}" for c in line]))
     per_window = sound.groupBy("doc_id", "row", "item", "at").agg(F.max("windows").alias("windows"), F.min(F.col("slots").isNotNull()).alias("templated"))
     found = (per_window.groupBy("doc_id", "row", "item").agg(F.count("*").cast("int").alias("matched"), F.max("windows").alias("windows"), F.max("templated").alias("templated"))
              .where(F.col("matched") >= share * F.col("windows")))

@@ -271,6 +271,18 @@ def test_leaks_of_the_benchmark_equal_a_window_search(spark):
     assert want and want <= got and len(got - want) <= 0.1 * len(want)
 
 
+@pytest.mark.parametrize("inline", [30_000, 0])
+def test_leaks_of_names_at_sentence_starts_and_of_short_items(spark, inline, monkeypatch):
+    monkeypatch.setattr(decontam, "INLINE_KEYS", inline)
+    items = [(1, "Maria has 5 boxes with 12 pens each. Maria sells 20 pens. How many pens are left?"), (2, "Nora buys 4 red cups"), (3, "What is 12 plus 30"), (4, "Add 7"),
+             (5, "The old man and Tom saw 3 ships in the bay. The ships left Ann at 9.")]
+    rows = [(10, "Peter has 8 boxes with 9 pens each. Peter sells 11 pens. How many pens are left?"), (11, "Peter has 8 boxes with 9 pens each. Paul sells 11 pens. How many pens are left?"),
+            (12, "so it was. Omar buys 9 red cups"), (13, "What is 7 plus 8?"), (14, "what was 7 plus 8? Add 9"), (15, "A old man and Bob saw 5 ships in the bay. The ships left Eve at 2.")]
+    table, bench = (spark.createDataFrame(x, f"{c} long, text string") for x, c in ((rows, "doc_id"), (items, "item_id")))
+    got = {(r["doc_id"], r["item_id"], r["templated"]) for r in decontam.leaks(table, bench).collect()}
+    assert got == {(10, 1, True), (12, 2, True), (13, 3, True), (14, 4, True), (15, 5, True)}
+
+
 def test_pipeline_stages(spark, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "pii", "packing"]
     now = docs
