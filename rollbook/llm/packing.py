@@ -42,7 +42,8 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     Where every white space stands alone between other characters, the tokenizer splits the text before each of them, so
-    words with the space or line feed before them are encoded once and remembered. Other texts are encoded as they are.
+    words with the space or line feed before them are encoded once and remembered. Other texts, and those that hold an added token
+such as ``<|endoftext|>``, are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -50,7 +51,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.by_word = self._ids(["\n"]) == [np.array([NEWLINE], "<u4").tobytes()]
 
@@ -75,7 +76,7 @@ class Encoder:
         end = np.array([END], "<u4").tobytes()
         for at in range(0, len(texts), 256):
             own = [t or "" for t in texts[at:at + 256]]
-            cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t and self.by_word else [""] for t in own]
+            cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t and self.by_word and not any(a in t for a in self.added) else [""] for t in own]
             fresh = self._encode_words(list(set().union(*cut).difference(self.words)))
             spare = list(fresh)[max(0, REMEMBERED - len(self.words)):]
             self.words.update(fresh)

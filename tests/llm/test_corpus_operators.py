@@ -72,6 +72,15 @@ def test_words_are_encoded_like_whole_texts():
         assert np.frombuffer(raw, "<u4").tolist() == e.tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
 
 
+def test_ids_of_added_tokens_are_those_of_a_fresh_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    fresh = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "one <|endoftext|> two\nthree", "a <|endof text|>", "plain words"]
+    for text, raw in zip(texts, packing.encoder(packing.TOKENIZER).encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == [*fresh.encode(text, add_special_tokens=False).ids, packing.END]
+
+
 @pytest.mark.parametrize("low, high, capacity", [(1, 2048, 2048), (300, 1500, 2048), (5, 9, 10), (1, 1, 7)])
 def test_configurations_hold_each_piece_once(low, high, capacity):
     demand = np.bincount(np.random.default_rng(2).integers(low, high + 1, 3000), minlength=capacity + 1)
