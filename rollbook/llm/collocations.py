@@ -2,8 +2,8 @@
 
 Each task counts sequences of word ids in a trie whose leaves are hash containers. A container that grows too large bursts
 into one container for each next word, for the first few words only, so the trie stays shallow. When a task holds too many
-sequences, the largest subtrees leave it whole, as sorted runs. Spark partitions the runs by the first two words of a
-sequence and adds up the counts of equal sequences.
+sequences, the largest subtrees leave it whole, as sorted runs. Spark partitions the runs by a hash of the first
+two words of a sequence and adds up the counts of equal sequences.
 
 A frequent sequence has frequent words and frequent pairs only. So there are three readings: words, pairs of frequent words,
 and longer sequences of frequent pairs. What is frequent is sent to the tasks as a bit table of fixed size with two bits a
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,17 +73,20 @@ class Words(dict):
 
     def __init__(self, lang: str, table: np.ndarray | None):
         super().__init__({_BREAK: 0})
-        self.lang, self.table, self.names, self.hashes = lang, table, [_BREAK], [0]
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if self.table is not None and not passes(self.table, hashed(self.lang, np.array([[h]], np.uint64)))[0]:
-            self[word] = 0
-            return 0
-        self[word] = out = len(self.names)
-        self.names.append(word)
-        self.hashes.append(h)
-        return out
+        self.lang, self.table, self.names, self.hashes = lang, table, [_BREAK], np.zeros(1, np.uint64)
+
+    def ids(self, tokens: list[bytes]) -> np.ndarray:
+        """The id of each token; new words are learned first."""
+        fresh = list(set(tokens).difference(self))
+        h = np.array([xxhash.xxh64_intdigest(w) for w in fresh], np.uint64)
+        if self.table is not None and fresh:
+            good = passes(self.table, hashed(self.lang, h[:, None]))
+            self.update((w, 0) for w, ok in zip(fresh, good.tolist(), strict=True) if not ok)
+            fresh, h = [w for w, ok in zip(fresh, good.tolist(), strict=True) if ok], h[good]
+        self.update(zip(fresh, range(len(self.names), len(self.names) + len(fresh)), strict=True))
+        self.names += fresh
+        self.hashes = np.concatenate([self.hashes, h])
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
 
 class HatTrie:
@@ -120,31 +124,50 @@ class HatTrie:
     def _subtrees(self) -> list[tuple[bytes, dict | list]]:
         return list(self.root[0].items()) if type(self.root) is list else [(b"", self.root)]
 
-    def spill(self, room: int, names: list[bytes]) -> Iterator[tuple[list[bytes], list[bytes], list[int]]]:
-        """Take out the largest subtrees until ``room`` sequences are left; each is a sorted run of prefixes, phrases and counts."""
+    def spill(self, room: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Take out the largest subtrees until ``room`` sequences are left, as ids and counts of one number of words at a time."""
         sized = sorted(((_entries(box), first, box) for first, box in self._subtrees()), key=lambda x: -x[0])
+        keys, counts = {}, {}
         for many, first, box in sized:
             if self.size <= room:
                 break
-            run = sorted((b" ".join([names[i] for i in np.frombuffer(key, ">u4")]), n) for key, n in _items(first, box))
+            for above, held in _containers(first, box):
+                for width in set(map(len, held)):
+                    own = [key for key in held if len(key) == width]
+                    keys.setdefault(width + len(above), []).extend([above + key for key in own])
+                    counts.setdefault(width + len(above), []).extend([held[key] for key in own])
             if type(self.root) is list:
                 del self.root[0][first]
             else:
                 self.root = {}
             self.size -= many
-            yield [b" ".join(p.split(b" ", 2)[:2]) for p, _ in run], [p for p, _ in run], [n for _, n in run]
+        for width, own in keys.items():
+            yield np.frombuffer(b"".join(own), ">u4").reshape(-1, width // 4).astype(np.int64), np.array(counts[width], np.int64)
 
 
 def _entries(box: dict | list) -> int:
     return len(box) if type(box) is dict else sum(map(_entries, box[0].values()))
 
 
-def _items(first: bytes, box: dict | list) -> Iterator[tuple[bytes, int]]:
+def _containers(first: bytes, box: dict | list) -> Iterator[tuple[bytes, dict]]:
+    """The containers below ``first``, each with the words that lead to it."""
     if type(box) is dict:
-        yield from ((first + key, n) for key, n in box.items())
+        yield first, box
     else:
         for at, below in box[0].items():
-            yield from _items(first + at, below)
+            yield from _containers(first + at, below)
+
+
+def sorted_run(known: Words, found: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """(lang, prefix, phrase, n) in the order of phrases; the prefix is a hash of the first two words."""
+    names = pa.array(known.names, pa.binary())
+    columns = [names.take(pa.array(found[:, j])) for j in range(found.shape[1])]
+    phrase = pc.binary_join_element_wise(*columns, b" ") if len(columns) > 1 else columns[0]
+    order = pc.sort_indices(phrase)
+    prefix = hashed(known.lang, known.hashes[found[:, :2]]).astype(np.int64)
+    lang = pa.array([known.lang], pa.string()).take(pa.array(np.zeros(len(found), np.int64)))
+    return pa.RecordBatch.from_arrays([lang, pa.array(prefix).take(order), phrase.take(order).cast(pa.string()), pa.array(counts).take(order)],
+                                      names=["lang", "prefix", "phrase", "n"])
 
 
 def grams(ids: np.ndarray, good_pair: np.ndarray | None, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -174,35 +197,31 @@ def runs(docs: DataFrame, low: int, high: int, words: np.ndarray | None, pairs:
         table, pair_table = sent.value
         known: dict[str, tuple[Words, HatTrie]] = {}
 
-        def rows(lang: str, parts: Iterator) -> Iterator[pa.RecordBatch]:
-            for prefix, phrase, n in parts:
-                text = [pa.array(x, pa.binary()).cast(pa.string()) for x in (prefix, phrase)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *text, pa.array(n, pa.int64())], names=["lang", "prefix", "phrase", "n"])
-
         def read(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
             if lang not in known:
                 known[lang] = Words(lang, table), HatTrie()
             vocabulary, trie = known[lang]
-            tokens = words_of(texts)
-            ids = np.fromiter(map(vocabulary.__getitem__, tokens), np.int64, len(tokens))
+            ids = vocabulary.ids(words_of(texts))
             if low == 1:
-                yield from rows(lang, [([b""], [b""], [int((ids > 0).sum())])])
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0]), pa.array([""]), pa.array([int((ids > 0).sum())])],
+                                                 names=["lang", "prefix", "phrase", "n"])
             good = None
             if pair_table is not None and len(ids) > 1:
                 good = np.zeros(len(ids), bool)
                 at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-                h = np.array(vocabulary.hashes, np.uint64)
-                good[at] = passes(pair_table, hashed(lang, np.stack([h[ids[at]], h[ids[at + 1]]], 1)))
+                good[at] = passes(pair_table, hashed(lang, np.stack([vocabulary.hashes[ids[at]], vocabulary.hashes[ids[at + 1]]], 1)))
             for found, n in grams(ids, good, low, high):
                 trie.add(found, n)
             if sum(t.size for _, t in known.values()) > HELD:
-                yield from rows(lang, trie.spill(trie.size // 2, vocabulary.names))
+                for found, n in trie.spill(trie.size // 2):
+                    yield sorted_run(vocabulary, found, n)
             if sum(map(len, (w for w, _ in known.values()))) > REMEMBERED:
                 yield from flush()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, (vocabulary, trie) in known.items():
-                yield from rows(lang, trie.spill(-1, vocabulary.names))
+            for vocabulary, trie in known.values():
+                for found, n in trie.spill(-1):
+                    yield sorted_run(vocabulary, found, n)
             known.clear()
 
         for batch in batches:
@@ -218,7 +237,7 @@ def runs(docs: DataFrame, low: int, high: int, words: np.ndarray | None, pairs:
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     lang = F.coalesce(F.col("lang"), F.lit("und"))
-    return docs.select(lang.alias("lang"), text.alias("text")).mapInArrow(run, "lang string, prefix string, phrase string, n long")
+    return docs.select(lang.alias("lang"), text.alias("text")).mapInArrow(run, "lang string, prefix long, phrase string, n long")
 
 
 def counted(docs: DataFrame, low: int, high: int, least: int, words: np.ndarray | None = None, pairs: np.ndarray | None = None) -> DataFrame:

@@ -170,24 +170,27 @@ def test_no_documents_no_collocations(spark):
 
 def test_trie_bursts_and_spills_sorted_runs():
     draw, true = random.Random(2), Counter()
-    trie, names = collocations.HatTrie(burst=3, depth=2), [b"\xff", *(bytes([97 + i]) for i in range(9))]
-    spilled = []
+    trie, known, spilled = collocations.HatTrie(burst=3, depth=2), collocations.Words("en", None), Counter()
+    known.ids([bytes([97 + i]) for i in range(9)])
+
+    def spill(room):
+        for found, n in trie.spill(room):
+            run = collocations.sorted_run(known, found, n).to_pydict()
+            assert run["phrase"] == sorted(run["phrase"])
+            spilled.update(dict(zip(run["phrase"], run["n"], strict=True)))
+
     for size in (1, 2, 3, 4, 5) * 40:
         found = np.array([[draw.randint(1, 9) for _ in range(size)] for _ in range(6)])
         counts = np.array([draw.randint(1, 4) for _ in range(6)])
         for g, n in zip(found.tolist(), counts.tolist(), strict=True):
-            true[b" ".join(names[i] for i in g)] += n
+            true[" ".join(known.names[i].decode() for i in g)] += n
         trie.add(found, counts)
         if trie.size > 60:
-            spilled += trie.spill(30, names)
+            spill(30)
             assert trie.size <= 30
     assert type(trie.root) is list and any(type(x) is list for x in trie.root[0].values())
-    spilled += trie.spill(-1, names)
-    merged = Counter()
-    for prefix, phrase, n in spilled:
-        assert phrase == sorted(phrase) and all(p == b" ".join(q.split(b" ")[:2]) for p, q in zip(prefix, phrase, strict=True))
-        merged.update(dict(zip(phrase, n, strict=True)))
-    assert merged == true and trie.size == 0
+    spill(-1)
+    assert spilled == true and trie.size == 0
 
 
 def test_scores_pass_64_bits(spark):
