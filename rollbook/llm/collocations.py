@@ -5,20 +5,24 @@ into one container for each next word, for the first few words only, so the trie
 sequences, the largest subtrees leave it whole, as sorted runs. Spark partitions the runs by a hash of the first
 two words of a sequence and adds up the counts of equal sequences.
 
-A frequent sequence has frequent words and frequent pairs only. So there are three readings: words, pairs of frequent words,
-and longer sequences of frequent pairs. What is frequent is sent to the tasks as a bit table of fixed size with two bits a
-sequence. It never misses a frequent one, and lets a few others through, which are counted and then dropped by their exact counts.
+A frequent sequence has frequent words and frequent pairs only. So words are counted first, then pairs of frequent words, and
+then longer sequences of frequent pairs. What is frequent is sent to the tasks as a bit table of fixed size. It never misses
+a frequent one, and lets a few others through, which are counted and then dropped by their exact counts. Most pairs are
+rare, so before the pairs themselves are counted, a reading counts hashes of pairs in a table of fixed size, and only pairs whose
+hash is frequent go on. On texts too large for that table more pairs go on; results stay the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,9 +34,11 @@ BURST, DEPTH = 4_096, 2
 #: Sequences a task holds before it spills subtrees, and words it remembers before it starts anew.
 HELD, REMEMBERED = 400_000, 400_000
 #: Size of a bit table, and of the pieces in which it is put together.
-FILTER_BITS, FILTER_PIECE = 1 << 27, 1 << 17
+FILTER_BITS, FILTER_PIECE = 1 << 27, 1 << 16
+#: Hashes of pairs that a task gathers before it hands on their counts.
+GATHERED = 4_000_000
 #: Bytes of text read at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Parts of a language that are ranked by themselves first.
 BLOCKS = 64
 
@@ -56,22 +62,29 @@ def hashed(lang: str, words: np.ndarray) -> np.ndarray:
     return h
 
 
-def probes(h: np.ndarray) -> np.ndarray:
-    """Two bit places of each hash."""
-    return np.concatenate([h & np.uint64(FILTER_BITS - 1), (h >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)]).astype(np.int64)
+class Bits(NamedTuple):
+    """``FILTER_BITS`` bits, of which a hash has one place or two."""
 
+    data: np.ndarray
+    places: int
 
-def passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which hashes have both their bits in the table."""
-    at = probes(h)
-    hit = (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-    return hit[:len(h)] & hit[len(h):]
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        """Which hashes have all their bits set."""
+        out = np.ones(len(h), bool)
+        for at in probes(h, self.places):
+            out &= (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def probes(h: np.ndarray, places: int) -> list[np.ndarray]:
+    """The bit places of each hash."""
+    return [((h >> np.uint64(32 * i)) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for i in range(places)]
 
 
 class Words(dict):
     """Ids of words, given in order of appearance; 0 for a break and for what ``table`` doesn't hold."""
 
-    def __init__(self, lang: str, table: np.ndarray | None):
+    def __init__(self, lang: str, table: Bits | None):
         super().__init__({_BREAK: 0})
         self.lang, self.table, self.names, self.hashes = lang, table, [_BREAK], np.zeros(1, np.uint64)
 
@@ -80,7 +93,7 @@ class Words(dict):
         fresh = list(set(tokens).difference(self))
         h = np.array([xxhash.xxh64_intdigest(w) for w in fresh], np.uint64)
         if self.table is not None and fresh:
-            good = passes(self.table, hashed(self.lang, h[:, None]))
+            good = self.table.holds(hashed(self.lang, h[:, None]))
             self.update((w, 0) for w, ok in zip(fresh, good.tolist(), strict=True) if not ok)
             fresh, h = [w for w, ok in zip(fresh, good.tolist(), strict=True) if ok], h[good]
         self.update(zip(fresh, range(len(self.names), len(self.names) + len(fresh)), strict=True))
@@ -171,14 +184,14 @@ def sorted_run(known: Words, found: np.ndarray, counts: np.ndarray) -> pa.Record
 
 
 def grams(ids: np.ndarray, good_pair: np.ndarray | None, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The distinct sequences of ``low`` to ``high`` ids without a 0 and, from three words on, of good pairs only; with counts."""
+    """The distinct sequences of ``low`` to ``high`` ids without a 0 and of good pairs only, with counts; a pair's place is its first."""
     start, code = np.flatnonzero(ids), ids[np.flatnonzero(ids)].astype(np.int64)
     for k in range(1, high + 1):
         if k > 1:
             last = start + k - 1
             fits = np.flatnonzero(last < len(ids))
             fits = fits[ids[last[fits]] > 0]
-            if k > 2 or (low > 2 and good_pair is not None):
+            if good_pair is not None:
                 fits = fits[good_pair[last[fits] - 1]]
             start, code = start[fits], (code[fits] << 32) | ids[last[fits]]
         if not len(start):
@@ -188,16 +201,45 @@ def grams(ids: np.ndarray, good_pair: np.ndarray | None, low: int, high: int) ->
             yield ids[start[at][:, None] + np.arange(k)], n
 
 
-def runs(docs: DataFrame, low: int, high: int, words: np.ndarray | None, pairs: np.ndarray | None) -> DataFrame:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """The texts of a task, about ``BATCH_BYTES`` of one language at a time; rows are (lang, text)."""
+    for batch in batches:
+        by_lang: dict[str, list[bytes]] = {}
+        sizes: dict[str, int] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            by_lang.setdefault(lang, []).append(text.as_buffer().to_pybytes())
+            sizes[lang] = sizes.get(lang, 0) + len(by_lang[lang][-1])
+            if sizes[lang] > BATCH_BYTES:
+                del sizes[lang]
+                yield lang, by_lang.pop(lang)
+        yield from by_lang.items()
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+
+
+def _pairs(known: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where two known words follow each other, and the hash of each such pair."""
+    at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+    return at, hashed(known.lang, np.stack([known.hashes[ids[at]], known.hashes[ids[at + 1]]], 1))
+
+
+def runs(docs: DataFrame, low: int, high: int, words: Bits | None, pairs: Bits | None) -> DataFrame:
     """(lang, prefix, phrase, n): sorted runs of counts from every task; with ``low`` 1, also an empty phrase with all words of a language."""
-    context = docs.sparkSession.sparkContext
-    sent = context.broadcast((words, pairs))
+    sent = docs.sparkSession.sparkContext.broadcast((words, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, pair_table = sent.value
         known: dict[str, tuple[Words, HatTrie]] = {}
 
-        def read(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
+            for vocabulary, trie in known.values():
+                for found, n in trie.spill(-1):
+                    yield sorted_run(vocabulary, found, n)
+            known.clear()
+
+        for lang, texts in _texts(batches):
             if lang not in known:
                 known[lang] = Words(lang, table), HatTrie()
             vocabulary, trie = known[lang]
@@ -206,47 +248,86 @@ def runs(docs: DataFrame, low: int, high: int, words: np.ndarray | None, pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0]), pa.array([""]), pa.array([int((ids > 0).sum())])],
                                                  names=["lang", "prefix", "phrase", "n"])
             good = None
-            if pair_table is not None and len(ids) > 1:
+            if pair_table is not None:
                 good = np.zeros(len(ids), bool)
-                at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-                good[at] = passes(pair_table, hashed(lang, np.stack([vocabulary.hashes[ids[at]], vocabulary.hashes[ids[at + 1]]], 1)))
+                at, h = _pairs(vocabulary, ids)
+                good[at] = pair_table.holds(h)
             for found, n in grams(ids, good, low, high):
                 trie.add(found, n)
             if sum(t.size for _, t in known.values()) > HELD:
                 for found, n in trie.spill(trie.size // 2):
                     yield sorted_run(vocabulary, found, n)
-            if sum(map(len, (w for w, _ in known.values()))) > REMEMBERED:
+            if sum(len(w) for w, _ in known.values()) > REMEMBERED:
                 yield from flush()
+        yield from flush()
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for vocabulary, trie in known.values():
-                for found, n in trie.spill(-1):
-                    yield sorted_run(vocabulary, found, n)
-            known.clear()
+    return _read(docs).mapInArrow(run, "lang string, prefix long, phrase string, n long")
+
+
+def hot_pairs(docs: DataFrame, words: Bits, least: int) -> Bits:
+    """The hashes of pairs of known words that occur ``least`` times or more, pairs of one hash taken together."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+    kind = np.uint8 if least < 1 << 8 else np.uint64
+
+    def handed_on(gathered: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        place, n = np.unique(np.concatenate(gathered), return_counts=True)
+        piece, first = np.unique(place // FILTER_PIECE, return_index=True)
+        n, place = np.minimum(n, least).astype(kind), (place % FILTER_PIECE).astype("<u2")
+        squeeze, ends = zstandard.ZstdCompressor(level=3), [*first[1:].tolist(), len(place)]
+        blobs = [squeeze.compress(np.diff(place[a:b], prepend=np.uint16(0)).tobytes() + n[a:b].tobytes()) for a, b in zip(first.tolist(), ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(blobs, pa.binary())], names=["piece", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, gathered = {}, []
+        for lang, texts in _texts(batches):
+            if sum(map(len, known.values())) > REMEMBERED:
+                known.clear()
+            if lang not in known:
+                known[lang] = Words(lang, sent.value)
+            gathered.append(probes(_pairs(known[lang], known[lang].ids(words_of(texts)))[1], 1)[0])
+            if sum(map(len, gathered)) > GATHERED:
+                yield from handed_on(gathered)
+                gathered = []
+        if gathered:
+            yield from handed_on(gathered)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One piece after the other, as the rows are sorted by piece."""
+        now, total = None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if now is not None:
+                bits = np.packbits(total >= least, bitorder="little").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([bits], pa.binary())], names=["piece", "bits"])
 
         for batch in batches:
-            by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held = by_lang.setdefault(lang, [])
-                held.append(text.as_buffer().to_pybytes())
-                if sum(map(len, held)) > BATCH_BYTES:
-                    yield from read(lang, by_lang.pop(lang))
-            for lang, texts in by_lang.items():
-                yield from read(lang, texts)
-        yield from flush()
+            for piece, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if piece != now:
+                    yield from done()
+                    now, total = piece, np.zeros(FILTER_PIECE, np.int64)
+                raw = zstandard.decompress(blob)
+                many = len(raw) // (2 + np.dtype(kind).itemsize)
+                total[np.cumsum(np.frombuffer(raw[:2 * many], "<u2"), dtype=np.int64)] += np.frombuffer(raw[2 * many:], kind)
+        yield from done()
 
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    lang = F.coalesce(F.col("lang"), F.lit("und"))
-    return docs.select(lang.alias("lang"), text.alias("text")).mapInArrow(run, "lang string, prefix long, phrase string, n long")
+    counts = _read(docs).mapInArrow(count, "piece long, counts binary").repartition("piece").sortWithinPartitions("piece")
+    return Bits(_put_together(counts.mapInArrow(add_up, "piece long, bits binary")), 1)
 
 
-def counted(docs: DataFrame, low: int, high: int, least: int, words: np.ndarray | None = None, pairs: np.ndarray | None = None) -> DataFrame:
+def _put_together(pieces: DataFrame) -> np.ndarray:
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    for piece, bits in pieces.collect():  # at most FILTER_BITS bits in all
+        table[piece * FILTER_PIECE // 8:(piece + 1) * FILTER_PIECE // 8] = np.frombuffer(bits, np.uint8)
+    return table
+
+
+def counted(docs: DataFrame, low: int, high: int, least: int, words: Bits | None = None, pairs: Bits | None = None) -> DataFrame:
     """(lang, phrase, f): sequences of ``low`` to ``high`` words with at least ``least`` occurrences; the runs added up by prefix."""
     merged = runs(docs, low, high, words, pairs).repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("f"))
     return checkpoint(merged.where((F.col("f") >= least) | (F.col("phrase") == "")).select("lang", "phrase", "f"))
 
 
-def bit_table(frequent: DataFrame) -> np.ndarray:
+def bit_table(frequent: DataFrame) -> Bits:
     """The bit table of (lang, phrase) rows: ``FILTER_BITS`` bits whatever the number of rows, put together from pieces."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +335,7 @@ def bit_table(frequent: DataFrame) -> np.ndarray:
             rows = pd.DataFrame({"lang": batch.column(0).to_pylist(), "words": [p.encode().split(b" ") for p in batch.column(1).to_pylist()]})
             for (lang, _), own in rows.groupby(["lang", rows["words"].map(len)]):
                 h = hashed(lang, np.array([[xxhash.xxh64_intdigest(w) for w in words] for words in own["words"]], np.uint64))
-                at = np.unique(probes(h))
+                at = np.unique(np.concatenate(probes(h, 2)))
                 yield pa.RecordBatch.from_arrays([pa.array(at // FILTER_PIECE), pa.array(at % FILTER_PIECE)], names=["piece", "bit"])
 
     def packed(own: pd.DataFrame) -> pd.DataFrame:
@@ -263,10 +344,7 @@ def bit_table(frequent: DataFrame) -> np.ndarray:
         return pd.DataFrame({"piece": [int(own["piece"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     marked = frequent.where("phrase <> ''").select("lang", "phrase").mapInArrow(places, "piece long, bit long").distinct()
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    for piece, bits in marked.groupBy("piece").applyInPandas(packed, "piece long, bits binary").toLocalIterator():  # at most FILTER_BITS / FILTER_PIECE
-        table[piece * FILTER_PIECE // 8:(piece + 1) * FILTER_PIECE // 8] = np.frombuffer(bits, np.uint8)
-    return table
+    return Bits(_put_together(marked.groupBy("piece").applyInPandas(packed, "piece long, bits binary")), 2)
 
 
 def frequent_phrases(docs: DataFrame, most_words: int, least: int) -> tuple[DataFrame, DataFrame]:
@@ -275,7 +353,7 @@ def frequent_phrases(docs: DataFrame, most_words: int, least: int) -> tuple[Data
     found, totals = first.where("phrase <> ''"), first.where("phrase = ''").select("lang", F.col("f").alias("n"))
     if most_words > 1:
         words = bit_table(found)
-        pairs = counted(docs, 2, 2, least, words)
+        pairs = counted(docs, 2, 2, least, words, hot_pairs(docs, words, least))
         found = found.unionByName(pairs)
         if most_words > 2:
             found = found.unionByName(counted(docs, 3, most_words, least, words, bit_table(pairs)))
