@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,9 @@ def build_release(spark: SparkSession, paths_in_order: list[str], vocab: DataFra
     Refuses files that disagree on their date, declared counts that differ from the
     records read, records that contradict each other, and roles without a curated name.
     """
+    unread = reduce(DataFrame.unionByName, [xml.xml_problems(spark, p) for p in paths_in_order])
+    if not unread.isEmpty():
+        raise BuildRefused(f"unreadable source: {_first(unread, ['file_name', 'problem', 'record'])}")
     headers = xml.scan_release_headers(spark, paths_in_order)
     dated = B.agree_publication_date(xml.manifests_of(headers)).head()
     if dated.verdict != "agreed":

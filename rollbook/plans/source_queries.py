@@ -12,7 +12,7 @@ from rollbook.operators import build as B
 from rollbook.operators import graph as G
 from rollbook.plans import written
 from rollbook.plans.registry import plan
-from rollbook.runtime import scratch_path
+from rollbook.runtime import checkpoint, scratch_path
 from rollbook.sources import files as files_
 from rollbook.sources import reference, sinks, tables, xml
 
@@ -56,14 +56,16 @@ def _(t):
 _STUBLESS = "CASE WHEN ref_only THEN '' ELSE {} END"
 
 
-@plan("s6_scan_xml_entities", f"""
+_XML_SQL = f"""
     SELECT code, file_index, ref_only, name, status, record_class, CASE WHEN ref_only THEN NULL ELSE town END AS town,
            {_STUBLESS.format("role1 || ':' || role1_status || CASE WHEN role2 IS NULL THEN '' ELSE ',' || role2 || ':' || role2_status END")} AS roles,
            {_STUBLESS.format("'RE4>' || rel1_target || CASE WHEN rel2_target IS NULL THEN '' ELSE ',RE5>' || rel2_target END")} AS rels,
            {_STUBLESS.format("CASE WHEN succ_type IS NULL THEN '' ELSE succ_type || '>' || succ_target END")} AS succs,
-           {_STUBLESS.format("coalesce(lower(http), '')")} AS http, {_STUBLESS.format("op_start")} AS op_start FROM <xml_src>""")
-def _(t):
-    e = xml.scan_xml_release(t.spark, written.xml_release(t))
+           {_STUBLESS.format("coalesce(lower(http), '')")} AS http, {_STUBLESS.format("op_start")} AS op_start FROM <xml_src>"""
+
+
+def _shown_entities(t, paths):
+    e = xml.scan_xml_release(t.spark, paths)
     show = lambda c, f: F.array_join(F.transform(c, f), ",")
     http = F.try_element_at(F.filter("contacts", lambda c: c["type"] == "http"), F.lit(1))["value"]
     return e.select("code", "file_index", "ref_only", "name", "status", "record_class", "town",
@@ -73,6 +75,17 @@ def _(t):
                     F.coalesce(http, F.lit("")).alias("http"), F.coalesce(B.operational_start(), F.lit("")).alias("op_start"))
 
 
+@plan("s6_scan_xml_entities", _XML_SQL)
+def _(t):
+    return _shown_entities(t, written.xml_release(t))
+
+
+@plan("s6b_scan_xml_sections", _XML_SQL)
+def _(t):
+    """The same records between commented-out ones, CDATA sections that hold closing tags, and closing tags with white space."""
+    return _shown_entities(t, written.xml_sections(t))
+
+
 @plan("s7_scan_xml_manifest", """
     SELECT file_index, count(*) AS record_count, '2001-08-01' AS publication_date, 'RO7009,RO6510' AS primary_role_scope FROM <xml_src> GROUP BY 1""")
 def _(t):
@@ -484,6 +497,7 @@ def _(t):
     FROM <xml_kept> LEFT JOIN su USING (code) LEFT JOIN pr USING (code)""")
 def _(t):
     e, _p = _entities(t)
+    e = checkpoint(e)  # the closure and the projection both read it
     pairs = G.successor_pairs(B.succession_edges(e, written.PUBLISHED))
     orgs = B.project_orgs(e, t.vocab, G.closure_list(pairs, "successor_code", "successor_codes"),
                           G.closure_list(G.predecessor_pairs(pairs), "predecessor_code", "predecessor_codes"), written.PUBLISHED)

@@ -102,6 +102,23 @@ def xml_release(t: Tables) -> list[str]:
     return paths
 
 
+@_once
+def xml_sections(t: Tables) -> list[str]:
+    """The same source files, with sections that cross the cuts between records."""
+    root = scratch_path(t.spark, "sections")
+    paths = []
+    for i, kind in enumerate(("full", "archive")):
+        entity, k = _entity_xml(bool(i)), F.col("k")
+        odd = F.replace(entity, F.lit("</Name>"), F.lit("</Name><Note><![CDATA[</Organisation> <!-- <Organisation> ]]></Note>"))
+        text = F.when(k % 40 == 9, odd).otherwise(entity)
+        text = F.when(k % 31 == 3, F.regexp_replace(text, "</Organisation>$", "</Organisation\t>")).otherwise(text)
+        text = _cat(_if(k % 50 == 7, "<!-- ", entity, entity, " -->"), _if(k % 60 == 11, "<?old ", entity, " ?>"), text)
+        path = f"{root}/{kind}"
+        _header(t, t.xml_src.where(F.col("file_index") == i)).union(t.xml_src.where(F.col("file_index") == i).select(text.alias("value"))).write.text(path)
+        paths.append(path)
+    return paths
+
+
 def series(t: Tables) -> str:
     """The snapshot series written with one folder per publication date."""
     from rollbook.sources.sinks import snapshot_append

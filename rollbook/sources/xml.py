@@ -1,8 +1,8 @@
 """Source XML read as splittable text.
 
-The closing tag of an entity is the record separator, so a large file is cut
-across tasks; each record is then parsed by Spark's own ``from_xml``. The
-manifest and the code lists sit in the chunk before the first entity.
+A large file is cut across tasks before every closing entity tag (``xmlcut``); each record is then parsed by Spark's own
+``from_xml``. The manifest and the code lists sit in the chunk before the first entity. A record that can't be read is
+refused by name; ``xml_problems`` lists all that is wrong with a set of files.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.runtime import checkpoint
+from rollbook.sources.xmlcut import true_chunks
 
 _DATE = "array<struct<_type: string, Type: struct<_text: string, _value: string>, " \
         "Start: struct<_value: string>, End: struct<_value: string>>>"
@@ -51,11 +52,49 @@ def tag_prefix(spark: SparkSession, paths, tag: str = "Organisation") -> str:
 
 
 def xml_chunks(spark: SparkSession, paths, tag: str = "Organisation", prefix: str | None = None) -> DataFrame:
-    """Text between closing entity tags, with the file each chunk came from."""
+    """Text between closing entity tags, with the file each chunk came from; comments are taken out."""
     prefix = tag_prefix(spark, paths, tag) if prefix is None else prefix
-    return (spark.read.option("lineSep", f"</{prefix}{tag}>").text(paths)
-            .select("value", F.col("_metadata.file_name").alias("file_name"),
-                    F.lit(f"</{prefix}{tag}>").alias("closing")))
+    closing = f"</{prefix}{tag}"
+    return true_chunks(spark, paths, closing).select("value", "file_name", F.lit(closing + ">").alias("closing"))
+
+
+def _starts(text: Column) -> Column:
+    """How many entities begin in ``text``."""
+    return F.regexp_count(F.regexp_replace(text, r"(?s)<!\[CDATA\[.*?\]\]>", " "), F.lit(r"<(?:[\w.-]+:)?Organisation[\s>/]"))
+
+
+def _records(spark: SparkSession, paths, prefix: str) -> DataFrame:
+    """(file_name, xml, e, _parsed, broken): the text of each record, parsed and numbered; ``broken`` says why it can't be read, else null."""
+    # stripping namespaces costs about a sixth of the parse, so only prefixed files pay for it
+    options = {**(_OPTIONS if prefix else _PLAIN_OPTIONS), "columnNameOfCorruptRecord": "_unread"}
+    chunks = xml_chunks(spark, paths, "Organisation", prefix)
+    cut = F.regexp_extract("value", "(?s)(<(?:[\\w.-]+:)?Organisation[\\s>/].*)$", 1)
+    # Spark repeats an expression below a filter that uses it, but not beside a number that it may not repeat
+    number = F.monotonically_increasing_id()
+    rows = (chunks.select("file_name", F.length("closing").alias("least"), F.concat(cut, F.col("closing")).alias("xml"), number.alias("_cut"))
+            .where((F.length("xml") > F.col("least")) & (F.col("_cut") >= 0))
+            .select("file_name", "xml", F.from_xml("xml", ENTITY_DDL + ", _unread string", options).alias("e"), number.alias("_parsed")))
+    again = F.locate(f"<{prefix}Organisation", F.col("xml"), 2) > 0  # a cheap look before the exact one
+    broken = F.when(again & (_starts(F.col("xml")) > 1), "an entity begins inside another").when(
+        F.col("e._unread").isNotNull(), "not well-formed").when(F.col("e.OrgId._extension").isNull(), "no code")
+    return rows.withColumn("broken", broken)
+
+
+def _shown(xml: Column) -> Column:
+    """Enough of a record to find it: its code where one can be seen, and its beginning."""
+    return F.concat(F.regexp_extract(xml, "<(?:[\\w.-]+:)?OrgId[^>]*?extension\\s*=\\s*[\"']([^\"']*)", 1), F.lit(" "), F.substring(xml, 1, 120))
+
+
+def xml_problems(spark: SparkSession, paths, prefix: str | None = None) -> DataFrame:
+    """``file_name, problem, record``: every record that can't be read, and files whose entities don't all end."""
+    prefix = tag_prefix(spark, paths) if prefix is None else prefix
+    bad = _records(spark, paths, prefix).where("broken IS NOT NULL").select("file_name", F.col("broken").alias("problem"), _shown(F.col("xml")).alias("record"))
+    text = F.col("value")
+    counts = xml_chunks(spark, paths, "Organisation", prefix).groupBy("file_name").agg(
+        F.sum(_starts(text)).alias("begun"), F.count_if(text.rlike(r"^\s*>")).alias("ended"))
+    odd = counts.where("begun <> ended").select("file_name", F.concat("begun", F.lit(" entities begin, "), "ended", F.lit(" end")).alias("problem"),
+                                                F.lit(None).cast("string").alias("record"))
+    return bad.unionByName(odd)
 
 
 def _dates(c) -> Column:
@@ -72,14 +111,11 @@ def _either(*arrays) -> Column:
 
 
 def scan_xml_entities(spark: SparkSession, paths, prefix: str | None = None) -> DataFrame:
-    """One nested row per entity element, with its file; values verbatim, nothing merged."""
+    """One nested row per entity element, with its file; values verbatim, nothing merged. A record that can't be read is refused by name."""
     prefix = tag_prefix(spark, paths) if prefix is None else prefix
-    chunks = xml_chunks(spark, paths, "Organisation", prefix)
-    # stripping namespaces costs about a sixth of the parse, so only prefixed files pay for it
-    options = _OPTIONS if prefix else _PLAIN_OPTIONS
-    cut = F.regexp_extract("value", "(?s)(<(?:[\\w.-]+:)?Organisation[\\s>].*)$", 1)
-    rows = (chunks.withColumn("xml", cut).where(F.col("xml") != "")
-            .select("file_name", F.from_xml(F.concat("xml", "closing"), ENTITY_DDL, options).alias("e")))
+    refused = F.raise_error(F.concat(F.lit("record refused, "), "broken", F.lit(", in "), "file_name", F.lit(": "), _shown(F.col("xml"))))
+    fine = F.when(F.col("broken").isNotNull(), refused.cast("boolean")).otherwise(F.col("_parsed") >= 0)
+    rows = _records(spark, paths, prefix).where(fine).select("file_name", "e")
     loc = "e.GeoLoc.Location."
     text = lambda path: F.nullif(F.col(loc + path), F.lit(""))
     status_of = lambda x: F.coalesce(x["Status"]["_value"], x["_status"])

@@ -110,3 +110,25 @@ def test_place_suggestions(spark):
         rows.setdefault(r.place, []).append(r.candidate)
     assert rows["N1 1"] == ["N1", "N11"] and rows["N1 9"] == ["N1"] and "zzzzzz" not in rows
     assert rows["newcastel"][0] == "NEWCASTLE" and "NEWCASTL" not in rows["newcastel"]
+
+
+def test_distance_in_the_jvm_equals_the_definition(spark):
+    draw, rows = random.Random(6), []
+    for alphabet, longest, many in (("ab", 8, 400), ("abcdé日 '", 24, 400), ("abc", 62, 60), ("ab", 70, 30), ("abcdefgh", 140, 12)):
+        for _ in range(many):
+            a = [draw.choice(alphabet) for _ in range(draw.randint(0, longest))]
+            b = list(a) if draw.random() < 0.6 else [draw.choice(alphabet) for _ in range(draw.randint(0, longest))]
+            for _ in range(draw.randint(0, 5)):
+                at = draw.randint(0, len(b))
+                if draw.random() < 0.5 and at + 1 < len(b):
+                    b[at], b[at + 1] = b[at + 1], b[at]
+                elif draw.random() < 0.5:
+                    b.insert(at, draw.choice(alphabet))
+                elif at < len(b):
+                    del b[at]
+            rows.append(("".join(a), "".join(b)))
+    rows += [("", ""), ("", "abc"), ("x" * 62, "y" * 62), ("x" * 63, "y" * 63), ("ca", "abc"), ("👍a", "a👍"), (None, "a"), ("a", None)]
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("d", osa_distance("a", "b"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    wrong = [(r.a, r.b, r.d) for r in df.collect() if r.d != (None if r.a is None or r.b is None else osa(r.a, r.b))]
+    assert not wrong, wrong[:3]

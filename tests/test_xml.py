@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from rollbook.operators import audit as A
 from rollbook.operators import build as B
 from rollbook.operators import graph as G
+from rollbook.operators.make import BuildRefused, build_release
 from rollbook.sources import xml
 
 HEAD = """<?xml version="1.0" encoding="utf-8"?>
@@ -194,3 +196,66 @@ def test_make_release_writes_four_tables_or_refuses(spark, tmp_path, temporal):
     with refused("RO5"):
         make_release(spark, [write(tmp_path, "role.xml", [org("X", "<Roles>" + role("RO5", "1") + "</Roles>")])], vocab(spark), str(tmp_path / "no"))
     assert not (tmp_path / "no").exists()
+
+
+def codes(spark, path):
+    return sorted(r.code for r in xml.scan_xml_entities(spark, str(path)).select("code").collect())
+
+
+def test_closing_tags_with_space_and_comments_between_records(spark, tmp_path):
+    spaced = [org("A1").replace("</Organisation>", "</Organisation >"), org("A2").replace("</Organisation>", "</Organisation\n\t>"), org("A3")]
+    assert codes(spark, write(tmp_path, "spaced.xml", spaced)) == ["A1", "A2", "A3"]
+    hidden = ["<!-- " + org("X1") + " -->" + org("B1"), "<!--" + org("X2") + "\n" + org("X3") + org("X4") + "-->", org("B2"),
+              "<!-- a -- > b --><?pi " + org("X5") + " ?>" + org("B3"), org("B4").replace("B4 LTD", "<!-- x -->B4 L<!-- </Organisation> -->TD")]
+    path = write(tmp_path, "hidden.xml", hidden, count=4)
+    assert codes(spark, path) == ["B1", "B2", "B3", "B4"]
+    assert {r.code: r.name for r in xml.scan_xml_entities(spark, path).collect()}["B4"] == "B4 LTD"
+    assert xml.xml_problems(spark, path).collect() == []
+
+
+def test_cdata_that_holds_tags_and_comment_marks(spark, tmp_path):
+    odd = org("C1", name="<![CDATA[A </Organisation> <!-- B ]]>LTD")
+    path = write(tmp_path, "cdata.xml", [odd, org("C2"), "<!-- " + org("X1", name="<![CDATA[--]]>") + " -->", org("C3")], count=3)
+    assert {r.code: r.name for r in xml.scan_xml_entities(spark, path).collect()} == {"C1": "A </Organisation> <!-- B LTD", "C2": "C2 LTD", "C3": "C3 LTD"}
+
+
+def test_unreadable_records_are_refused_by_name(spark, tmp_path):
+    path = write(tmp_path, "bare.xml", [org("D1"), org("D2", name="A & B"), org("D3")])
+    with pytest.raises(Exception, match="not well-formed.*bare.xml.*D2"):
+        xml.scan_xml_entities(spark, path).select("name").collect()
+    assert [(r.file_name, r.problem, r.record[:2]) for r in xml.xml_problems(spark, path).collect()] == [("bare.xml", "not well-formed", "D2")]
+    lost = write(tmp_path, "lost.xml", [org("E1").replace("</Organisation>", ""), org("E2")])
+    with pytest.raises(Exception, match="begins inside another"):
+        xml.scan_xml_entities(spark, lost).collect()
+    last = write(tmp_path, "last.xml", [org("F1"), org("F2").replace("</Organisation>", "")])
+    assert [r.problem for r in xml.xml_problems(spark, last).collect()] == ["2 entities begin, 1 end"]
+    coded = write(tmp_path, "coded.xml", ['<Organisation orgRecordClass="RC1"><Name>N</Name></Organisation>'])
+    assert [r.problem for r in xml.xml_problems(spark, coded).collect()] == ["no code"]
+    with pytest.raises(BuildRefused, match="unreadable source.*D2"):
+        build_release(spark, [path], vocab(spark))
+
+
+def test_sections_across_many_splits(spark, tmp_path):
+    """Small splits: comments and CDATA sections cross several of them, and every record is cut as a parser would."""
+    draw, parts, true = random.Random(8), [], []
+    for i in range(400):
+        kind, one = draw.random(), org(f"S{i:03}", name=f"N{i} " + "x" * draw.randint(1, 300))
+        if kind < 0.1:
+            parts.append("<!-- " + "".join(org(f"X{i}{j}") for j in range(draw.randint(1, 30))) + " -->")
+        elif kind < 0.15:
+            body = "".join(org(f"Y{i}{j}") + "<!--" for j in range(draw.randint(1, 30)))
+            parts.append(org(f"S{i:03}", name=f"<![CDATA[{body}]]>"))
+            true.append((f"S{i:03}", body))
+        else:
+            parts.append(one.replace("</Organisation>", "</Organisation >") if kind < 0.3 else one)
+            true.append((f"S{i:03}", one.split("<Name>")[1].split("</Name>")[0]))
+    path = write(tmp_path, "many.xml", parts)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = xml.scan_xml_entities(spark, path)
+        got = sorted((r.code, r.name) for r in rows.select("code", "name").collect())
+        assert spark.read.text(path).rdd.getNumPartitions() > 10
+        assert xml.xml_problems(spark, path).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == true
