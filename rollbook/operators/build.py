@@ -277,8 +277,9 @@ def with_role_names(df: DataFrame, vocab: DataFrame, codes: str = "role_codes",
 
 
 def vocab_missing(codes: DataFrame, vocab: DataFrame, code: str = "role_code") -> DataFrame:
-    """Observed codes without a curated name; a build with any is refused."""
-    return codes.select(code).distinct().join(vocab.select(code), code, "left_anti")
+    """Observed codes without a curated name; a build with any is refused. One aggregation, reduced before its shuffle, and no join."""
+    both = codes.select(code, F.lit(False).alias("curated")).unionByName(vocab.select(code, F.lit(True).alias("curated")))
+    return both.groupBy(code).agg(F.max("curated").alias("curated")).where("NOT curated").select(code)
 
 
 def project_orgs(entities: DataFrame, vocab: DataFrame, successors: DataFrame, predecessors: DataFrame,

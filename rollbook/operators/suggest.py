@@ -22,6 +22,7 @@ def _close(left: DataFrame, right: DataFrame) -> DataFrame:
     rb = right.select("b", F.length("b").alias("lb"), F.explode(delete_keys("b")).alias("key"))
     rb = rb.join(la.select("key").distinct(), "key", "left_semi")
     pairs = la.join(rb, "key").where(F.abs(F.col("la") - F.col("lb")) <= 2).select("a", "b").distinct()
+    pairs = pairs.where(F.levenshtein("a", "b", 4) >= 0)  # a swap is at most two plain edits
     return pairs.withColumn("dist", osa_distance("a", "b")).where("dist <= 2")
 
 

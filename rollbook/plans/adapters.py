@@ -197,19 +197,17 @@ DEFINITIONS = {
                  cast(date '1994-01-01' + cast(k % 3000 as int) as string) END, concat(name, ' (AGAIN)')
         FROM <base> WHERE k % 50 IN (2, 3)""",
     "source_files": """
-        SELECT cast(date_trunc('month', o_orderdate) as date) AS release, last_day(cast(o_orderdate as date)) AS release_date,
-               CASE WHEN o_orderkey % 2 = 0 THEN 'full' ELSE 'archive' END AS kind,
-               concat('file', cast(o_orderkey as string), '.xml') AS file_name,
-               cast(o_orderdate as date) AS publication_date
-        FROM <orders> WHERE o_orderkey % 37 < 2""",
+        SELECT release, date '1995-01-02' + cast(release % 3 as int) AS release_date, kind, file_name,
+               CASE WHEN k % 11 = 0 THEN NULL ELSE date '1995-01-01' + cast(k % 4 as int) END AS publication_date
+        FROM (SELECT cast(floor(o_orderkey / 32.0) as bigint) AS release, o_orderkey AS k, CASE WHEN o_custkey % 2 = 0 THEN 'full' ELSE 'archive' END AS kind,
+                     concat('file', cast(o_orderkey as string), '.xml') AS file_name FROM <orders>) x""",
     "manifests": """
-        SELECT cast(date_trunc('month', o_orderdate) as date) AS release, concat('file', cast(o_orderkey as string), '.xml')
-                 AS file_name,
-               CASE WHEN o_orderkey % 1000 = 0 THEN NULL WHEN o_orderkey % 700 = 1 THEN '2001-13-01'
-                    WHEN o_custkey % 2 = 0 THEN cast(cast(date_trunc('month', o_orderdate) as date) as string)
-                    ELSE cast(cast(date_trunc('month', o_orderdate) as date) as string) END AS publication_date,
+        SELECT release, file_name, CASE WHEN k % 1000 = 0 THEN NULL WHEN k % 700 = 1 THEN '2001-13-01'
+                 WHEN k % 50 = 3 THEN cast(date '1995-01-02' + cast(release % 900 as int) as string)
+                 ELSE cast(date '1995-01-01' + cast(release % 900 as int) as string) END AS publication_date,
                cast(10 as bigint) AS record_count
-        FROM <orders> WHERE o_orderkey % 150 < 2""",
+        FROM (SELECT cast(floor(o_orderkey / 32.0) as bigint) AS release, o_orderkey AS k,
+                     concat('file', cast(o_orderkey as string), '.xml') AS file_name FROM <orders>) x""",
 }
 _snap_new = DEFINITIONS["snap_old"].replace("o_orderdate < timestamp '1998-01-01", "o_orderdate >= timestamp '1998-01-01").replace("% 9 <> 4", "% 8 <> 3")
 DEFINITIONS["snap_new"] = _snap_new

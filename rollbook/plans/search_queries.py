@@ -234,14 +234,14 @@ def _score_sql(inputs: str, cands: str) -> str:
 
 _INPUTS = """(SELECT DISTINCT lower(role_name) AS a FROM <roles> UNION SELECT DISTINCT lower(substr(role_name, 2)) FROM <roles>
     UNION SELECT DISTINCT lower(n_name) FROM <nation>)"""
-_CANDS = "(SELECT DISTINCT lower(role_name) AS b FROM <vocab> UNION SELECT DISTINCT lower(substr(name, 1, 14)) FROM <orgs> WHERE ods_code < 'C2')"
+_CANDS = "(SELECT DISTINCT lower(role_name) AS b FROM <vocab> UNION SELECT DISTINCT lower(name) FROM <orgs>)"
 
 
 def _score_frames(t):
     a = t.roles.select(F.lower("role_name").alias("a")).union(t.roles.select(F.lower(F.expr("substr(role_name, 2)")))).union(
         t.nation.select(F.lower("n_name"))).distinct()
     b = t.vocab.select(F.lower("role_name").alias("b")).union(
-        t.orgs.where("ods_code < 'C2'").select(F.lower(F.substring("name", 1, 14)))).distinct()
+        t.orgs.select(F.lower("name"))).distinct()
     return a, b
 
 

@@ -329,11 +329,16 @@ _PREF = "ORDER BY NOT ref_only DESC, file_index, op_start DESC NULLS LAST"
 
 
 @plan("b3_merge_entities", f"""
-    SELECT code, file_index, ref_only, op_start, name FROM (SELECT *, row_number() OVER (PARTITION BY code {_PREF}, name) AS rn FROM <raw_records>) x
-    WHERE rn = 1 AND code NOT IN (SELECT code FROM <raw_records> GROUP BY code, file_index, op_start, ref_only HAVING count(*) > 1)""")
-def _(t):
-    twins = t.raw_records.groupBy("code", "file_index", "op_start", "ref_only").agg(F.count("*").alias("c")).where("c > 1").select("code")
-    return B.merge_entities(t.raw_records).join(twins, "code", "left_anti").select("code", "file_index", "ref_only", "op_start", "name")
+    SELECT code, file_index, ref_only, op_start, CASE WHEN twins = 1 THEN name END AS name, twins > 1 AS tied FROM (
+      SELECT *, row_number() OVER (PARTITION BY code {_PREF}, name) AS rn, count(*) OVER (PARTITION BY code, file_index, ref_only, op_start) AS twins
+      FROM <raw_records>) x WHERE rn = 1""")
+def _(t):
+    """Which of several equal records is kept depends on their order in the file, so their names are left open."""
+    key = ["code", "file_index", "ref_only", "op_start"]
+    twins = t.raw_records.groupBy(*key).agg(F.count("*").alias("twins")).where("twins > 1").select(*[F.col(c).alias(f"t_{c}") for c in key])
+    same = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in key]
+    kept, tied = B.merge_entities(t.raw_records).join(twins, same, "left"), F.col("t_code").isNotNull()
+    return kept.select(*key, F.when(~tied, F.col("name")).alias("name"), tied.alias("tied"))
 
 
 @plan("b3b_merge_contradictions", """
