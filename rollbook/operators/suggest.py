@@ -19,7 +19,8 @@ from rollbook.runtime import checkpoint
 def _close(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct ``(a, b, dist)`` with distance at most two; ``left.a``, ``right.b`` distinct strings."""
     la = left.select("a", F.length("a").alias("la"), F.explode(delete_keys("a")).alias("key"))
-    rb = right.select("b", F.length("b").alias("lb"), F.explode(delete_keys("b")).alias("key"))
+    lengths = left.select(F.explode(F.array(*[F.length("a") + i for i in range(-2, 3)])).alias("lb")).distinct()
+    rb = right.select("b", F.length("b").alias("lb")).join(lengths, "lb", "left_semi").select("b", "lb", F.explode(delete_keys("b")).alias("key"))
     rb = rb.join(la.select("key").distinct(), "key", "left_semi")
     pairs = la.join(rb, "key").where(F.abs(F.col("la") - F.col("lb")) <= 2).select("a", "b").distinct()
     pairs = pairs.where(F.levenshtein("a", "b", 4) >= 0)  # a swap is at most two plain edits
