@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from rollbook.operators import diff as X
 from rollbook.operators import history as W
 from rollbook.plans.registry import plan
+from rollbook.runtime import scratch_path
+from rollbook.streaming import changefeed
 
 _W = "OVER (PARTITION BY ods_code ORDER BY publication_date)"
 
@@ -180,3 +182,30 @@ def _(t):
                                                     F.col("r_name").alias("role_name"))
     day = lambda d: X.diff_view(t.snapshots.where(F.col("publication_date") == F.lit(d).cast("date")), vocab)
     return X.diff_modified(day("2024-01-10"), day("2024-01-11")).where("field = 'role'").select("ods_code", "old_value", "new_value")
+
+
+_FEED = " UNION ALL ".join(
+    f"""SELECT day AS publication_date, n.ods_code, 'modified' AS change_type, '{c}' AS field, coalesce(o.{c}, '') AS old_value, coalesce(n.{c}, '') AS new_value
+        FROM p JOIN s n ON n.d = day JOIN s o ON o.d = before AND o.ods_code = n.ods_code WHERE o.{c} IS DISTINCT FROM n.{c}"""
+    for c in _COLS[:-1])
+
+
+@plan("st1_change_feed", f"""
+    WITH s AS (SELECT publication_date AS d, ods_code, name, status, primary_role_code AS role, town, postcode FROM <snapshots>),
+    p AS (SELECT d AS day, lag(d) OVER (ORDER BY d) AS before FROM (SELECT DISTINCT d FROM s) x)
+    SELECT day AS publication_date, n.ods_code, 'added' AS change_type, '' AS field, '' AS old_value, '' AS new_value FROM p JOIN s n ON n.d = day
+    LEFT JOIN s o ON o.d = before AND o.ods_code = n.ods_code WHERE before IS NOT NULL AND o.ods_code IS NULL
+    UNION ALL SELECT day, o.ods_code, 'removed', '', '', '' FROM p JOIN s o ON o.d = before
+    LEFT JOIN s n ON n.d = day AND n.ods_code = o.ods_code WHERE n.ods_code IS NULL UNION ALL {_FEED}""")
+def _(t):
+    """Every release of the series is written and announced, the second one late; the feed is what the stream made of them."""
+    rows = t.snapshots.select("ods_code", "name", "status", F.col("primary_role_code").alias("role"), "town", "postcode", "publication_date")
+    root = scratch_path(t.spark, "feed")
+    rows.write.partitionBy("publication_date").parquet(f"{root}/releases")
+    days = [r[0] for r in rows.select("publication_date").distinct().orderBy("publication_date").collect()]  # a row per release
+    for batch in (days[:1] + days[2:], days[1:2]):
+        for day in batch:
+            changefeed.announce(t.spark, day, f"{root}/releases/publication_date={day}", f"{root}/markers")
+        changefeed.start_change_feed(changefeed.read_markers(t.spark, f"{root}/markers"), rows.schema, f"{root}/series", f"{root}/changes",
+                                     f"{root}/mark").awaitTermination()
+    return t.spark.read.parquet(f"{root}/changes").select("publication_date", "ods_code", "change_type", "field", "old_value", "new_value")

@@ -20,8 +20,8 @@ MARKER = "publication_date date, path string"
 
 
 def read_markers(spark: SparkSession, path: str) -> DataFrame:
-    """The stream of finished releases."""
-    return spark.readStream.schema(MARKER).json(path)
+    """The stream of finished releases, with the time each was announced."""
+    return spark.readStream.schema(MARKER).json(path).select("publication_date", "path", F.col("_metadata.file_modification_time").alias("announced"))
 
 
 def announce(spark: SparkSession, day, release: str, markers: str) -> None:
@@ -39,11 +39,12 @@ def start_change_feed(markers: DataFrame, schema: T.StructType, series_path: str
     """Add each announced release to the series and its changes to the feed.
 
     Every write replaces its date, so a batch that is replayed after a failure, or a release announced again, leaves
-    the same result. A late or repeated date also renews the changes of the date after it.
+    the same result. A late or repeated date also renews the changes of the date after it. Of a date announced several times in one batch,
+    the latest announcement counts.
     """
     def handle(batch: DataFrame, _id: int) -> None:
         spark = batch.sparkSession
-        for day, path in batch.groupBy("publication_date").agg(F.max("path")).orderBy("publication_date").collect():  # a row per release
+        for day, path in batch.groupBy("publication_date").agg(F.max_by("path", F.struct("announced", "path"))).orderBy("publication_date").collect():  # a row per release
             new = spark.read.schema(T.StructType([f for f in schema if f.name != "publication_date"])).parquet(path)
             snapshot_append(new.withColumn("publication_date", F.lit(day)), series_path)
             series = spark.read.parquet(series_path)
