@@ -141,6 +141,14 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(table.limit(0), F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_nearest_among_collinear_vectors_have_the_smallest_ids(spark):
+    one = [0.5, -1.25, 3.0, 0.75]
+    rows = [(0, one), *((100 + k, [x * 2.0**(40 - k) for x in one]) for k in range(41))]
+    table = spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>").repartition(6)
+    got = sorted((r["rank"], r["vec_id"]) for r in ann.nearest(table, F.col("vec_id") == 0).collect())
+    assert got == [(k + 1, 100 + k) for k in range(5)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 101)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -234,6 +242,22 @@ def test_repeats_of_odd_rows(spark):
     assert repeats.without_repeats(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [None, 2**63 - 1])
+def test_repeats_of_many_texts_under_one_id(spark, doc_id):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefgh", k=rng.randrange(90, 300))) for _ in range(4000)]
+    early = texts[7][:100].ljust(100, "x")
+    rows = [(doc_id, t, k) for k, t in enumerate(texts)] + [(1, early, -1), (doc_id, "y" + early + "z", -2)]
+    got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(7), with_text=True).collect()
+    assert sorted(bytes(r["kept"]).decode() for r in got) == sorted([*(t[100:] if t[:100] == early else t for t in texts), early, "yz"])
+
+
+def test_repeats_order_string_ids(spark):
+    text = "".join(random.Random(2).choices("abcdefgh", k=120))
+    got = repeats.without_repeats(spark.createDataFrame([("b", text), ("a", text), (None, text)], "doc_id string, text string")).collect()
+    assert sorted((r["doc_id"] or "z", r["n_removed"]) for r in got) == [("a", 0), ("b", 120), ("z", 120)]
+
+
 def test_phrases_of_long_texts_cross_chunks(monkeypatch):
     raw = np.frombuffer(bytes(random.Random(5).choices(b"abcd", k=5000)), np.uint8)
     _, _, start, many = phrases.phrases(raw)
@@ -258,6 +282,8 @@ def test_leaks(spark):
         (-1, 2, False), (-1, 5, False), (10, 1, True), (12, 2, False), (12, 5, False), (15, 1, False)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in decontam.decontaminated(table, items).collect()) == [11, 13, 14, 16, 17]
+    clashing = table.selectExpr("*", "1 AS _leaks", "2 AS item", "3 AS key", "4 AS row")
+    assert sorted(decontam.decontaminated(clashing, items).select("doc_id", "_leaks", "row").collect()) == [(i, 1, 4) for i in (11, 13, 14, 16, 17)]
     assert decontam.leaks(table.limit(0), items).count() == 0 and decontam.decontaminated(table, items.limit(0)).count() == len(rows)
 
 
@@ -280,9 +306,9 @@ def test_leaks_of_the_benchmark_equal_a_window_search(spark):
     assert want and want <= got and len(got - want) <= 0.1 * len(want)
 
 
-@pytest.mark.parametrize("inline", [30_000, 0])
-def test_leaks_of_names_at_sentence_starts_and_of_short_items(spark, inline, monkeypatch):
-    monkeypatch.setattr(decontam, "INLINE_KEYS", inline)
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_leaks_of_names_at_sentence_starts_and_of_short_items(spark, sent, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", sent)
     items = [(1, "Maria has 5 boxes with 12 pens each. Maria sells 20 pens. How many pens are left?"), (2, "Nora buys 4 red cups"), (3, "What is 12 plus 30"), (4, "Add 7"),
              (5, "The old man and Tom saw 3 ships in the bay. The ships left Ann at 9.")]
     rows = [(10, "Peter has 8 boxes with 9 pens each. Peter sells 11 pens. How many pens are left?"), (11, "Peter has 8 boxes with 9 pens each. Paul sells 11 pens. How many pens are left?"),
