@@ -29,46 +29,50 @@ from pyspark.sql.window import Window
 
 from rollbook.llm.common import squeezed
 from rollbook.llm.phrases import WIDTH, phrases, window_hashes
-from rollbook.runtime import scratch_path
+from rollbook.runtime import checkpoint, scratch_path
 
 #: Dictionary entries of one trigger that are brought into order within one task.
 CROWD = 20_000
-_MANY, _START = 7, 36  # bits of a phrase's number of windows and of its first window, below the bits of its text's hash
+_MANY = 7  # bits of a phrase's number of windows, below those of its first window
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, doc, mark and text. ``doc`` orders the documents (null ids last); ``mark`` tells texts of one id apart."""
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"),
-                       F.shiftrightunsigned(F.xxhash64("text"), 64 - 20).alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, doc and bytes (compressed) of every row, written once. ``doc`` numbers the documents in order: by id, nulls last,
+    then by a hash of the text; rows of equal id and text share one."""
+    spark = docs.sparkSession
+    own = squeezed(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text"), "text", "bytes")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("mark").asc()]
+    numbers = checkpoint(docs.select("doc_id", F.xxhash64("text").alias("mark")).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+                         .select(F.col("doc_id").alias("n_id"), F.col("mark").alias("n_mark"), F.monotonically_increasing_id().alias("doc")))
+    path = scratch_path(spark, "numbered")
+    same = F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("mark") == F.col("n_mark"))
+    own.join(numbers, same).select("doc_id", "doc", "bytes").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _start(place: Column) -> Column:
-    return F.shiftright(place, _MANY).bitwiseAND(F.lit((1 << _START) - 1))
+    return F.shiftright(place, _MANY)
 
 
 def _many(place: Column) -> Column:
     return place.bitwiseAND(F.lit((1 << _MANY) - 1)) + 1
 
 
-def _mark(place: Column) -> Column:
-    return F.shiftright(place, _MANY + _START)
-
-
 def _spans(rows: DataFrame) -> DataFrame:
-    """doc, mark, start and end of the bytes under the windows of phrase occurrences."""
-    return rows.select("doc", _mark(F.col("place")).alias("mark"), _start(F.col("place")).alias("start"),
-                       (_start(F.col("place")) + _many(F.col("place")) + WIDTH - 1).alias("end"))
+    """doc, start and end of the bytes under the windows of phrase occurrences."""
+    return rows.select("doc", _start(F.col("place")).alias("start"), (_start(F.col("place")) + _many(F.col("place")) + WIDTH - 1).alias("end"))
 
 
 def occurrences(rows: DataFrame, first: bool) -> DataFrame:
     """trigger, phrase, doc and place of the phrase occurrences that are (or are not) the first of their Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            docs, marks, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
-            for k, text in enumerate(batch.column(2)):
-                trigger, phrase, start, many = phrases(np.frombuffer(text.as_buffer(), np.uint8) if len(text.as_buffer()) else np.zeros(0, np.uint8))
-                place = (((marks[k] << _START) | start) << _MANY) | (many - 1)
+            docs, parts = batch.column(0).to_numpy(), []
+            for k, raw in enumerate(batch.column(1)):
+                trigger, phrase, start, many = phrases(np.frombuffer(expand.decompress(raw.as_py()), np.uint8))
+                place = (start << _MANY) | (many - 1)
                 parts.append((trigger, phrase, np.full(len(start), docs[k]), place))
             trigger, phrase, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
             order = np.lexsort((place, doc, phrase, trigger))
@@ -79,12 +83,12 @@ def occurrences(rows: DataFrame, first: bool) -> DataFrame:
             own = np.sort(order[(new == first) & ~same])
             yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (trigger, phrase, doc, place)], names=["trigger", "phrase", "doc", "place"])
 
-    return rows.select("doc", "mark", F.col("text").cast("binary")).mapInArrow(run, "trigger long, phrase long, doc long, place long")
+    return rows.select("doc", "bytes").mapInArrow(run, "trigger long, phrase long, doc long, place long")
 
 
 def _entries(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """trigger, doc, place and bytes of dictionary entries, cut out of their texts."""
-    wanted = entries.groupBy("doc", _mark(F.col("place")).alias("mark")).agg(F.collect_list(F.struct("trigger", "place")).alias("own"))
+    wanted = entries.groupBy("doc").agg(F.collect_list(F.struct("trigger", "place")).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
@@ -93,7 +97,7 @@ def _entries(rows: DataFrame, entries: DataFrame) -> DataFrame:
             for d, raw, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 text = expand.decompress(raw.as_py())
                 t, p = (own.values.field(k).to_numpy() for k in (0, 1))
-                start, many = (p >> _MANY) & ((1 << _START) - 1), (p & ((1 << _MANY) - 1)) + 1
+                start, many = p >> _MANY, (p & ((1 << _MANY) - 1)) + 1
                 trigger.append(t)
                 place.append(p)
                 doc.append(np.full(len(p), d))
@@ -101,18 +105,18 @@ def _entries(rows: DataFrame, entries: DataFrame) -> DataFrame:
             cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (trigger, doc, place)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(cut, pa.binary())], names=["trigger", "doc", "place", "cut"])
 
-    return squeezed(rows.drop("doc_id"), "text", "bytes").join(wanted, ["doc", "mark"]).select("doc", "bytes", "own").mapInArrow(run, "trigger long, doc long, place long, cut binary")
+    return rows.join(wanted, "doc").select("doc", "bytes", "own").mapInArrow(run, "trigger long, doc long, place long, cut binary")
 
 
 def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """trigger, window, doc and spot (mark and start) of all windows of a batch of entries."""
+    """trigger, window, doc and spot (start in the document) of all windows of a batch of entries."""
     trigger, doc, place = (batch.column(k).to_numpy() for k in range(3))
     cut = batch.column(3)
     sizes = np.array([len(x.as_buffer()) for x in cut], np.int64)
     raw = np.frombuffer(b"".join(x.as_buffer() for x in cut), np.uint8)
     at = np.cumsum(sizes) - sizes
     start, window, owner = window_hashes(raw, at, sizes - WIDTH + 1)
-    spot = (place >> _MANY)[owner] + start - at[owner]  # the start's bits are below the mark's
+    spot = (place >> _MANY)[owner] + start - at[owner]
     return trigger[owner], window, doc[owner], spot
 
 
@@ -128,7 +132,7 @@ def _ordered(batch: pa.RecordBatch) -> tuple[tuple[np.ndarray, ...], np.ndarray,
 
 
 def _covered_windows(entries: DataFrame) -> DataFrame:
-    """doc, mark, start and end of the windows that an earlier window equals, for entries sorted by trigger in each partition."""
+    """doc, start and end of the windows that an earlier window equals, for entries sorted by trigger in each partition."""
 
     def ordered(batch: pa.RecordBatch) -> pa.RecordBatch:
         (_, _, doc, spot), _, later = _ordered(batch)
@@ -149,7 +153,7 @@ def _covered_windows(entries: DataFrame) -> DataFrame:
         if held is not None and len(held):
             yield ordered(held)
 
-    return entries.mapInArrow(run, "doc long, mark long, start long, end long")
+    return entries.mapInArrow(run, "doc long, start long, end long")
 
 
 def _runs(doc: np.ndarray, spot: np.ndarray) -> pa.RecordBatch:
@@ -160,9 +164,7 @@ def _runs(doc: np.ndarray, spot: np.ndarray) -> pa.RecordBatch:
     new[1:] = (doc[1:] != doc[:-1]) | (spot[1:] > spot[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:] - 1, len(doc) - 1) if len(first) else first
-    low = (1 << _START) - 1
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first], spot[first] >> _START, spot[first] & low, (spot[last] & low) + WIDTH)],
-                                      names=["doc", "mark", "start", "end"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first], spot[first], spot[last] + WIDTH)], names=["doc", "start", "end"])
 
 
 def _crowded_windows(entries: DataFrame) -> DataFrame:
@@ -181,14 +183,13 @@ def _crowded_windows(entries: DataFrame) -> DataFrame:
     rows = entries.mapInArrow(firsts, "trigger long, window long, doc long, spot long")
     first = rows.groupBy("trigger", "window").agg(F.min(F.struct("doc", "spot")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = rows.join(first, ["trigger", "window"]).where((F.col("doc") != F.col("first.doc")) | (F.col("spot") != F.col("first.spot")))
-    start = F.col("spot").bitwiseAND(F.lit((1 << _START) - 1))
-    met = later.select("doc", F.shiftright("spot", _START).alias("mark"), start.alias("start"), (start + WIDTH).alias("end"))
-    return met.union(entries.mapInArrow(others, "doc long, mark long, start long, end long"))
+    met = later.select("doc", F.col("spot").alias("start"), (F.col("spot") + WIDTH).alias("end"))
+    return met.union(entries.mapInArrow(others, "doc long, start long, end long"))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc, mark and the list of covered (start, end) of every document that has any."""
-    spark, rows = docs.sparkSession, _rows(docs)
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """doc and the list of covered (start, end) of every document that has any, for numbered documents."""
+    spark = rows.sparkSession
     by_trigger = Window.partitionBy("trigger")
     first = F.rank().over(Window.partitionBy("trigger", "phrase").orderBy("doc", "place")) == 1
     ranked = occurrences(rows, True).select("*", first.alias("first"), (F.min("phrase").over(by_trigger) != F.max("phrase").over(by_trigger)).alias("shared"))
@@ -203,7 +204,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     quiet = cut.where(F.col("crowded").isNull()).drop("crowded").repartition("trigger").sortWithinPartitions("trigger")
     spans = (_spans(found.where("NOT first")).union(_spans(occurrences(rows, False))).union(_covered_windows(quiet))
              .union(_crowded_windows(cut.where("crowded").drop("crowded"))))
-    return spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -234,6 +235,7 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([c[i] for c in cells], k) for i, k in enumerate(kinds))],
                                              names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][:5 + with_text])
 
-    both = squeezed(_rows(docs), "text", "bytes").join(repeated_spans(docs), ["doc", "mark"], "left").select("doc_id", "bytes", "spans")
+    rows = _rows(docs)
+    both = rows.join(repeated_spans(rows), "doc", "left").select("doc_id", "bytes", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
