@@ -142,7 +142,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
     by_vector = Window.partitionBy("vector").orderBy("id")
     few = (rows.select("vector", "id").distinct().withColumn("at", F.row_number().over(by_vector)).where(F.col("at") <= k + 1)
            .groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids")))  # at most k + 1: enough to answer any query
-    classes = checkpoint(few.select(F.monotonically_increasing_id().alias("cls"), "vector", "ids"))
+    # classes are numbered by their least id, so cuts among equal scores keep the smaller ids
+    classes = checkpoint(few.orderBy(F.col("ids")[0]).select(F.monotonically_increasing_id().alias("cls"), "vector", "ids"))
     asked = checkpoint(rows.where("asks").select("vector", "id").distinct().join(classes, "vector").select("id", "cls"))
     asking = classes.join(asked.select("cls").distinct(), "cls", "left_semi")
     found = checkpoint(_compared(_hashed(asking, tables, probes), _hashed(classes, tables, 1), k))
