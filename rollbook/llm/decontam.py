@@ -23,7 +23,8 @@ from rollbook.runtime import checkpoint
 WINDOW, SHARE = 8, 0.5
 #: Least words of a template window of ``WINDOW`` words that are no placeholders; in proportion, rounded up, for shorter ones.
 LITERALS = 4
-#: Benchmark windows up to which their table (24 bytes and a few words a row) is sent to every executor; beyond, both sides are shuffled.
+#: Rows up to which the table of benchmark windows (24 bytes and a few words a row), or that of suspects (an id and a hash), is sent to every
+#: executor; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"  # private characters, blanked in the input
@@ -40,7 +41,7 @@ _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 
 
 def _spaced(c: Column, keep: str = "") -> Column:
-    return F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}{keep}]+", " ")
+    return F.regexp_replace(c, rf"[^a-z\p{{L}}\p{{N}}{keep}]+", " ")
 
 
 def _split(c: Column) -> Column:
@@ -85,7 +86,7 @@ READ = ["_words", "_template", "_wide"]
 
 
 def _hashed(read: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
-    """``keep`` with the array of window keys of each reading and size, as ``<reading>_<size>``; a key tells the size too.
+    """``keep`` with the array of window keys of each reading and size, as ``<reading>_<size>``; keys of different sizes are hashes of different shapes.
 
     Hashes of 1, 2, 4, ... words are made by pairing those of half as many words; other sizes are joined from them.
     A template of another number of words than its text (a placeholder that stands on part of a word) has no windows.
@@ -107,7 +108,7 @@ def _hashed(read: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
         out = parts[0]
         for other in parts[1:]:
             out = pair(out, other)
-        whole = F.transform(F.slice(out, 1, F.greatest(F.col("_n") - size + 1, F.lit(0))), lambda k: k.bitwiseXOR(F.lit(size)))
+        whole = F.slice(out, 1, F.greatest(F.col("_n") - size + 1, F.lit(0)))
         return F.when(F.size(f"{c}_p1") == F.col("_n"), whole).otherwise(F.array().cast("array<bigint>"))
 
     return made.select(*keep, *[joined(c, n).alias(f"{c}_{n}") for n in sizes for c in READ])
@@ -187,8 +188,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     fits = lambda a, b: a.eqNullSafe(b)
     plain = asked.select("key", "item", "at", "windows").distinct()
     near = checkpoint(suspects(texts, F.broadcast(plain) if small else plain, sorted(sizes), share))
+    few = near.count() <= BROADCAST_ROWS
     near = near.select(F.col("doc_id").alias("s_doc"), F.col("row").alias("s_row"))
-    own = windows(texts.join(near, fits(F.col("doc_id"), F.col("s_doc")) & (F.col("row") == F.col("s_row")), "left_semi"), ["doc_id", "row"], "text", sorted(sizes))
+    own = windows(texts.join(F.broadcast(near) if few else near, fits(F.col("doc_id"), F.col("s_doc")) & (F.col("row") == F.col("s_row")), "left_semi"), ["doc_id", "row"], "text", sorted(sizes))
     hits = checkpoint(own.join(F.broadcast(asked) if small else asked, ["key", "size"])
                       .where(F.col("slots").isNull() == F.col("values").isNull())
                       .select("doc_id", "row", "item", (F.col("pos") - F.col("at")).alias("shift"), "at", "windows", "slots", "values",
