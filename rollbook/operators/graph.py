@@ -22,37 +22,38 @@ def direct_edges(successions: DataFrame) -> DataFrame:
             .where("src IS NOT NULL AND dst IS NOT NULL").distinct())
 
 
-def reach(seeds: DataFrame, edges: DataFrame, growth: int = 12) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
+    """All ``(src, dst)`` with a path from ``src`` to another node ``dst``; NULL ends are not looked at.
+
+    Distances are doubled. After round k all pairs up to 2^k edges apart are known, and ``last`` marks those exactly so far
+    apart; a marked pair behind any known one gives the pairs up to twice as far, and behind a marked one those that may be
+    exactly twice as far, unless they are nearer some other way. Pieces of a shortest path are shortest themselves, so
+    nothing is missed, and the rounds end once no pair is marked: there are as many as the longest shortest path has
+    binary digits, on a ring as on a chain. All that is kept belongs to the result, so no round outgrows it.
+    """
+    pairs = checkpoint(edges.select("src", "dst").where("src <> dst").distinct().withColumn("last", F.lit(True)))
+    while True:
+        tail = pairs.where("last").select(F.col("src").alias("mid"), "dst")
+        longer = pairs.select("src", F.col("dst").alias("mid"), "last").join(tail, "mid").where("src <> dst")
+        both = pairs.withColumn("last", F.lit(False)).unionByName(longer.select("src", "dst", "last"))
+        pairs = checkpoint(both.groupBy("src", "dst").agg(F.bool_and("last").alias("last")))
+        if pairs.where("last").isEmpty():
+            return pairs.select("src", "dst")
+
+
+def reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """All ``(root, node)`` pairs reachable from ``seeds`` along ``edges``; seeds included.
 
-    Semi-naive: only pairs found in the last round are extended. Between rounds the edge set
-    is squared, so that later rounds advance many hops at once, until it has outgrown
-    ``growth`` times the edges; after that the rounds go on with the set as it is. A root is
-    never re-added to its own set.
+    A root is in its own set only where a seed says so.
     """
-    frontier = checkpoint(seeds.select("root", "node").distinct())
-    jumps = checkpoint(edges.select("src", "dst").where("src <> dst").distinct())
-    found, allowed, growing = [frontier], growth * jumps.count(), True
-    while True:
-        seen = reduce(DataFrame.union, found)
-        ahead = (frontier.join(jumps, F.col("node") == F.col("src")).where("dst <> root")
-                 .select("root", F.col("dst").alias("node")).distinct())
-        frontier = checkpoint(ahead.join(seen, ["root", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        found.append(frontier)
-        if growing:
-            twice = jumps.alias("x").join(jumps.alias("y"), F.col("x.dst") == F.col("y.src")) \
-                .where("x.src <> y.dst").select("x.src", "y.dst")
-            jumps = checkpoint(jumps.union(twice).distinct())
-            growing = jumps.count() <= allowed
+    seeds = seeds.select("root", "node").distinct()
+    ahead = seeds.join(closure(edges).toDF("node", "far"), "node").where("far <> root").select("root", F.col("far").alias("node"))
+    return seeds.union(ahead).distinct()
 
 
 def successor_pairs(successions: DataFrame) -> DataFrame:
     """``(ods_code, successor_code)``: every entity each one became, itself excluded."""
-    edges = direct_edges(successions).where("src <> dst")
-    pairs = reach(edges.select(F.col("src").alias("root"), F.col("dst").alias("node")), edges)
-    return pairs.select(F.col("root").alias("ods_code"), F.col("node").alias("successor_code"))
+    return closure(direct_edges(successions)).toDF("ods_code", "successor_code")
 
 
 def predecessor_pairs(pairs: DataFrame) -> DataFrame:

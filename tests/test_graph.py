@@ -94,3 +94,29 @@ def test_empty_graph(spark):
     table = edge_table(spark, [("A", "A")])
     assert G.successor_pairs(table).count() == 0 and G.self_loops(table).count() == 1
     assert G.succession_chain(table, org_table(spark, {"A": "active"})).count() == 0
+
+
+def test_closure_rounds_grow_with_the_digits_of_the_longest_path(spark, monkeypatch):
+    rounds = []
+    real = G.checkpoint
+    monkeypatch.setattr(G, "checkpoint", lambda df: rounds.append(1) or real(df))
+    ring = [(f"R{i:03d}", f"R{(i + 1) % 300:03d}") for i in range(300)]
+    hub = [(f"A{i}", "HUB") for i in range(40)] + [("HUB", f"B{i}") for i in range(40)] + [("B7", "A3"), ("B7", "R005")]
+    edges = ring + hub
+    pairs = G.successor_pairs(edge_table(spark, edges))
+    got = pairs.collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == {(a, b) for a, bs in closure(edges).items() for b in bs}
+    assert len(rounds) <= 9 + 2  # the longest shortest path has 302 edges, nine binary digits
+
+
+def test_closure_of_a_dense_cycle(spark):
+    names = [f"D{i:02d}" for i in range(60)]
+    edges = [(a, b) for a in names for b in names]
+    assert G.successor_pairs(edge_table(spark, edges)).count() == 60 * 59
+
+
+def test_reach_keeps_a_seeded_root_and_stops_where_edges_stop(spark):
+    seeds = spark.createDataFrame([("A", "A"), ("A", "B"), ("B", "A"), ("Q", "Z")], "root string, node string")
+    edges = spark.createDataFrame([("A", "A"), ("A", "B"), ("B", "A"), ("B", "C"), (None, "C"), ("C", None)], "src string, dst string")
+    got = sorted(tuple(r) for r in G.reach(seeds, edges).collect())
+    assert got == [("A", "A"), ("A", "B"), ("A", "C"), ("B", "A"), ("B", "C"), ("Q", "Z")]
