@@ -173,3 +173,28 @@ def test_odd_quotes_and_names_in_values():
     for part in ("<a '\"", '<a "<b" ', "<a<a", "<a '<b\" "):
         page = part * 100_000
         assert texts(page + "<") == [" ".join((page + "<").split())]
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<div class='layout has-sidebar'><article><p>a</p></article></div>", ["a"]),
+    ("<main><div class='search-result-page'><p>a</p></div></main>", ["a"]),
+    ("<p class='social-science'>a</p><p class='social-links'>b</p><div id=related-posts><p>c</p></div>", ["a"]),
+    ("<h2 id='related-work'>a</h2><h2 id=comments>b</h2><p class=comments>c</p>", ["a", "b"]),
+    ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p><p><label>c</label></p>", ["a x=2 b", "c"]),
+    ("<p>a</p><svg width=3><p>b</p>", ["a", "b"]),
+    ("<p>a</p><svg><text>no</text></svg><p>b</p><script>if (a < b) no", ["a", "b"]),
+    ("<p>a</p><div class='user-reviews'><p>me too</p></div><div class='film-reviews'><p>b</p></div>", ["a", "b"]),
+    ("<div class='no-ads'><p>a</p></div><div class='ad-slot-3 wide'>b</div><form><label>c</label></form>", ["a"]),
+])
+def test_names_of_parts_and_of_subjects(page, want):
+    assert [b.text for b in html.blocks(page)] == want
+
+
+def test_a_teaser_is_not_the_article_and_the_tree_decides_beside_it(spark):
+    teaser = "<article><p>Read also</p></article>"
+    page = "<body><div class=x>The same long line of the house on every page there is</div><div class=story><p>Own story of page {0}, told at some length</p></div>" + teaser
+    short = "<body><div class=x>The same long line of the house on every page there is</div><article><p>Note {0}</p></article>"
+    rows = [(i, f"http://a.example/{i}", page.format(i)) for i in range(12)] + [(100 + i, f"http://b.example/{i}", short.format(i)) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Own story of page {i}, told at some length\n\nRead also" for i in range(12))
+    assert all(got[100 + i] == f"Note {i}" for i in range(12))  # the line outside is long, but the tree has removed it
