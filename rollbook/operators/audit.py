@@ -307,3 +307,73 @@ def audit_series(orgs: DataFrame, roles: DataFrame, releases: DataFrame, date: s
     return out.select(date, zero("entities").alias("entities"), zero("dup_keys").alias("dup_keys"),
                       zero("lost_roles").alias("lost_roles"), verdict.alias("verdict"))
 
+
+# --- every check of every release in one job ----------------------------------------------------
+
+
+def _row_rules(name: str, df: DataFrame) -> dict[str, Column]:
+    """What each row of a table must not be, by check name."""
+    rules = {f"not_null:{name}.{f.name}": F.col(f.name).isNull() for f in schemas.TABLES[name] if not f.nullable and f.name in df.columns}
+    if "legal_end" in df.columns:
+        rules[f"date_order:{name}"] = date_order_bad(F.col("legal_start"), F.col("legal_end")) | date_order_bad(
+            F.col("operational_start"), F.col("operational_end"))
+    if name == "orgs":
+        rules["primary_in_roles"] = F.coalesce(~F.array_contains("role_codes", F.col("primary_role_code")), F.lit(False))
+        rules["lists_aligned"] = F.coalesce(F.size("role_codes") != F.size("role_names"), F.lit(False))
+    return rules
+
+
+def _as_rows(df: DataFrame, date: str, counters: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """``date, check_name, n, sample`` from one aggregate by date, whatever the number of checks."""
+    one = df.groupBy(date).agg(*[F.struct(F.lit(k).alias("check_name"), F.coalesce(n, F.lit(0)).cast("bigint").alias("n"), sample.alias("sample"))
+                                 .alias(f"c{i}") for i, (k, (n, sample)) in enumerate(counters.items())])
+    return one.select(date, F.explode(F.array(*[f"c{i}" for i in range(len(counters))])).alias("c")).select(date, "c.*")
+
+
+def _table_checks(name: str, df: DataFrame, date: str) -> tuple[list[str], DataFrame]:
+    """Names and rows of the checks of one table: rows beyond the first of a key, and all row rules."""
+    key, rules = schemas.PRIMARY_KEYS[name], _row_rules(name, df)
+    per = df.groupBy(date, F.col(key).cast("string").alias("key")).agg(
+        F.count("*").alias("rows"), *[F.count_if(c).alias(f"r{i}") for i, c in enumerate(rules.values())])
+    again = F.col("key").isNotNull() & (F.col("rows") > 1)
+    counters = {f"pk_unique:{name}": (F.sum(F.when(again, F.col("rows") - 1)), F.min(F.when(again, F.col("key"))))}
+    for i, k in enumerate(rules):
+        counters[k] = (F.sum(f"r{i}"), F.min(F.when(F.col(f"r{i}") > 0, F.col("key"))))
+    return list(counters), _as_rows(per, date, counters)
+
+
+def _reference_checks(tables: dict[str, DataFrame], date: str) -> tuple[list[str], DataFrame]:
+    """References to no entity of the same release, each counted. Entities and references meet in one aggregate by code."""
+    names = [t for t in schemas.FOREIGN_KEYS if t in tables]
+    codes = tables["orgs"].select(date, F.col("ods_code").alias("code"), F.lit("orgs").alias("kind"), F.lit(None).cast("string").alias("key"))
+    for t in names:
+        codes = codes.unionByName(tables[t].select(date, F.explode(F.array(*schemas.FOREIGN_KEYS[t])).alias("code"), F.lit(t).alias("kind"),
+                                                   F.col(schemas.PRIMARY_KEYS[t]).cast("string").alias("key")))
+    of = lambda t: F.col("kind") == t
+    per = codes.where("code IS NOT NULL").groupBy(date, "code").agg(
+        F.count_if(of("orgs")).alias("known"), *[F.count_if(of(t)).alias(f"n_{t}") for t in names],
+        *[F.min(F.when(of(t), F.col("key"))).alias(f"s_{t}") for t in names])
+    return [f"fk:{t}" for t in names], _as_rows(per.where("known = 0"), date, {f"fk:{t}": (F.sum(f"n_{t}"), F.min(f"s_{t}")) for t in names})
+
+
+def release_checks(tables: dict[str, DataFrame], releases: DataFrame, date: str = "publication_date") -> DataFrame:
+    """Every check of every release, in one job: ``date, check_name, n, sample``, sample being the least offending key.
+
+    ``tables`` holds the four tables by name, over all releases. Keys, required values, order of dates and role lists take one
+    pass over each table, references one more; counters are added up by key or code before they meet by date, so neither a
+    release nor a code that holds most rows is ever in one task as rows. Releases without entities have no
+    rows here; the others have one row a check, passed or not. Rows of dates that are no release are left out.
+    """
+    parts = [_table_checks(t, df, date) for t, df in tables.items()] + [_reference_checks(tables, date)]
+    built = releases.select(date).distinct().join(tables["orgs"].select(date).distinct(), date, "left_semi")
+    every = built.select(date, F.explode(F.array(*[F.lit(k) for names, _ in parts for k in names])).alias("check_name"))
+    found = reduce(DataFrame.unionByName, [rows for _, rows in parts])
+    return every.join(found, [date, "check_name"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+
+
+def release_verdicts(checks: DataFrame, releases: DataFrame, date: str = "publication_date") -> DataFrame:
+    """One row a release: checks made and failed, discrepancies, and ``pass``, ``fail`` or ``skipped``."""
+    per = checks.groupBy(date).agg(F.count("*").alias("checks"), F.count_if(F.col("n") > 0).alias("failed"), F.sum("n").alias("discrepancies"))
+    verdict = F.when(F.col("checks").isNull(), "skipped").when(F.col("failed") > 0, "fail").otherwise("pass")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return releases.select(date).distinct().join(per, date, "left").select(date, zero("checks"), zero("failed"), zero("discrepancies"), verdict.alias("verdict"))

@@ -267,6 +267,88 @@ def _(t):
     return A.audit_series(orgs, roles, releases)
 
 
+# all checks of six releases and two empty ones; the release of a row follows its code, so some targets lie in another one,
+# and faults are planted by code. The same expressions build the tables on both sides.
+def _num(c: str) -> str:
+    return f"coalesce(try_cast(substr({c}, 2) as bigint), 0)"
+
+
+_CODE = {"orgs": "ods_code", "roles": "ods_code", "relationships": "source_code", "successions": "predecessor_code"}
+_PLANTED = {
+    "orgs": {"name": f"CASE WHEN {_num('ods_code')} % 50 = 7 THEN NULL ELSE name END",
+             "legal_end": f"CASE WHEN {_num('ods_code')} % 40 = 9 THEN legal_start - INTERVAL '1' DAY ELSE legal_end END",
+             "primary_role_code": f"CASE WHEN {_num('ods_code')} % 60 = 11 THEN 'RO0' ELSE primary_role_code END",
+             "role_names": f"CASE WHEN {_num('ods_code')} % 70 = 13 THEN NULL ELSE role_names END",
+             "role_codes": f"CASE WHEN {_num('ods_code')} % 80 = 17 THEN role_names || role_names ELSE role_codes END"},
+    "roles": {"operational_end": f"CASE WHEN {_num('ods_code')} % 30 = 4 THEN operational_start - INTERVAL '2' DAY ELSE operational_end END"},
+    "relationships": {"rel_status": f"CASE WHEN {_num('source_code')} % 90 = 3 THEN NULL ELSE rel_status END"},
+    "successions": {},
+}
+_TWICE = 100  # of codes with remainder 1, entities and roles are stated twice
+
+
+def _series_sql() -> str:
+    parts = []
+    for tb, code in _CODE.items():
+        planted = ", ".join(f"{sql} AS {c}" for c, sql in _PLANTED[tb].items())
+        one = f"SELECT * {f'REPLACE ({planted})' if planted else ''}, {_pub_of(code)} AS d FROM <{tb}>"
+        twice = f" UNION ALL {one} WHERE {_num(code)} % {_TWICE} = 1" if tb in ("orgs", "roles") else ""
+        parts.append(f"x_{tb} AS ({one}{twice})")
+    return ", ".join(parts)
+
+
+def _pub_of(c: str) -> str:
+    return f"date '2001-08-01' + cast({_num(c)} % 6 as int)"
+
+
+def _release_checks_sql() -> str:
+    rows = []
+    for tb, key in schemas.PRIMARY_KEYS.items():
+        rows.append(f"SELECT d, 'pk_unique:{tb}' AS check_name, c - 1 AS n, key AS sample FROM (SELECT d, {key} AS key, count(*) AS c FROM x_{tb} GROUP BY 1, 2) x WHERE c > 1")
+        for f in schemas.TABLES[tb]:
+            if not f.nullable and f.name not in ("predecessor_codes", "successor_codes"):
+                rows.append(f"SELECT d, 'not_null:{tb}.{f.name}', 1, {key} FROM x_{tb} WHERE {f.name} IS NULL")
+        if tb != "successions":
+            rows.append(f"SELECT d, 'date_order:{tb}', 1, {key} FROM x_{tb} WHERE legal_end < legal_start OR operational_end < operational_start")
+        for c in schemas.FOREIGN_KEYS.get(tb, ()):
+            rows.append(f"SELECT d, 'fk:{tb}', 1, {key} FROM x_{tb} x WHERE NOT EXISTS (SELECT 1 FROM x_orgs o WHERE o.d = x.d AND o.ods_code = x.{c})")
+    rows.append("SELECT d, 'primary_in_roles', 1, ods_code FROM x_orgs WHERE NOT list_contains(role_codes, primary_role_code)")
+    rows.append("SELECT d, 'lists_aligned', 1, ods_code FROM x_orgs WHERE len(role_codes) <> len(role_names)")
+    names = list(dict.fromkeys(r.split("'")[1] for r in rows))
+    listed = ", ".join(f"('{k}')" for k in names)
+    return (f"{_series_sql()}, bad AS ({' UNION ALL '.join(rows)}), dates AS (SELECT DISTINCT d FROM x_orgs), names(check_name) AS (VALUES {listed}), "
+            "checks AS (SELECT t.d, t.check_name, cast(coalesce(sum(n), 0) as bigint) AS n, min(sample) AS sample "
+            "FROM (SELECT d, check_name FROM dates, names) t LEFT JOIN bad b ON b.d = t.d AND b.check_name = t.check_name GROUP BY 1, 2)")
+
+
+def _series(t):
+    out = {}
+    for tb, code in _CODE.items():
+        df = getattr(t, tb)
+        kinds = {f.name: f.dataType for f in df.schema}
+        df = df.withColumns({c: F.expr(sql).cast(kinds[c]) for c, sql in _PLANTED[tb].items()})
+        if tb in ("orgs", "roles"):
+            df = df.union(df.where(f"{_num(code)} % {_TWICE} = 1"))
+        out[tb] = df.withColumn("d", F.expr(_pub_of(code)))
+    releases = t.region.select(F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")).select(F.expr("date '2001-08-01' + i").alias("d"))
+    return out, releases
+
+
+@plan("a23b_release_checks", f"WITH {_release_checks_sql()} SELECT d AS publication_date, check_name, n, sample FROM checks")
+def _(t):
+    return A.release_checks(*_series(t), date="d").withColumnRenamed("d", "publication_date").select("publication_date", "check_name", "n", "sample")
+
+
+@plan("a23c_release_verdicts", f"""
+    WITH {_release_checks_sql()}, v AS (SELECT d, count(*) AS checks, count(*) FILTER (WHERE n > 0) AS failed, cast(sum(n) as bigint) AS discrepancies FROM checks GROUP BY 1)
+    SELECT r.d AS publication_date, coalesce(checks, 0) AS checks, coalesce(failed, 0) AS failed, coalesce(discrepancies, 0) AS discrepancies,
+      CASE WHEN checks IS NULL THEN 'skipped' WHEN failed > 0 THEN 'fail' ELSE 'pass' END AS verdict
+    FROM (SELECT date '2001-08-01' + cast(unnest(range(0, 8)) as int) AS d) r LEFT JOIN v ON v.d = r.d""")
+def _(t):
+    tables, releases = _series(t)
+    return A.release_verdicts(A.release_checks(tables, releases, "d"), releases, "d").withColumnRenamed("d", "publication_date")
+
+
 _NULLS = {"orgs": ["town", "postcode", "legal_end"], "roles": ["operational_end"], "relationships": ["operational_end", "rel_id"], "successions": ["legal_start"]}
 _NOT_NULL = " UNION ALL ".join(_check(f"not_null:{tb}.{c}", f"<{tb}> WHERE {c} IS NULL", schemas.PRIMARY_KEYS[tb]) for tb, cs in _NULLS.items() for c in cs)
 

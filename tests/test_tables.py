@@ -241,3 +241,31 @@ def test_change_feed_follows_announced_releases(spark, t, tmp_path):
         got = spark.read.parquet(feed).where(F.col("publication_date") == F.lit(day))
         assert {tuple(r) for r in got.select("ods_code", "name", "role", "change_type", "field", "old_value", "new_value").collect()} == want and want
     assert spark.read.parquet(series).count() == rows.where(F.col("publication_date") <= F.lit(days[2])).count()
+
+
+def test_every_check_of_every_release_finds_its_fault(spark):
+    day = lambda i: datetime.date(2001, 8, i)
+    org = lambda d, code, **k: {"ods_code": code, "name": "n", "status": "active", "role_codes": ["R1", "R2"], "role_names": ["a", "b"],
+                                "primary_role_code": "R1", "legal_start": day(1), "legal_end": None, "operational_start": None, "operational_end": None,
+                                "publication_date": day(d)} | k
+    role = lambda d, code, i, **k: {"ods_code": code, "role_code": "R1", "role_id": i, "publication_date": day(d)} | k
+    rel = lambda d, a, b, i: {"source_code": a, "target_code": b, "rel_id": i, "publication_date": day(d)}
+    orgs = [org(1, "A"), org(1, "B"),
+            org(2, "A"), org(2, "A"), org(2, "A"), org(2, "C", name=None), org(2, "B", name=None), org(2, "D", legal_end=datetime.date(2001, 7, 1)),
+            org(2, "E", primary_role_code="R9"), org(2, "F", role_names=["a"]), org(2, None), org(2, None), org(9, "Z", name=None)]
+    roles = [role(1, "A", "1"), role(2, "A", "1"), role(2, "Q", "3"), role(2, "Q", "2"), role(2, "B", "2", role_code=None)]
+    rels = [rel(1, "A", "B", "1"), rel(2, "Q", "Q", "8"), rel(2, "A", "W", "9"), rel(3, "A", "B", "1")]
+    frame = lambda rows, kind: spark.createDataFrame(rows, ", ".join(f"{c} {kind.get(c, 'string')}" for c in rows[0]))
+    dates = {c: "date" for c in ("legal_start", "legal_end", "operational_start", "operational_end", "publication_date")}
+    tables = {"orgs": frame(orgs, dates | {"role_codes": "array<string>", "role_names": "array<string>"}), "roles": frame(roles, dates),
+              "relationships": frame(rels, dates),
+              "successions": spark.createDataFrame([], "predecessor_code string, successor_code string, succession_id string, publication_date date")}
+    releases = spark.createDataFrame([(day(1),), (day(2),), (day(2),), (day(3),)], "publication_date date")
+    checks = A.release_checks(tables, releases)
+    bad = {(r.publication_date.day, r.check_name): (r.n, r.sample) for r in checks.collect() if r.n}
+    assert bad == {(2, "pk_unique:orgs"): (2, "A"), (2, "not_null:orgs.name"): (2, "B"), (2, "not_null:orgs.ods_code"): (2, None), (2, "date_order:orgs"): (1, "D"),
+                   (2, "primary_in_roles"): (1, "E"), (2, "lists_aligned"): (1, "F"), (2, "pk_unique:roles"): (1, "2"), (2, "not_null:roles.role_code"): (1, "2"),
+                   (2, "fk:roles"): (2, "2"), (2, "fk:relationships"): (3, "8")}
+    got = {r.publication_date.day: (r.checks, r.failed, r.discrepancies, r.verdict) for r in A.release_verdicts(checks, releases).collect()}
+    n = got[1][0]
+    assert n >= 12 and got == {1: (n, 0, 0, "pass"), 2: (n, len(bad), 16, "fail"), 3: (0, 0, 0, "skipped")}
