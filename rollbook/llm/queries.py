@@ -83,7 +83,7 @@ def op11_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_slot_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
-    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0, label)
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0, label, every_row=True)
 
 
 ORACLES["op12_slot_hard_negatives"] = """

@@ -1,9 +1,11 @@
 """Cost-balanced packing, hard negatives and collocations against brute force."""
 
 import heapq
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rollbook.llm import balance, collocations, negatives
+from rollbook.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, ids string, rank int, block int, n long"
 
@@ -119,6 +122,52 @@ def test_hard_negatives_equal_brute_force(spark, monkeypatch, blocks):
     assert {tuple(r) for r in got} == brute_negatives(rows) and len(got) == len(set(got))
 
 
+@pytest.mark.parametrize("blocks", [(8192, 1024), (5, 2)])
+def test_every_row_takes_part_in_the_query(spark, monkeypatch, tmp_path, blocks):
+    monkeypatch.setattr(negatives, "ROWS", blocks[0])
+    monkeypatch.setattr(negatives, "ANCHORS", blocks[1])
+    draw = random.Random(7)
+    rows = [(i, [draw.choice([-0.5, 0.0, 0.25, 0.5, 1.0]) for _ in range(4)], draw.choice([0, 1])) for i in range(0, 400, 5)]
+    rows += [(401 + i, [draw.gauss(0, 1) * 10.0 ** draw.choice([7, 12, 15, 30]), draw.choice([0.0, 0.5]), 0.0, draw.random()], i % 2) for i in range(12)]
+    rows += [(450, [1e18, 2.0, -3.0, 0.5], 0), (500, [3e9, -1e9, 1.0, 7.5], 1), (550, [0.5, 0.5, 0.0, 0.0], 1), (550, [0.5, 0.0, 0.5, 0.25], 1),
+             (405, [0.75, 0.5, 0.0, 1.0], 0), (405, [0.5, 0.5, 1.0, 1.0], 1), (600, [], 0), (601, [], 0), (603, [], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["op12_slot_hard_negatives"](spark, str(tmp_path)).collect()
+    fine = [(i, [math.floor(256 * Fraction(x)) for x in v], (label + 1) % 10 if i % 7 == 0 else label) for i, v, label in rows]
+    long = lambda s: s if -2**63 <= s < 2**63 else None
+    want = []
+    for n, (a, v, label) in enumerate(fine):
+        if a % 50 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), b, other) for m, (b, w, other) in enumerate(fine) if m != n and len(w) == len(v))
+            for down, p, _ in [s for s in scored if s[2] == label][:5]:
+                hits = [s for s in scored if s[2] != label and 50 * -down <= 100 * -s[0] <= 95 * -down][:3]
+                want += [(a, p, i + 1, b, long(-down), long(-s)) for i, (s, b, _) in enumerate(hits)]
+    order = lambda r: [(x is None, x or 0) for x in r]
+    assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
+    assert any(abs(r[4]) >= 2**62 for r in want if r[4] is not None) or any(r[4] is None for r in want)
+
+
+def test_blocks_meet_in_tasks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(negatives, "ROWS", 9)
+    monkeypatch.setattr(negatives, "ANCHORS", 2)
+    draw = random.Random(5)
+    rows = [(i, [draw.choice([-0.5, 0.0, 0.25, 0.5, 1.0]) for _ in range(4)], draw.choice([0, 1, 2])) for i in range(0, 400, 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    merged = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = negatives.hard_negatives(df, F.col("vec_id") % 50 == 0, F.col("label")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+    assert {tuple(r) for r in got} == brute_negatives(rows)
+
+
+def test_order_keys_follow_numbers():
+    numbers = [0, 1, -1, 255, 256, -255, -256, 2**63, -2**63, 10**40, -10**40, 2**200, -2**200]
+    assert sorted(numbers, key=negatives.order_key) == sorted(numbers)
+    assert [negatives.key_number(negatives.order_key(n)) for n in numbers] == numbers
+
+
 def test_products_are_exact_beyond_doubles():
     x = np.array([[2**30, 1, 3], [2**30 - 1, 7, 5]], np.int32)
     assert negatives.products(x, x).tolist() == [[sum(int(a) * int(b) for a, b in zip(r, s, strict=True)) for s in x] for r in x]
