@@ -121,19 +121,23 @@ def primary_role_name(orgs: DataFrame) -> DataFrame:
     return orgs.withColumns(role_name_columns()).select("ods_code", "primary_role_name", "other_roles")
 
 
-def profile_items(orgs: DataFrame, rels: DataFrame, chain: DataFrame, preds: DataFrame) -> DataFrame:
-    """The parts of every profile document as rows: ``ods_code, section, sort_key, item`` (JSON).
-
-    ``sort_key`` is a list and is compared entry by entry, so a name before a longer one, and a chain depth first.
-    """
+def relationship_items(orgs: DataFrame, rels: DataFrame) -> DataFrame:
+    """The relationships of every profile document as rows, as ``profile_items`` has them; they come first in a document."""
     r = profile_rels(orgs, rels)
     late = F.datediff(F.lit("9999-12-31").cast("date"), F.coalesce("operational_start", F.lit("0001-01-01").cast("date")))
     rel_key = F.array(F.when(F.col("direction") == "outbound", "0").otherwise("1"), F.col("rel_name"),
                       F.when(F.lower("rel_status") == "active", "0").otherwise("1"), F.lpad(late.cast("string"), 8, "0"),
                       F.col("code"), F.col("rel_id").cast("string"))
-    rel_rows = r.select("ods_code", F.lit("relationships").alias("section"), rel_key.alias("sort_key"), F.to_json(
+    return r.select("ods_code", F.lit("relationships").alias("section"), rel_key.alias("sort_key"), F.to_json(
         F.struct("rel_code", "rel_name", "direction", "code", "name", F.col("rel_status").alias("status"), "operational_start",
                  "operational_end", "legal_start", "legal_end"), {"ignoreNullFields": "false"}).alias("item"))
+
+
+def profile_items(orgs: DataFrame, rels: DataFrame, chain: DataFrame, preds: DataFrame) -> DataFrame:
+    """The parts of every profile document as rows: ``ods_code, section, sort_key, item`` (JSON).
+
+    ``sort_key`` is a list and is compared entry by entry, so a name before a longer one, and a chain depth first.
+    """
     hop = lambda: F.to_json(F.struct("depth", F.col("hop_date").alias("date"), F.col("hop_code").alias("code"),
                                      F.col("hop_name").alias("name"), F.col("hop_status").alias("status")),
                             {"ignoreNullFields": "false"})
@@ -142,7 +146,7 @@ def profile_items(orgs: DataFrame, rels: DataFrame, chain: DataFrame, preds: Dat
     pred_rows = preds.withColumn("depth", F.lit(1)).select(
         "ods_code", F.lit("predecessors").alias("section"), F.array(F.col("hop_code"), F.col("succession_id").cast("string")).alias("sort_key"),
         hop().alias("item"))
-    return rel_rows.unionByName(succ_rows).unionByName(pred_rows)
+    return relationship_items(orgs, rels).unionByName(succ_rows).unionByName(pred_rows)
 
 
 def profile_positions(items: DataFrame) -> DataFrame:

@@ -50,3 +50,12 @@ def test_history_sorts_once_per_key(spark, t):
     plan = physical(history.stamp_honesty(t.snapshots))
     assert len(re.findall(r"\bWindow \[", plan)) == 1
 
+
+
+def test_positions_of_relationships_need_no_chain(t, monkeypatch):
+    """The walk of the succession graph is the costly part of a profile; relationships come before it."""
+    from rollbook.operators import graph
+    from rollbook.plans import load_all, registry
+    load_all()
+    monkeypatch.setattr(graph, "succession_chain", lambda *a: pytest.fail("the chain is walked"))
+    assert not registry.PLANS["p4c_profile_positions"](t).isEmpty()
