@@ -120,3 +120,16 @@ def test_reach_keeps_a_seeded_root_and_stops_where_edges_stop(spark):
     edges = spark.createDataFrame([("A", "A"), ("A", "B"), ("B", "A"), ("B", "C"), (None, "C"), ("C", None)], "src string, dst string")
     got = sorted(tuple(r) for r in G.reach(seeds, edges).collect())
     assert got == [("A", "A"), ("A", "B"), ("A", "C"), ("B", "A"), ("B", "C"), ("Q", "Z")]
+
+
+def test_closure_is_kept_as_sets(spark):
+    """Lists of both directions without a row a pair; no more than a bitmap a node and bucket is written."""
+    edges = [(f"N{i:04d}", f"N{(i + 1) % 300:04d}") for i in range(300)] + [("A", "B"), ("B", "A"), ("B", "N0007"), ("C", "C"), (None, "A")]
+    table = edge_table(spark, [e for e in edges if e[0]])
+    want = closure([e for e in edges if e[0]])
+    ahead = {r.ods_code: r.successor_codes for r in G.successor_lists(table).collect()}
+    back = {r.ods_code: r.predecessor_codes for r in G.predecessor_lists(table).collect()}
+    assert ahead == {a: sorted(bs) for a, bs in want.items() if bs}
+    assert back == {b: sorted(a for a, bs in want.items() if b in bs) for b in set().union(*want.values())}
+    sets = G.closure_sets(G.direct_edges(table)).sets
+    assert sets.count() == len([a for a in want if want[a]]) and sets.select(F.max(F.length("near"))).head()[0] == G.BITS // 8
