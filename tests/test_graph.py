@@ -133,3 +133,18 @@ def test_closure_is_kept_as_sets(spark):
     assert back == {b: sorted(a for a, bs in want.items() if b in bs) for b in set().union(*want.values())}
     sets = G.closure_sets(G.direct_edges(table)).sets
     assert sets.count() == len([a for a in want if want[a]]) and sets.select(F.max(F.length("near"))).head()[0] == G.BITS // 8
+
+
+def test_paths_are_searched_inside_cycles_only(spark, monkeypatch):
+    """A long register with small cycles: what lies between cycles is followed as rows of numbers, not as paths."""
+    searched = []
+    real = G._least_paths
+    monkeypatch.setattr(G, "_least_paths", lambda edges: searched.append(edges.count()) or real(edges))
+    edges = [(f"S{i}", f"S{i + 3 + i * 7 % 5}") for i in range(200)] + [(f"S{i}", f"S{i - i % 10}") for i in range(200) if i % 4 == 3]
+    table = edge_table(spark, edges)
+    chain = {}
+    for r in sorted(G.succession_walk(table, org_table(spark, {"S1": "active"}), paths=True).collect(), key=lambda r: r.place):
+        assert r.depth == len(r.path) and r.hop_code == r.path[-1]
+        chain.setdefault(r.ods_code, []).append(tuple(r.path))
+    assert chain == {r: h for r in {a for a, _ in edges} if (h := depth_first([e for e in edges if e[0] != e[1]], r))}
+    assert sum(searched) < len(edges)
