@@ -148,3 +148,12 @@ def test_paths_are_searched_inside_cycles_only(spark, monkeypatch):
         chain.setdefault(r.ods_code, []).append(tuple(r.path))
     assert chain == {r: h for r in {a for a, _ in edges} if (h := depth_first([e for e in edges if e[0] != e[1]], r))}
     assert sum(searched) < len(edges)
+
+
+def test_labels_from_a_walk_without_paths(spark):
+    table = edge_table(spark, [("A", "B"), ("B", "A"), ("B", "C"), ("C", "D"), ("A", "E"), ("E", "Q")])
+    orgs = org_table(spark, {"A": "inactive", "B": "inactive", "C": "inactive", "D": "active", "E": "active"})
+    walk = G.succession_walk(table, orgs)
+    assert "path" not in walk.columns
+    labels = {r.ods_code: r.successor_label for r in G.successor_label(walk).collect()}
+    assert labels == {"A": "name D +1", "B": "name E +1", "C": "name D", "E": "Q"}
