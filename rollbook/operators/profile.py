@@ -136,13 +136,14 @@ def relationship_items(orgs: DataFrame, rels: DataFrame) -> DataFrame:
 def profile_items(orgs: DataFrame, rels: DataFrame, chain: DataFrame, preds: DataFrame) -> DataFrame:
     """The parts of every profile document as rows: ``ods_code, section, sort_key, item`` (JSON).
 
-    ``sort_key`` is a list and is compared entry by entry, so a name before a longer one, and a chain depth first.
+    ``sort_key`` is a list and is compared entry by entry, so a name before a longer one. ``chain`` holds hops with their ``place``
+    in a depth-first walk or, ordered alike, their ``path``.
     """
     hop = lambda: F.to_json(F.struct("depth", F.col("hop_date").alias("date"), F.col("hop_code").alias("code"),
                                      F.col("hop_name").alias("name"), F.col("hop_status").alias("status")),
                             {"ignoreNullFields": "false"})
-    succ_rows = chain.select("ods_code", F.lit("succession").alias("section"),
-                             F.col("path").alias("sort_key"), hop().alias("item"))
+    walked = F.array(F.lpad(F.col("place").cast("string"), 12, "0")) if "place" in chain.columns else F.col("path")
+    succ_rows = chain.select("ods_code", F.lit("succession").alias("section"), walked.alias("sort_key"), hop().alias("item"))
     pred_rows = preds.withColumn("depth", F.lit(1)).select(
         "ods_code", F.lit("predecessors").alias("section"), F.array(F.col("hop_code"), F.col("succession_id").cast("string")).alias("sort_key"),
         hop().alias("item"))

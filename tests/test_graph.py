@@ -157,3 +157,14 @@ def test_labels_from_a_walk_without_paths(spark):
     assert "path" not in walk.columns
     labels = {r.ods_code: r.successor_label for r in G.successor_label(walk).collect()}
     assert labels == {"A": "name D +1", "B": "name E +1", "C": "name D", "E": "Q"}
+
+
+def test_documents_order_a_walk_by_place(spark):
+    from rollbook.operators import profile as P
+    table = edge_table(spark, [("A", "B"), ("B", "A"), ("B", "C"), ("A", "Z"), ("Z", "Y")])
+    orgs = org_table(spark, {c: "active" for c in "ABCYZ"})
+    rels = spark.createDataFrame([], "source_code string, target_code string, rel_code string, rel_name string, rel_status string, legal_start date, "
+                                     "legal_end date, operational_start date, operational_end date, rel_id string")
+    preds = G.direct_predecessors(table, orgs)
+    of = lambda chain: sorted(tuple(r) for r in P.profile_positions(P.profile_items(orgs, rels, chain, preds)).select("ods_code", "item", "position").collect())
+    assert of(G.succession_walk(table, orgs)) == of(G.succession_chain(table, orgs))
