@@ -198,3 +198,21 @@ def test_a_teaser_is_not_the_article_and_the_tree_decides_beside_it(spark):
     got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Own story of page {i}, told at some length\n\nRead also" for i in range(12))
     assert all(got[100 + i] == f"Note {i}" for i in range(12))  # the line outside is long, but the tree has removed it
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """The fit is that over all rows: a Newton fit of every pair in one bucket, and the exact quantile, rare labels repeated."""
+    rng = np.random.default_rng(3)
+    x, good = rng.normal(size=(400, quality.WIDTH)), np.arange(400) % 25 != 0
+    x[good, 0] += 1.5
+    rows = spark.createDataFrame([(i, bool(g), r.tolist()) for i, (g, r) in enumerate(zip(good, x, strict=True))], "id long, good boolean, x array<double>")
+    model = quality.learn(rows)
+    z = model.scaled(x)
+    d = (z[good][:, None] - z[~good][None]).reshape(-1, quality.WIDTH)
+    p = 1 / (1 + np.exp(d @ model.weights))
+    assert np.allclose(model.mean, x.mean(0)) and np.abs(d.T @ p / len(d) - quality.PENALTY * model.weights).max() < 1e-6
+    s = np.sort(z @ model.weights)
+    assert np.isclose(model.cut, (s[15] + s[16]) / 2)
+    sizes = {True: int(good.sum()), False: int((~good).sum())}
+    kept = quality._buckets(rows, sizes)
+    assert kept.where("good").count() == sizes[True] and kept.where("NOT good").count() == sizes[False] * kept.select("bucket").distinct().count()
