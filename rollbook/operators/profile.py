@@ -36,17 +36,27 @@ def profile_roles(orgs: DataFrame, roles: DataFrame) -> DataFrame:
     return held.unionByName(lists)
 
 
-def profile_rels(orgs: DataFrame, rels: DataFrame) -> DataFrame:
-    """Each relationship under both of its ends, with the other side's name; a self-edge once, outbound."""
+def profile_rels(orgs: DataFrame, rels: DataFrame, names: bool = True) -> DataFrame:
+    """Each relationship under both of its ends, with the other side's name; a self-edge once, outbound.
+
+    Both ends are looked up while a relationship is still one row. Without ``names`` there is no name column and none is carried along.
+    """
     state = F.coalesce(F.nullif("rel_status", F.lit("")), F.lit("active")).alias("rel_status")
-    rest = ["rel_code", "rel_name", state, *_ITEM_DATES, "rel_id"]
-    out = rels.select(F.col("source_code").alias("ods_code"), F.lit("outbound").alias("direction"),
-                      F.col("target_code").alias("code"), *rest)
-    back = rels.where("source_code <> target_code").select(
-        F.col("target_code").alias("ods_code"), F.lit("inbound").alias("direction"), F.col("source_code").alias("code"), *rest)
-    names = orgs.select(F.col("ods_code").alias("code"), F.col("name").alias("n"))
-    both = out.unionByName(back).join(names, "code", "left").withColumn("name", F.coalesce("n", F.lit(""))).drop("n")
-    return both.join(orgs.select("ods_code"), "ods_code", "left_semi")
+    rest = ["rel_code", "rel_name", *_ITEM_DATES, "rel_id"]
+    shown = F.coalesce("name", F.lit("")) if names else F.lit("")
+    known = orgs.groupBy("ods_code").agg(F.collect_list(shown).alias("names"))  # an entry a row, so rows of one code stay several
+    end = lambda e: known.select(F.col("ods_code").alias(f"{e}_code"), F.col("names").alias(e))
+    both = rels.select("source_code", "target_code", *rest, state).join(end("target"), "target_code", "left").join(end("source"), "source_code", "left")
+
+    def seen(direction: str, own: str, other: str) -> Column:
+        return F.transform(F.coalesce(other, F.array(F.lit(""))), lambda n: F.struct(
+            F.col(f"{own}_code").alias("ods_code"), F.lit(direction).alias("direction"), F.col(f"{other}_code").alias("code"), n.alias("name")))
+
+    out = seen("outbound", "source", "target")
+    none = F.slice(out, F.lit(1), F.lit(0))
+    back = F.when(F.col("target").isNotNull() & (F.col("source_code") != F.col("target_code")), seen("inbound", "target", "source")).otherwise(none)
+    rows = both.select(F.explode(F.concat(F.when(F.col("source").isNotNull(), out).otherwise(none), back)).alias("x"), *rest, "rel_status")
+    return rows.select("x.ods_code", "x.direction", "x.code", *(["x.name"] if names else []), "rel_code", "rel_name", "rel_status", *_ITEM_DATES, "rel_id")
 
 
 def role_sort() -> list[Column]:

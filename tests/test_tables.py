@@ -269,3 +269,28 @@ def test_every_check_of_every_release_finds_its_fault(spark):
     got = {r.publication_date.day: (r.checks, r.failed, r.discrepancies, r.verdict) for r in A.release_verdicts(checks, releases).collect()}
     n = got[1][0]
     assert n >= 12 and got == {1: (n, 0, 0, "pass"), 2: (n, len(bad), 16, "fail"), 3: (0, 0, 0, "skipped")}
+
+
+def test_ends_of_a_relationship_are_looked_up_while_it_is_one_row(spark):
+    orgs = spark.createDataFrame([("A", "a"), ("B", None), ("C", "c"), ("C", "cc")], "ods_code string, name string")
+    edges = [("A", "B"), ("B", "A"), ("A", "A"), ("A", "X"), ("X", "A"), ("X", "Y"), ("A", None), (None, "A"), ("A", "C"), ("C", "C")]
+    rels = spark.createDataFrame([(a, b, "RE1", "r", "" if i else None, f"i{i}") for i, (a, b) in enumerate(edges)],
+                                 "source_code string, target_code string, rel_code string, rel_name string, rel_status string, rel_id string")
+    rels = rels.withColumns({c: F.lit(None).cast("date") for c in ("legal_start", "legal_end", "operational_start", "operational_end")})
+    named = {}
+    for code, name in (("A", "a"), ("B", ""), ("C", "c"), ("C", "cc")):
+        named.setdefault(code, []).append(name)
+    want = []
+    for i, (a, b) in enumerate(edges):
+        if a in named:
+            want += [(a, "outbound", b, n, f"i{i}") for n in named.get(b, [""])]
+        if b in named and a is not None and a != b:
+            want += [(b, "inbound", a, n, f"i{i}") for n in named.get(a, [""])]
+    got = P.profile_rels(orgs, rels)
+    key = lambda r: tuple(map(str, r))
+    assert sorted((tuple(r) for r in got.select("ods_code", "direction", "code", "name", "rel_id").collect()), key=key) == sorted(want, key=key)
+    assert {r.rel_status for r in got.collect()} == {"active"}
+    bare = P.profile_rels(orgs, rels, names=False)
+    assert "name" not in bare.columns and bare.count() == len(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "Union" not in plan
