@@ -12,6 +12,7 @@ ends in it tells so by itself, and only files with another chunk are threaded th
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
@@ -102,19 +103,23 @@ def _rejoined(rows: DataFrame, before: str) -> DataFrame:
     entries = _split_entries(_split_functions(rows)).withColumnsRenamed({"path": "at_path", "split": "at_split"})
     placed = rows.join(entries, (F.col("path") == F.col("at_path")) & (F.col("split") == F.col("at_split"))).withColumn("f", exits(F.col("value")))
 
-    def cut(own: pd.DataFrame) -> pd.DataFrame:
-        first, out = own.iloc[0], []
-        state, begun = first["state"], (int(first["in_split"]), int(first["in_place"]))
-        for at, r in enumerate(own.sort_values("row").itertuples()):
-            if state == "t":
-                begun = (int(r.split), at)
-            text = _cleaned(r.value, state)
-            state = r.f[STATES.index(state)]
-            out.append((r.path, r.file_name, *begun, int(r.split), at, text + (before if state == "d" else "")))
-        return pd.DataFrame(out, columns=["path", "file_name", "in_split", "in_place", "split", "place", "value"])
-
-    pieces = placed.select(*_SLOT, "row", "file_name", "value", "f", "state", "in_split", "in_place").groupBy(*_SLOT).applyInPandas(
-        cut, "path string, file_name string, in_split long, in_place long, split long, place long, value string")
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slot, state, begun, at = None, "t", (0, 0), 0
+        for own in batches:  # the chunks of a split follow each other, maybe over several batches
+            out = []
+            for r in own.itertuples():
+                if (r.path, r.split) != slot:
+                    slot, state, begun, at = (r.path, r.split), r.state, (int(r.in_split), int(r.in_place)), 0
+                if state == "t":
+                    begun = (int(r.split), at)
+                text = _cleaned(r.value, state)
+                state = r.f[STATES.index(state)]
+                out.append((r.path, r.file_name, *begun, int(r.split), at, text + (before if state == "d" else "")))
+                at += 1
+            yield pd.DataFrame(out, columns=["path", "file_name", "in_split", "in_place", "split", "place", "value"])
+
+    ordered = placed.select(*_SLOT, "row", "file_name", "value", "f", "state", "in_split", "in_place").repartition(*_SLOT).sortWithinPartitions(*_SLOT, "row")
+    pieces = ordered.mapInPandas(cut, "path string, file_name string, in_split long, in_place long, split long, place long, value string")
     parts = F.array_sort(F.collect_list(F.struct("split", "place", "value")))
     return (pieces.where("value <> ''").groupBy("path", "file_name", "in_split", "in_place")
             .agg(F.array_join(F.transform(parts, lambda p: p["value"]), "").alias("value")).select("file_name", "value"))
