@@ -9,6 +9,8 @@ from rollbook.plans.adapters import Tables
 from rollbook.runtime import scratch_path
 
 PUBLISHED = "2001-08-01"
+#: Records of a part file; compressed files are not split, so they must not grow with the tables.
+RECORDS = 20_000
 
 _WRITTEN: dict[tuple, object] = {}
 
@@ -89,6 +91,11 @@ def _header(t: Tables, rows: DataFrame) -> DataFrame:
         '<PrimaryRole id="RO6510" /></PrimaryRoleScope>\n<Organisations>').alias("value"))
 
 
+def _write_xml(rows: DataFrame, path: str) -> None:
+    """XML text in part files of bounded size, compressed: tags make up nearly all of it."""
+    rows.write.option("compression", "lz4").option("maxRecordsPerFile", RECORDS).text(path)
+
+
 @_once
 def xml_release(t: Tables) -> list[str]:
     """Two source files of one release, full first, written as XML text."""
@@ -97,7 +104,7 @@ def xml_release(t: Tables) -> list[str]:
     for i, kind in enumerate(("full", "archive")):
         rows = t.xml_src.where(F.col("file_index") == i)
         path = f"{root}/{kind}"
-        _header(t, rows).union(rows.select(_entity_xml(bool(i)).alias("value"))).write.text(path)
+        _write_xml(_header(t, rows).union(rows.select(_entity_xml(bool(i)).alias("value"))), path)
         paths.append(path)
     return paths
 
@@ -114,7 +121,8 @@ def xml_sections(t: Tables) -> list[str]:
         text = F.when(k % 31 == 3, F.regexp_replace(text, "</Organisation>$", "</Organisation\t>")).otherwise(text)
         text = _cat(_if(k % 50 == 7, "<!-- ", entity, entity, " -->"), _if(k % 60 == 11, "<?old ", entity, " ?>"), text)
         path = f"{root}/{kind}"
-        _header(t, t.xml_src.where(F.col("file_index") == i)).union(t.xml_src.where(F.col("file_index") == i).select(text.alias("value"))).write.text(path)
+        rows = t.xml_src.where(F.col("file_index") == i)
+        _write_xml(_header(t, rows).union(rows.select(text.alias("value"))), path)
         paths.append(path)
     return paths
 

@@ -259,3 +259,27 @@ def test_sections_across_many_splits(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == true
+
+
+def test_splits_are_rejoined_in_a_stream(spark, tmp_path):
+    """No split is gathered as one pandas group, and its state is carried from one batch to the next."""
+    from rollbook.sources import xmlcut
+    text = "".join(f"<R><!-- {i} </R> <R> --><![CDATA[</R>]]>{i}</R>\n" for i in range(300))
+    (tmp_path / "a.xml").write_text(text)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = xmlcut.true_chunks(spark, str(tmp_path), "</R")
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted(r.value.lstrip(">\n") for r in rows.collect() if "<R>" in r.value)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(f"<R><![CDATA[</R>]]>{i}" for i in range(300))
+    assert "MapInPandas" in plan
+
+
+def test_source_files_are_compressed_and_bounded(t):
+    import glob
+    from rollbook.plans import written
+    for path in written.xml_release(t):
+        parts = glob.glob(f"{path}/part-*")
+        assert parts and all(f.endswith(".lz4") for f in parts)
