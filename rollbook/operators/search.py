@@ -11,6 +11,7 @@ from rollbook.functions.dates import is_open
 from rollbook.functions.postcode import district, outward, postcode_kind, postcode_matches, postcode_value
 from rollbook.functions.roles import ROLE_ALIASES, any_role
 from rollbook.functions.text import normalise, place_key, squash
+from rollbook.runtime import written
 
 
 @dataclass
@@ -258,19 +259,20 @@ def name_matches(rows: DataFrame, queries: DataFrame, text: str = "query", qid:
     """``(query_id, ods_code, exact_match)`` of a table of name searches, without a nested loop.
 
     Each query is looked up by its rarest three-character piece and the hits are
-    verified by containment, so work follows the matching rows.
+    verified by containment, so work follows the matching rows. What is looked for is
+    written first: Spark then knows its size, and pieces of names don't have to be shuffled to it.
     """
     q = queries.where(F.col(text).isNotNull()).select(qid, F.col(text).alias("raw"), squash(text).alias("squashed"))
     q = q.withColumn("len", F.least(F.length("squashed"), F.lit(3)))
     lengths = sorted(r[0] for r in q.select("len").distinct().collect())
     names = rows.select("ods_code", "name", squash("name").alias("flat"))
     flat = names.select("ods_code", "name", "flat", F.explode(_grams(F.col("flat"), lengths or [3])).alias("gram"))
-    wanted = q.select(qid, F.explode(F.when(F.col("len") == 3, _grams(F.col("squashed"), [3]))
-                                     .otherwise(F.array("squashed"))).alias("gram"))
+    wanted = written(q.select(qid, F.explode(F.when(F.col("len") == 3, _grams(F.col("squashed"), [3]))
+                                             .otherwise(F.array("squashed"))).alias("gram")))
     freq = flat.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     key = wanted.join(freq, "gram", "left").groupBy(qid).agg(
         F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    hits = flat.join(q.join(key, qid), "gram").where(F.col("flat").contains(F.col("squashed")))
+    hits = flat.join(written(q.join(key, qid)), "gram").where(F.col("flat").contains(F.col("squashed")))
     return hits.select(qid, "ods_code", F.col("name").contains(F.upper("raw")).alias("exact_match"))
 
 
@@ -283,11 +285,12 @@ def find_batch(orgs: DataFrame, queries: DataFrame, all_rows: bool = False) -> D
 
     ``queries``: query_id, query (text or NULL), codes, role_codes, places (lists or NULL). Each
     criterion becomes an equi-join; an entity is returned when every criterion its query
-    states has matched, every entity when it states none.
+    states has matched, every entity when it states none. Entities are dealt out by
+    code, so that no task holds the hits of a whole file.
     """
-    rows = open_filter(orgs, all_rows)
+    rows = open_filter(orgs, all_rows).repartition("ods_code")
     empty = F.array().cast("array<string>")
-    q = queries.select("query_id", "query", *[F.coalesce(c, empty).alias(c) for c in ("codes", "role_codes", "places")])
+    q = written(queries.select("query_id", "query", *[F.coalesce(c, empty).alias(c) for c in ("codes", "role_codes", "places")]))
     need = q.select("query_id", (F.col("query").isNotNull().cast("int")
                                  + sum([(F.size(c) > 0).cast("int") for c in ("codes", "role_codes", "places")]))
                     .alias("need"))
@@ -307,7 +310,7 @@ def find_batch(orgs: DataFrame, queries: DataFrame, all_rows: bool = False) -> D
     order = ["town", "county", "postcode", "country"]
     flag = lambda f: F.when(F.bool_or(F.array_contains(F.split("matched_fields", ", "), f)), F.lit(f))
     met = every.groupBy("query_id", "ods_code").agg(
-        F.count_distinct("criterion").alias("met"), F.coalesce(F.bool_or("exact_match"), F.lit(False)).alias("exact_match"),
+        sum([F.bool_or(F.col("criterion") == c).cast("int") for c in ("name", "code", "role", "place")]).alias("met"), F.coalesce(F.bool_or("exact_match"), F.lit(False)).alias("exact_match"),
         F.array_join(F.array_compact(F.array(*[flag(f) for f in order])), ", ").alias("matched_fields"))
     stated = met.join(need, "query_id").where("met = need").select("query_id", "ods_code", "exact_match", "matched_fields")
     # a search that states nothing returns every row; it meets them in pieces, so that neither side is one key

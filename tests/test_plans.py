@@ -59,3 +59,11 @@ def test_positions_of_relationships_need_no_chain(t, monkeypatch):
     load_all()
     monkeypatch.setattr(graph, "succession_chain", lambda *a: pytest.fail("the chain is walked"))
     assert not registry.PLANS["p4c_profile_positions"](t).isEmpty()
+
+
+def test_batch_search_shuffles_no_pieces_of_names(t):
+    """What is looked for is small, and rows are dealt out by code: no join sorts the rows' pieces, no count needs them apart."""
+    from rollbook.plans import load_all, registry
+    load_all()
+    plan = physical(registry.PLANS["f27_find_batch"](t))
+    assert "SortMergeJoin" not in plan and "hashpartitioning(gram" not in plan and "hashpartitioning(ods_code" in plan
