@@ -21,16 +21,38 @@ def join_rel_both_ends(rels: DataFrame, orgs: DataFrame) -> DataFrame:
         "source_code", "organisation", "rel_code", "rel_name", "target_code", "target", "rel_id")
 
 
+def _places(rows: DataFrame, codes: str) -> DataFrame:
+    """``rows`` with one entry per distinct code of the list: ``at``, its places, and the code. Lists are sorted, not searched."""
+    placed = rows.withColumn("_sorted", F.array_sort(F.transform(codes, lambda c, i: F.struct(c.alias("code"), i.alias("at")))))
+    own = F.col("_sorted")
+    new = lambda x, j: (j == 0) | ~x["code"].eqNullSafe(F.get(own, j - 1)["code"])
+    begun = placed.withColumn("_begun", F.filter(F.transform(own, lambda x, j: F.when(new(x, j), j)), lambda j: j.isNotNull()))
+    end = lambda k: F.coalesce(F.get("_begun", k + 1), F.size(own))
+    return begun.withColumn("_places", F.transform("_begun", lambda j, k: F.struct(
+        F.get(own, j)["code"].alias("code"), F.transform(F.slice(own, j + 1, end(k) - j), lambda x: x["at"]).alias("at")))).drop("_sorted", "_begun")
+
+
 def join_code_to_name(rows: DataFrame, orgs: DataFrame, codes: str, key: str = "ods_code",
                       out: str = "related") -> DataFrame:
-    """A code list as ``(code, name, status)`` structs in list order; unknown codes named '' and ``unknown``."""
-    flat = rows.select(key, F.posexplode(codes).alias("pos", "code"))
+    """A code list as ``(code, name, status)`` structs in list order; unknown codes named '' and ``unknown``.
+
+    ``key`` names one row. A code that a list repeats is looked up once for that list, and rows that
+    hold nothing but key and list are put together from what was looked up, without being joined again.
+    """
+    bare = set(rows.columns) == {key, codes}
+    flat = _places(rows.select(key, codes), codes).select(key, codes, F.posexplode_outer("_places").alias("_k", "_p")).select(
+        key, "_p.code", "_p.at", F.when(F.coalesce("_k", F.lit(0)) == 0, F.col(codes)).alias("_codes"))
     facts = orgs.select(F.col("ods_code").alias("code"), F.col("name").alias("n"), F.col("status").alias("s"))
-    item = F.struct("pos", "code", F.coalesce("n", F.lit("")).alias("name"), F.coalesce("s", F.lit("unknown")).alias("status"))
-    lists = flat.join(facts, "code", "left").groupBy(key).agg(F.transform(
-        F.array_sort(F.collect_list(item)), lambda i: F.struct(i["code"], i["name"], i["status"])).alias(out))
+    known = F.struct("at", F.col("code").alias("code"), F.coalesce("n", F.lit("")).alias("name"), F.coalesce("s", F.lit("unknown")).alias("status"))
+    # rows are dealt out before they are listed: lists of one or two begun before the shuffle would be larger than the rows
+    lists = flat.join(facts, "code", "left").repartition(key).groupBy(key).agg(
+        F.first("_codes", True).alias(codes), F.collect_list(F.when(F.col("at").isNotNull(), known)).alias("_found"))
+    each = F.flatten(F.transform("_found", lambda x: F.transform(x["at"], lambda p: F.struct(p, x["code"], x["name"], x["status"]))))
+    lists = lists.select(key, codes, F.transform(F.array_sort(each), lambda i: F.struct(
+        i["code"].alias("code"), i["name"].alias("name"), i["status"].alias("status"))).alias(out))
     none = F.array().cast("array<struct<code:string,name:string,status:string>>")
-    return rows.join(lists, key, "left").withColumn(out, F.coalesce(out, none))
+    found = lists if bare else rows.join(lists.select(key, out), key, "left")
+    return found.withColumn(out, F.coalesce(out, none)).select(*rows.columns, out)
 
 
 def output_record(rows: DataFrame, orgs: DataFrame) -> DataFrame:

@@ -67,3 +67,12 @@ def test_batch_search_shuffles_no_pieces_of_names(t):
     load_all()
     plan = physical(registry.PLANS["f27_find_batch"](t))
     assert "SortMergeJoin" not in plan and "hashpartitioning(gram" not in plan and "hashpartitioning(ods_code" in plan
+
+
+def test_rows_of_codes_alone_are_not_joined_again(t):
+    """The list of a row is put together from what was looked up; only codes meet entities."""
+    from rollbook.plans import load_all, registry
+    load_all()
+    plan = physical(registry.PLANS["j3_join_code_to_name"](t))
+    assert len(re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash)Join \[code", plan)) == 1
+    assert not re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash)Join \[ods_code", plan)
