@@ -35,17 +35,22 @@ def build_release(spark: SparkSession, paths_in_order: list[str], vocab: DataFra
     Refuses files that disagree on their date, declared counts that differ from the
     records read, records that contradict each other, and roles without a curated name.
     """
-    unread = reduce(DataFrame.unionByName, [xml.xml_problems(spark, p) for p in paths_in_order])
+    prefixes = [xml.tag_prefix(spark, p) for p in paths_in_order]
+    chunks = [xml.xml_chunks(spark, p, prefix=prefix) for p, prefix in zip(paths_in_order, prefixes, strict=True)]
+    indexed = lambda parts: reduce(DataFrame.unionByName, [df.withColumn("file_index", F.lit(i)) for i, df in enumerate(parts)])
+    parsed = scratch_path(spark, "parsed")
+    indexed(map(xml.parse_xml_entities, chunks, prefixes)).withColumn("op_start", B.operational_start()).write.parquet(parsed)
+    records = spark.read.parquet(parsed)
+    bad = records.where("problem IS NOT NULL")
+    unread = reduce(DataFrame.unionByName, [bad.where(F.col("file_index") == i).select("file_name", "problem", "record").unionByName(xml.unended(c))
+                                            for i, c in enumerate(chunks)])
     if not unread.isEmpty():
         raise BuildRefused(f"unreadable source: {_first(unread, ['file_name', 'problem', 'record'])}")
-    headers = xml.scan_release_headers(spark, paths_in_order)
+    records = records.drop("problem", "record")
+    headers = indexed(map(xml.headers_of, chunks))
     dated = B.agree_publication_date(xml.manifests_of(headers)).head()
     if dated.verdict != "agreed":
         raise BuildRefused(f"publication date {dated.verdict}: {_first(B.stated_dates(xml.manifests_of(headers)), ['file_name', 'says'])}")
-    records = xml.scan_xml_release(spark, paths_in_order).withColumn("op_start", B.operational_start())
-    parsed = scratch_path(spark, "parsed")
-    records.write.parquet(parsed)
-    records = spark.read.parquet(parsed)
 
     declared = xml.manifests_of(headers).agg(F.sum("record_count").alias("n"), F.count_if(F.col("record_count").isNull()).alias("none")).head()
     read = records.count()

@@ -63,11 +63,10 @@ def _starts(text: Column) -> Column:
     return F.regexp_count(F.regexp_replace(text, r"(?s)<!\[CDATA\[.*?\]\]>", " "), F.lit(r"<(?:[\w.-]+:)?Organisation[\s>/]"))
 
 
-def _records(spark: SparkSession, paths, prefix: str) -> DataFrame:
+def _records(chunks: DataFrame, prefix: str) -> DataFrame:
     """(file_name, xml, e, _parsed, broken): the text of each record, parsed and numbered; ``broken`` says why it can't be read, else null."""
     # stripping namespaces costs about a sixth of the parse, so only prefixed files pay for it
     options = {**(_OPTIONS if prefix else _PLAIN_OPTIONS), "columnNameOfCorruptRecord": "_unread"}
-    chunks = xml_chunks(spark, paths, "Organisation", prefix)
     cut = F.regexp_extract("value", "(?s)(<(?:[\\w.-]+:)?Organisation[\\s>/].*)$", 1)
     # Spark repeats an expression below a filter that uses it, but not beside a number that it may not repeat
     number = F.monotonically_increasing_id()
@@ -88,13 +87,17 @@ def _shown(xml: Column) -> Column:
 def xml_problems(spark: SparkSession, paths, prefix: str | None = None) -> DataFrame:
     """``file_name, problem, record``: every record that can't be read, and files whose entities don't all end."""
     prefix = tag_prefix(spark, paths) if prefix is None else prefix
-    bad = _records(spark, paths, prefix).where("broken IS NOT NULL").select("file_name", F.col("broken").alias("problem"), _shown(F.col("xml")).alias("record"))
+    chunks = xml_chunks(spark, paths, "Organisation", prefix)
+    bad = _records(chunks, prefix).where("broken IS NOT NULL").select("file_name", F.col("broken").alias("problem"), _shown(F.col("xml")).alias("record"))
+    return bad.unionByName(unended(chunks))
+
+
+def unended(chunks: DataFrame) -> DataFrame:
+    """``file_name, problem, record`` of files whose entities don't all end."""
     text = F.col("value")
-    counts = xml_chunks(spark, paths, "Organisation", prefix).groupBy("file_name").agg(
-        F.sum(_starts(text)).alias("begun"), F.count_if(text.rlike(r"^\s*>")).alias("ended"))
-    odd = counts.where("begun <> ended").select("file_name", F.concat("begun", F.lit(" entities begin, "), "ended", F.lit(" end")).alias("problem"),
-                                                F.lit(None).cast("string").alias("record"))
-    return bad.unionByName(odd)
+    counts = chunks.groupBy("file_name").agg(F.sum(_starts(text)).alias("begun"), F.count_if(text.rlike(r"^\s*>")).alias("ended"))
+    return counts.where("begun <> ended").select("file_name", F.concat("begun", F.lit(" entities begin, "), "ended", F.lit(" end")).alias("problem"),
+                                                 F.lit(None).cast("string").alias("record"))
 
 
 def _dates(c) -> Column:
@@ -115,7 +118,16 @@ def scan_xml_entities(spark: SparkSession, paths, prefix: str | None = None) ->
     prefix = tag_prefix(spark, paths) if prefix is None else prefix
     refused = F.raise_error(F.concat(F.lit("record refused, "), "broken", F.lit(", in "), "file_name", F.lit(": "), _shown(F.col("xml"))))
     fine = F.when(F.col("broken").isNotNull(), refused.cast("boolean")).otherwise(F.col("_parsed") >= 0)
-    rows = _records(spark, paths, prefix).where(fine).select("file_name", "e")
+    return _entities(_records(xml_chunks(spark, paths, "Organisation", prefix), prefix).where(fine).select("file_name", "e"))
+
+
+def parse_xml_entities(chunks: DataFrame, prefix: str) -> DataFrame:
+    """The same from ``xml_chunks``, refusing nothing: ``problem`` and ``record`` tell of records that can't be read."""
+    rows = _records(chunks, prefix).select("file_name", "e", F.col("broken").alias("problem"), F.when(F.col("broken").isNotNull(), _shown(F.col("xml"))).alias("record"))
+    return _entities(rows, "problem", "record")
+
+
+def _entities(rows: DataFrame, *more: str) -> DataFrame:
     loc = "e.GeoLoc.Location."
     text = lambda path: F.nullif(F.col(loc + path), F.lit(""))
     status_of = lambda x: F.coalesce(x["Status"]["_value"], x["_status"])
@@ -151,12 +163,16 @@ def scan_xml_entities(spark: SparkSession, paths, prefix: str | None = None) ->
         F.coalesce(roles, F.array().cast("array<struct<id:string,role_id:string,primary:boolean,status:string,"
                                          "dates:array<struct<date_type:string,start:string,end:string>>>>"))
         .alias("roles"),
-        rels.alias("rels"), succs.alias("succs"))
+        rels.alias("rels"), succs.alias("succs"), *more)
 
 
 def scan_xml_headers(spark: SparkSession, paths, prefix: str | None = None) -> DataFrame:
     """The chunks that hold a manifest or code list, kept so both are read from one pass over the files."""
-    chunks = xml_chunks(spark, paths, "Organisation", prefix)
+    return headers_of(xml_chunks(spark, paths, "Organisation", prefix))
+
+
+def headers_of(chunks: DataFrame) -> DataFrame:
+    """The same from ``xml_chunks``."""
     return checkpoint(chunks.where(F.col("value").contains("Manifest") | F.col("value").contains("oncept "))
                       .select("file_name", "value"))
 
@@ -199,9 +215,3 @@ def scan_xml_release(spark: SparkSession, paths_in_order: list[str]) -> DataFram
     """Entities of all source files of a release with ``file_index``, full file first."""
     parts = [scan_xml_entities(spark, p).withColumn("file_index", F.lit(i)) for i, p in enumerate(paths_in_order)]
     return reduce(DataFrame.unionByName, parts)
-
-
-def scan_release_headers(spark: SparkSession, paths_in_order: list[str]) -> DataFrame:
-    """Header chunks of all source files of a release with ``file_index``."""
-    parts = [scan_xml_headers(spark, p).withColumn("file_index", F.lit(i)) for i, p in enumerate(paths_in_order)]
-    return reduce(DataFrame.unionByName, parts)

@@ -76,3 +76,13 @@ def test_rows_of_codes_alone_are_not_joined_again(t):
     plan = physical(registry.PLANS["j3_join_code_to_name"](t))
     assert len(re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash)Join \[code", plan)) == 1
     assert not re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash)Join \[ods_code", plan)
+
+
+def test_a_build_parses_its_source_once(spark, t, tmp_path, monkeypatch):
+    from rollbook.operators import make
+    from rollbook.plans import written
+    from rollbook.sources import xml
+    paths, records, seen = written.xml_release(t), xml._records, []
+    monkeypatch.setattr(xml, "_records", lambda *a: seen.append(a) or records(*a))
+    assert make.build_release(spark, paths, t.vocab).publication_date == written.PUBLISHED
+    assert len(seen) == len(paths)
