@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import Row, Window
@@ -208,6 +209,24 @@ def test_file_digests(spark, tmp_path):
     assert (digest.files, digest.bytes, digest.manifest_digest) == (2, 6, "sha256:" + hashlib.sha256(lines.encode()).hexdigest())
 
 
+def test_large_files_are_digested_split_by_split(spark, tmp_path):
+    rng = random.Random(3)
+    noise = rng.randbytes(50_000)
+    bodies = {"noise": noise, "ended.bin": noise + b"\n", "begun": b"\n\n" + noise, "lines": b"\n" * 9_000, "text": b"one\r\ntwo\r" * 3_000,
+              "mark": b"\xef\xbb\xbf" + noise, "mark and end": b"\xef\xbb\xbf" + noise + b"\n", "one line": b"\0" * 30_000, "od[d]{1}*": noise[::-1],
+              "small": b"x"}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = {r.file_name: (r.bytes, r.sha256) for r in files.scan_files_binary(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in bodies.items()}
+
+
 def test_provenance_survives_a_round_trip(spark, t, tmp_path):
     facts = {"source": "sha256:00", "version": "1.0.0"}
     files.with_provenance(t.orgs.select("ods_code", "publication_date"), facts).write.parquet(str(tmp_path / "o"))
