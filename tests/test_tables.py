@@ -17,6 +17,7 @@ from rollbook.operators import diff as X
 from rollbook.operators import graph as G
 from rollbook.operators import history as W
 from rollbook.operators import profile as P
+from rollbook.plans.audit_queries import _series
 from rollbook.sources import files, sinks, tables
 from rollbook.streaming.changefeed import announce, read_markers, start_change_feed
 
@@ -227,6 +228,14 @@ def test_large_files_are_digested_split_by_split(spark, tmp_path):
     assert found == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in bodies.items()}
 
 
+def test_release_checks_sort_little(t):
+    tables, _ = _series(t)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [code" in plan(A._reference_checks(tables, "d")[1])
+    orgs = plan(A._table_checks("orgs", tables["orgs"], "d")[1])
+    assert orgs.count("> 0)") > len(A._row_rules("orgs", tables["orgs"]))  # as a condition, beside those of the samples
+
+
 def test_provenance_survives_a_round_trip(spark, t, tmp_path):
     facts = {"source": "sha256:00", "version": "1.0.0"}
     files.with_provenance(t.orgs.select("ods_code", "publication_date"), facts).write.parquet(str(tmp_path / "o"))
