@@ -178,6 +178,11 @@ def primary_role(roles) -> Column:
     return F.try_element_at(F.filter(roles, lambda r: r["primary"]), F.lit(1))
 
 
+def normal_relationships(rels="rels") -> Column:
+    """Relationships with their states in lower case; one without a state is active."""
+    return F.transform(rels, lambda r: r.withField("status", F.lower(F.coalesce(r["status"], F.lit("active")))))
+
+
 def normalise_entities(records: DataFrame) -> DataFrame:
     """Lower-case states and types, map the record class, default missing states.
 
@@ -185,7 +190,7 @@ def normalise_entities(records: DataFrame) -> DataFrame:
     without one are active.
     """
     roles = F.transform("roles", lambda r: r.withField("status", F.lower(F.coalesce(r["status"], F.lit("active")))))
-    rels = F.transform("rels", lambda r: r.withField("status", F.lower(F.coalesce(r["status"], F.lit("active")))))
+    rels = normal_relationships()
     succs = F.transform("succs", lambda s: s.withField("type", F.lower(s["type"])))
     return (records.withColumn("roles", roles).withColumn("rels", rels).withColumn("succs", succs)
             .withColumn("status", F.lower(F.coalesce("status", primary_role("roles")["status"], F.lit("active"))))

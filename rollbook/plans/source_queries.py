@@ -467,8 +467,9 @@ def _(t):
     UNION ALL SELECT code, rel2_target, 'RE5', 'RE5', lower(rel2_status), cast(op_start as date), code || '-e2' FROM <xml_kept>
     WHERE NOT ref_only AND rel2_target IS NOT NULL""")
 def _(t):
-    e, paths = _entities(t)
-    return B.explode_relationships(e, xml.scan_xml_concepts(t.spark, paths), written.PUBLISHED).select(
+    records, concepts = xml.scan_xml_parts(t.spark, written.xml_release(t), ["code", "ref_only", "dates", "rels"])
+    kept = B.merge_entities(records.withColumn("op_start", B.operational_start()).select("code", "ref_only", "file_index", "op_start", "rels"))
+    return B.explode_relationships(kept.withColumn("rels", B.normal_relationships()), concepts, written.PUBLISHED).select(
         "source_code", "target_code", "rel_code", "rel_name", "rel_status", "operational_start", "rel_id")
 
 

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollbook.runtime import checkpoint
 from rollbook.sources.xmlcut import true_chunks
@@ -38,6 +39,13 @@ ENTITY_DDL = f"""
   Succs struct<Succ: {_SUCC}, Successor: {_SUCC}>, Successors struct<Succ: {_SUCC}, Successor: {_SUCC}>
 """
 
+#: Elements and attributes that a column of the entities is made of; each object that is parsed costs more than the text around it.
+_MADE_OF = {
+    "code": ["OrgId"], "root": ["OrgId"], "authority": ["OrgId"], "name": ["Name"], "status": ["Status"], "record_class": ["OrgRecordClass", "_orgRecordClass"],
+    "ref_only": ["_refOnly"], "last_change_date": ["LastChangeDate"], "dates": ["Date"], "contacts": ["Contacts"], "roles": ["Roles"],
+    "rels": ["Rels", "Relationships"], "succs": ["Succs", "Successors"],
+    **{c: ["GeoLoc"] for c in ("address_lines", "town", "county", "postcode", "country", "uprn")}}
+
 _OPTIONS = {"ignoreNamespace": "true", "attributePrefix": "_", "valueTag": "_text", "mode": "PERMISSIVE"}
 _PLAIN_OPTIONS = {k: v for k, v in _OPTIONS.items() if k != "ignoreNamespace"}
 _ATTRS = "(?:\\s+[\\w:.-]+\\s*=\\s*(?:\"[^\"]*\"|'[^']*'))*"
@@ -63,7 +71,14 @@ def _starts(text: Column) -> Column:
     return F.regexp_count(F.regexp_replace(text, r"(?s)<!\[CDATA\[.*?\]\]>", " "), F.lit(r"<(?:[\w.-]+:)?Organisation[\s>/]"))
 
 
-def _records(chunks: DataFrame, prefix: str) -> DataFrame:
+def _schema(columns: list[str] | None) -> T.StructType:
+    """What is parsed of a record: all of it, or its code and what the columns are made of."""
+    whole = T.StructType.fromDDL(ENTITY_DDL)
+    needed = {"OrgId"}.union(*[_MADE_OF[c] for c in columns]) if columns else whole.names
+    return T.StructType([f for f in whole if f.name in needed])
+
+
+def _records(chunks: DataFrame, prefix: str, columns: list[str] | None = None) -> DataFrame:
     """(file_name, xml, e, _parsed, broken): the text of each record, parsed and numbered; ``broken`` says why it can't be read, else null."""
     # stripping namespaces costs about a sixth of the parse, so only prefixed files pay for it
     options = {**(_OPTIONS if prefix else _PLAIN_OPTIONS), "columnNameOfCorruptRecord": "_unread"}
@@ -72,7 +87,7 @@ def _records(chunks: DataFrame, prefix: str) -> DataFrame:
     number = F.monotonically_increasing_id()
     rows = (chunks.select("file_name", F.length("closing").alias("least"), F.concat(cut, F.col("closing")).alias("xml"), number.alias("_cut"))
             .where((F.length("xml") > F.col("least")) & (F.col("_cut") >= 0))
-            .select("file_name", "xml", F.from_xml("xml", ENTITY_DDL + ", _unread string", options).alias("e"), number.alias("_parsed")))
+            .select("file_name", "xml", F.from_xml("xml", _schema(columns).add("_unread", "string"), options).alias("e"), number.alias("_parsed")))
     again = F.locate(f"<{prefix}Organisation", F.col("xml"), 2) > 0  # a cheap look before the exact one
     broken = F.when(again & (_starts(F.col("xml")) > 1), "an entity begins inside another").when(
         F.col("e._unread").isNotNull(), "not well-formed").when(F.col("e.OrgId._extension").isNull(), "no code")
@@ -113,12 +128,20 @@ def _either(*arrays) -> Column:
     return F.flatten(kept)
 
 
-def scan_xml_entities(spark: SparkSession, paths, prefix: str | None = None) -> DataFrame:
-    """One nested row per entity element, with its file; values verbatim, nothing merged. A record that can't be read is refused by name."""
+def scan_xml_entities(spark: SparkSession, paths, prefix: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """One nested row per entity element, with its file; values verbatim, nothing merged. A record that can't be read is refused by name.
+
+    With ``columns``, only what these are made of is parsed; a record that is not well-formed or has no code is refused all the same.
+    """
     prefix = tag_prefix(spark, paths) if prefix is None else prefix
+    return entities_of(xml_chunks(spark, paths, "Organisation", prefix), prefix, columns)
+
+
+def entities_of(chunks: DataFrame, prefix: str, columns: list[str] | None = None) -> DataFrame:
+    """The same from ``xml_chunks``."""
     refused = F.raise_error(F.concat(F.lit("record refused, "), "broken", F.lit(", in "), "file_name", F.lit(": "), _shown(F.col("xml"))))
     fine = F.when(F.col("broken").isNotNull(), refused.cast("boolean")).otherwise(F.col("_parsed") >= 0)
-    return _entities(_records(xml_chunks(spark, paths, "Organisation", prefix), prefix).where(fine).select("file_name", "e"))
+    return _entities(_records(chunks, prefix, columns).where(fine).select("file_name", "e"), columns=columns)
 
 
 def parse_xml_entities(chunks: DataFrame, prefix: str) -> DataFrame:
@@ -127,7 +150,7 @@ def parse_xml_entities(chunks: DataFrame, prefix: str) -> DataFrame:
     return _entities(rows, "problem", "record")
 
 
-def _entities(rows: DataFrame, *more: str) -> DataFrame:
+def _entities(rows: DataFrame, *more: str, columns: list[str] | None = None) -> DataFrame:
     loc = "e.GeoLoc.Location."
     text = lambda path: F.nullif(F.col(loc + path), F.lit(""))
     status_of = lambda x: F.coalesce(x["Status"]["_value"], x["_status"])
@@ -149,21 +172,19 @@ def _entities(rows: DataFrame, *more: str) -> DataFrame:
     contacts = F.transform("e.Contacts.Contact", lambda c: F.struct(
         c["_type"].alias("type"),
         F.when(F.lower(c["_type"]) == "http", F.lower(c["_value"])).otherwise(c["_value"]).alias("value")))
-    return rows.select(
-        "file_name", F.col("e.OrgId._extension").alias("code"), F.col("e.Name").alias("name"),
-        F.col("e.Status._value").alias("status"),
-        F.coalesce("e.OrgRecordClass._value", "e.OrgRecordClass._text", "e._orgRecordClass").alias("record_class"),
-        F.coalesce(F.lower("e._refOnly") == "true", F.lit(False)).alias("ref_only"),
-        F.col("e.OrgId._root").alias("root"), F.col("e.OrgId._assigningAuthorityName").alias("authority"),
-        F.col("e.LastChangeDate._value").alias("last_change_date"), _dates(F.col("e.Date")).alias("dates"),
-        F.array_compact(F.array(text("AddrLn1"), text("AddrLn2"), text("AddrLn3"))).alias("address_lines"),
-        text("Town").alias("town"), text("County").alias("county"), text("PostCode").alias("postcode"),
-        text("Country").alias("country"), text("UPRN").alias("uprn"),
-        F.coalesce(contacts, F.array().cast("array<struct<type:string,value:string>>")).alias("contacts"),
-        F.coalesce(roles, F.array().cast("array<struct<id:string,role_id:string,primary:boolean,status:string,"
-                                         "dates:array<struct<date_type:string,start:string,end:string>>>>"))
-        .alias("roles"),
-        rels.alias("rels"), succs.alias("succs"), *more)
+    made = {
+        "code": F.col("e.OrgId._extension"), "name": F.col("e.Name"), "status": F.col("e.Status._value"),
+        "record_class": F.coalesce("e.OrgRecordClass._value", "e.OrgRecordClass._text", "e._orgRecordClass"),
+        "ref_only": F.coalesce(F.lower("e._refOnly") == "true", F.lit(False)),
+        "root": F.col("e.OrgId._root"), "authority": F.col("e.OrgId._assigningAuthorityName"),
+        "last_change_date": F.col("e.LastChangeDate._value"), "dates": _dates(F.col("e.Date")),
+        "address_lines": F.array_compact(F.array(text("AddrLn1"), text("AddrLn2"), text("AddrLn3"))),
+        "town": text("Town"), "county": text("County"), "postcode": text("PostCode"), "country": text("Country"), "uprn": text("UPRN"),
+        "contacts": F.coalesce(contacts, F.array().cast("array<struct<type:string,value:string>>")),
+        "roles": F.coalesce(roles, F.array().cast("array<struct<id:string,role_id:string,primary:boolean,status:string,"
+                                                  "dates:array<struct<date_type:string,start:string,end:string>>>>")),
+        "rels": rels, "succs": succs}
+    return rows.select("file_name", *[c.alias(name) for name, c in made.items() if not columns or name in columns], *more)
 
 
 def scan_xml_headers(spark: SparkSession, paths, prefix: str | None = None) -> DataFrame:
@@ -213,5 +234,16 @@ def scan_xml_concepts(spark: SparkSession, paths, prefix: str | None = None) ->
 
 def scan_xml_release(spark: SparkSession, paths_in_order: list[str]) -> DataFrame:
     """Entities of all source files of a release with ``file_index``, full file first."""
-    parts = [scan_xml_entities(spark, p).withColumn("file_index", F.lit(i)) for i, p in enumerate(paths_in_order)]
-    return reduce(DataFrame.unionByName, parts)
+    return _indexed([scan_xml_entities(spark, p) for p in paths_in_order])
+
+
+def scan_xml_parts(spark: SparkSession, paths_in_order: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Some columns of the same entities, and the files' code lists, from one look for sections that cross cuts."""
+    prefixes = [tag_prefix(spark, p) for p in paths_in_order]
+    chunks = [xml_chunks(spark, p, prefix=prefix) for p, prefix in zip(paths_in_order, prefixes, strict=True)]
+    entities = _indexed([entities_of(c, prefix, columns) for c, prefix in zip(chunks, prefixes, strict=True)])
+    return entities, concepts_of(headers_of(reduce(DataFrame.unionByName, chunks)))
+
+
+def _indexed(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [df.withColumn("file_index", F.lit(i)) for i, df in enumerate(parts)])

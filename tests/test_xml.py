@@ -283,3 +283,21 @@ def test_source_files_are_compressed_and_bounded(t):
     for path in written.xml_release(t):
         parts = glob.glob(f"{path}/part-*")
         assert parts and all(f.endswith(".lz4") for f in parts)
+
+
+def test_only_what_columns_are_made_of_is_parsed(spark, t, tmp_path):
+    from __spark_entry__ import queries
+    from rollbook.plans import written
+    columns = ["code", "ref_only", "dates", "rels"]
+    paths = written.xml_release(t)
+    some, concepts = xml.scan_xml_parts(spark, paths, columns)
+    rows = lambda df: sorted(map(str, df.select(*columns, "file_index").collect()))
+    assert rows(some) == rows(xml.scan_xml_release(spark, paths))
+    assert sorted(map(str, concepts.collect())) == sorted(map(str, xml.scan_xml_concepts(spark, paths).collect()))
+    plan = queries()["b16_explode_relationships"](spark, t.folder)._jdf.queryExecution().analyzed().toString()
+    assert "Rels" in plan and "GeoLoc" not in plan and "Contacts" not in plan
+    path = str(tmp_path / "bad.xml")
+    with open(path, "w") as f:
+        f.write('<X><Organisation><OrgId extension="A1"/><Name>A</Nam></Organisation></X>')
+    with pytest.raises(Exception, match="not well-formed"):
+        xml.scan_xml_entities(spark, path, columns=columns).collect()
