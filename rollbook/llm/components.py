@@ -1,42 +1,3 @@
-"""Connected components of an edge table."""
+"""Connected components, as the operators of the register have them."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from rollbook.runtime import checkpoint
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Link each node's larger neighbours to the least node among it and its neighbours."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Link each node and its smaller neighbours to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b")))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node reachable, for every node of an undirected edge table (a, b).
-
-    Alternates large and small stars until the edges are stars already. A round costs two joins on a node against that
-    node's least neighbour; a hub's rows are joined with one row and can be split. Loops and repeated edges do no harm.
-    """
-    now = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _mark(now)
-    while mark[0]:
-        now = checkpoint(_small_star(_large_star(now)).distinct())
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+from rollbook.operators.components import components  # noqa: F401
