@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 from rollbook.functions.dates import is_closed_record
 from rollbook.functions.roles import relationship_phrase, relationship_rank
 from rollbook.functions.text import name_at_code, numeric_part
+from rollbook.runtime import written
 
 _ITEM_DATES = ["legal_start", "legal_end", "operational_start", "operational_end"]
 
@@ -143,21 +146,49 @@ def relationship_items(orgs: DataFrame, rels: DataFrame) -> DataFrame:
                  "operational_end", "legal_start", "legal_end"), {"ignoreNullFields": "false"}).alias("item"))
 
 
+def relationship_positions(orgs: DataFrame, rels: DataFrame) -> DataFrame:
+    """``ods_code, code, rel_id, position`` of the relationships in profile documents, as ``profile_positions`` has them, without their items.
+
+    Relationships that are alike in all they are ordered by are alike in what is returned, so only that is dealt out, once. Codes
+    that several entities share are few: a relationship to one is seen once for each.
+    """
+    own, other = rels.select("source_code", "target_code", "rel_name", "rel_status", "operational_start", "rel_id"), orgs.select("ods_code")
+    several = written(other.groupBy("ods_code").agg(F.count("*").alias("n")).where("n > 1"))
+    active = F.lower(F.coalesce(F.nullif("rel_status", F.lit("")), F.lit("active"))) == "active"
+    late = F.datediff(F.lit("9999-12-31").cast("date"), F.coalesce("operational_start", F.lit("0001-01-01").cast("date")))
+    end = lambda inbound, mine, theirs: F.struct(F.lit(inbound).alias("inbound"), F.col(mine).alias("ods_code"), F.col(theirs).alias("code"))
+    both = F.array(end(False, "source_code", "target_code"), F.when(F.col("source_code") != F.col("target_code"), end(True, "target_code", "source_code")))
+    rows = own.select(F.explode(both).alias("x"), "rel_name", F.when(active, 0).otherwise(1).cast("byte").alias("state"), late.alias("late"),
+                      F.col("rel_id").cast("string").alias("rel_id")).where("x IS NOT NULL").select("x.*", "rel_name", "state", "late", "rel_id")
+    if not several.isEmpty():
+        rows = rows.join(several.toDF("code", "n"), "code", "left").withColumn(
+            "again", F.explode(F.array_repeat(F.lit(0), F.coalesce("n", F.lit(1)).cast("int")))).drop("n", "again")
+    order = Window.partitionBy("ods_code").orderBy("inbound", "rel_name", "state", "late", "code", "rel_id")
+    return rows.join(other.distinct(), "ods_code", "left_semi").select("ods_code", "code", "rel_id", F.row_number().over(order).alias("position"))
+
+
+def predecessor_items(preds: DataFrame) -> DataFrame:
+    """The direct predecessors of every profile document as rows, as ``profile_items`` has them."""
+    return preds.withColumn("depth", F.lit(1)).select(
+        "ods_code", F.lit("predecessors").alias("section"), F.array(F.col("hop_code"), F.col("succession_id").cast("string")).alias("sort_key"),
+        _hop_json().alias("item"))
+
+
+def _hop_json() -> Column:
+    return F.to_json(F.struct("depth", F.col("hop_date").alias("date"), F.col("hop_code").alias("code"),
+                              F.col("hop_name").alias("name"), F.col("hop_status").alias("status")),
+                     {"ignoreNullFields": "false"})
+
+
 def profile_items(orgs: DataFrame, rels: DataFrame, chain: DataFrame, preds: DataFrame) -> DataFrame:
     """The parts of every profile document as rows: ``ods_code, section, sort_key, item`` (JSON).
 
     ``sort_key`` is a list and is compared entry by entry, so a name before a longer one. ``chain`` holds hops with their ``place``
     in a depth-first walk or, ordered alike, their ``path``.
     """
-    hop = lambda: F.to_json(F.struct("depth", F.col("hop_date").alias("date"), F.col("hop_code").alias("code"),
-                                     F.col("hop_name").alias("name"), F.col("hop_status").alias("status")),
-                            {"ignoreNullFields": "false"})
     walked = F.array(F.lpad(F.col("place").cast("string"), 12, "0")) if "place" in chain.columns else F.col("path")
-    succ_rows = chain.select("ods_code", F.lit("succession").alias("section"), walked.alias("sort_key"), hop().alias("item"))
-    pred_rows = preds.withColumn("depth", F.lit(1)).select(
-        "ods_code", F.lit("predecessors").alias("section"), F.array(F.col("hop_code"), F.col("succession_id").cast("string")).alias("sort_key"),
-        hop().alias("item"))
-    return relationship_items(orgs, rels).unionByName(succ_rows).unionByName(pred_rows)
+    succ_rows = chain.select("ods_code", F.lit("succession").alias("section"), walked.alias("sort_key"), _hop_json().alias("item"))
+    return relationship_items(orgs, rels).unionByName(succ_rows).unionByName(predecessor_items(preds))
 
 
 def profile_positions(items: DataFrame) -> DataFrame:
@@ -175,15 +206,56 @@ def profile_json(orgs: DataFrame, items: DataFrame, part_rows: int = 50_000) ->
     """
     placed = profile_positions(items).withColumn("part", F.floor((F.col("position") - 1) / part_rows).cast("int")) \
         .withColumn("parts", F.ceil(F.col("_n") / part_rows).cast("int"))
-    item = F.struct("sort_key", "item")
-    of = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == s, item))), lambda i: i["item"])
-    sections = ["relationships", "succession", "predecessors"]
-    lists = placed.groupBy("ods_code", "part", "parts").agg(*[of(s).alias(s) for s in sections])
-    heads = orgs.withColumns(role_name_columns()).withColumn(
-        "head", F.to_json(F.struct(*orgs.columns, "primary_role_name", "other_roles"), {"ignoreNullFields": "false"}))
-    none = F.array().cast("array<string>")
-    joined = heads.select("ods_code", "head").join(lists, "ods_code", "left")
+    lists = placed.groupBy("ods_code", "part", "parts").agg(*[_sorted_items(s).alias(s) for s in _SECTIONS])
+    return _documents(_heads(orgs).join(lists, "ods_code", "left"), *[F.array_join(F.coalesce(s, F.array().cast("array<string>")), ",") for s in _SECTIONS])
+
+
+_SECTIONS = ["relationships", "succession", "predecessors"]
+
+
+def _sorted_items(section: str) -> Column:
+    """The items of a section in a group of rows, in order."""
+    return F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == section, F.struct("sort_key", "item")))), lambda i: i["item"])
+
+
+def _heads(orgs: DataFrame) -> DataFrame:
+    return orgs.withColumns(role_name_columns()).withColumn(
+        "head", F.to_json(F.struct(*orgs.columns, "primary_role_name", "other_roles"), {"ignoreNullFields": "false"})).select("ods_code", "head")
+
+
+def _documents(rows: DataFrame, *sections: Column) -> DataFrame:
+    """Rows with ``head, part, parts`` and the text of each section's items."""
     body = F.concat(F.expr("substring(head, 1, length(head) - 1)"), *[
-        F.concat(F.lit(f',"{s}":['), F.array_join(F.coalesce(s, none), ","), F.lit("]")) for s in sections], F.lit("}"))
-    return joined.select("ods_code", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"),
-                         body.alias("document"))
+        F.concat(F.lit(f',"{s}":['), text, F.lit("]")) for s, text in zip(_SECTIONS, sections, strict=True)], F.lit("}"))
+    return rows.select("ods_code", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"), body.alias("document"))
+
+
+def profile_documents(orgs: DataFrame, rels: DataFrame, preds: DataFrame, hops: DataFrame,
+                      runs: Callable[[DataFrame, bool], DataFrame], part_rows: int = 50_000) -> DataFrame:
+    """``profile_json`` where hops never are rows: ``hops`` counts them by entity, ``runs`` lists them by part of a document.
+
+    A part that holds nothing but hops is made by the task that walks; of the others, one or two an entity, the lists meet the other items.
+    """
+    items = relationship_items(orgs, rels)
+    more = predecessor_items(preds)
+    n = lambda df, name: df.groupBy("ods_code").agg(F.count("*").alias(name))
+    sizes = written(n(items, "before").join(hops, "ods_code", "full").join(n(more, "after"), "ods_code", "full").na.fill(0, ["before", "hops", "after"])
+                    .withColumn("total", F.col("before") + F.col("hops") + F.col("after")))
+    parts = F.ceil(F.col("total") / part_rows).cast("int").alias("parts")
+    place = F.col("position") - 1 + F.when(F.col("section") == "predecessors", F.col("hops")).otherwise(0)
+    rest = profile_positions(items.unionByName(more)).join(sizes, "ods_code").select(
+        "ods_code", "section", "sort_key", "item", F.floor(place / part_rows).cast("int").alias("part"), parts)
+    text = F.to_json("hops", {"ignoreNullFields": "false"})
+    text = F.expr("substring(text, 2, length(text) - 2)"), text.alias("text")
+    walked = sizes.where("hops > 0").withColumn("code", F.col("ods_code"))
+    edge = runs(walked.withColumn("head", F.lit("")), False).select("ods_code", "part", parts, text[1]).withColumn("text", text[0])
+    lists = rest.unionByName(edge, allowMissingColumns=True).groupBy("ods_code", "part", "parts").agg(
+        *[_sorted_items(s).alias(s) for s in _SECTIONS], F.max("text").alias("text"))
+    heads = _heads(orgs)
+    bare = heads.join(sizes.where("total > 0"), "ods_code", "left_anti")
+    mixed = heads.join(lists, "ods_code").unionByName(bare, allowMissingColumns=True)
+    none = F.array().cast("array<string>")
+    inner = runs(heads.join(walked, "ods_code"), True).select("ods_code", "head", "part", parts, text[1]).withColumn("text", text[0])
+    listed = lambda s: F.array_join(F.coalesce(s, none), ",")
+    return _documents(mixed, listed("relationships"), F.coalesce("text", F.lit("")), listed("predecessors")).unionByName(
+        _documents(inner, F.lit(""), F.col("text"), F.lit("")))
