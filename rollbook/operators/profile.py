@@ -248,9 +248,11 @@ def profile_documents(orgs: DataFrame, rels: DataFrame, preds: DataFrame, hops:
     text = F.to_json("hops", {"ignoreNullFields": "false"})
     text = F.expr("substring(text, 2, length(text) - 2)"), text.alias("text")
     walked = sizes.where("hops > 0").withColumn("code", F.col("ods_code"))
-    edge = runs(walked.withColumn("head", F.lit("")), False).select("ods_code", "part", parts, text[1]).withColumn("text", text[0])
-    lists = rest.unionByName(edge, allowMissingColumns=True).groupBy("ods_code", "part", "parts").agg(
-        *[_sorted_items(s).alias(s) for s in _SECTIONS], F.max("text").alias("text"))
+    # a part with hops and others has a row of the others, so lists stay where positions were numbered
+    edge = runs(walked.withColumn("head", F.lit("")), False).select("ods_code", "part", text[1]).withColumn("text", text[0])
+    texts = edge.groupBy("ods_code").agg(F.map_from_entries(F.collect_list(F.struct("part", "text"))).alias("texts"))
+    lists = rest.groupBy("ods_code", "part", "parts").agg(*[_sorted_items(s).alias(s) for s in _SECTIONS]).join(
+        texts, "ods_code", "left").withColumn("text", F.try_element_at("texts", F.col("part"))).drop("texts")
     heads = _heads(orgs)
     bare = heads.join(sizes.where("total > 0"), "ods_code", "left_anti")
     mixed = heads.join(lists, "ods_code").unionByName(bare, allowMissingColumns=True)
